@@ -47,9 +47,9 @@ class Scratch:
             writer = writer.partitionBy(by)
         writer.parquet(path)
         schema = df.schema
-        back = self.spark.read.schema(schema).parquet(path)
+        back = self.spark.read.schema(schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
         back._scratch_path = path
-        return back.select(*[F.col(f"`{c}`") for c in df.columns]) if by else back
+        return back
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing reads any more."""
