@@ -16,8 +16,10 @@ def queries() -> dict[str, Query]:
         "p1_found": structure.p1_found,
         "p1_hierarchy": structure.p1_hierarchy,
         "p1_descendants": structure.p1_descendants,
+        "p4_found": structure.p4_found,
+        "p4_orphans_by_month": structure.p4_orphans_by_month,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": structure.P1_FOUND_SQL, "p1_descendants": structure.P1_DESCENDANTS_SQL}
+    return {"p1_found": structure.P1_FOUND_SQL, "p1_descendants": structure.P1_DESCENDANTS_SQL, "p4_found": structure.P4_FOUND_SQL, "p4_orphans_by_month": structure.P4_MONTH_SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.hierarchy import SEPARATOR, descendants, hierarchy
+from tessera.operators.orphans import Table, orphans
 from tessera.sources.tables import current_rows, read
 
 NODE_LABEL = F.concat(F.coalesce("node_type", F.lit("")), F.lit(":"), F.coalesce("ref", "heading", F.lit("unlabeled")))
@@ -79,3 +80,41 @@ P1_DESCENDANTS_SQL = _WALK + """
   SELECT x.node_id, c.k, x.distance + 1 FROM pairs x JOIN cur c ON c.p = x.descendant)
 SELECT node_id, descendant, CAST(distance AS BIGINT) AS distance FROM pairs WHERE distance > 0
 """
+
+
+def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = Table("nodes", "node_id", [("parent_node_id", "nodes"), ("doc_id", "docs"), ("table_node_id", "nodes")])
+    chunks = Table("chunks", "chunk_id", [("origin_node_id", "nodes")])
+    docs = Table("docs", "doc_id")
+    return orphans([(t, read(spark, folder, t.name)) for t in (nodes, chunks, docs)], read(spark, folder, "removals"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """References in current rows to records that are missing, removed or late."""
+    return _orphans(spark, folder).select("table_name", "field_name", "record_key")
+
+
+def p4_orphans_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    """Their number per table, field, reason and month of the referring row."""
+    month = F.date_format("referred_at", "yyyy-MM").alias("month")
+    return _orphans(spark, folder).groupBy("table_name", "field_name", "reason", month).agg(F.count("*").alias("orphans"))
+
+
+_ORPHANS = f"""
+WITH gone AS (SELECT table_name, {key_sql('record_key')} AS k, max(removed_at) AS removed_at FROM removals GROUP BY ALL),
+n AS MATERIALIZED (SELECT c.*, coalesce(g.removed_at >= c.ingested_at, false) AS removed FROM {current_sql('nodes', 'node_id')} c LEFT JOIN gone g ON g.table_name = 'nodes' AND g.k = c.k),
+d AS MATERIALIZED (SELECT c.*, coalesce(g.removed_at >= c.ingested_at, false) AS removed FROM {current_sql('docs', 'doc_id')} c LEFT JOIN gone g ON g.table_name = 'docs' AND g.k = c.k),
+h AS MATERIALIZED (SELECT c.*, coalesce(g.removed_at >= c.ingested_at, false) AS removed FROM {current_sql('chunks', 'chunk_id')} c LEFT JOIN gone g ON g.table_name = 'chunks' AND g.k = c.k),
+target AS (SELECT 'nodes' AS target_table, k, arrival, removed FROM n UNION ALL SELECT 'docs', k, arrival, removed FROM d),
+ref AS (
+  SELECT 'nodes' AS table_name, 'parent_node_id' AS field_name, k AS record_key, ingested_at, 'nodes' AS target_table, {key_sql('parent_node_id')} AS target_key FROM n WHERE NOT removed
+  UNION ALL SELECT 'nodes', 'doc_id', k, ingested_at, 'docs', {key_sql('doc_id')} FROM n WHERE NOT removed
+  UNION ALL SELECT 'nodes', 'table_node_id', k, ingested_at, 'nodes', {key_sql('table_node_id')} FROM n WHERE NOT removed
+  UNION ALL SELECT 'chunks', 'origin_node_id', k, ingested_at, 'nodes', {key_sql('origin_node_id')} FROM h WHERE NOT removed),
+bad AS (
+  SELECT r.*, CASE WHEN t.k IS NULL THEN 'missing' WHEN t.removed THEN 'removed' WHEN t.arrival > r.ingested_at THEN 'late' END AS reason
+  FROM ref r LEFT JOIN target t ON t.target_table = r.target_table AND t.k = r.target_key WHERE r.target_key IS NOT NULL)
+"""
+
+P4_FOUND_SQL = _ORPHANS + "SELECT table_name, field_name, record_key FROM bad WHERE reason IS NOT NULL"
+P4_MONTH_SQL = _ORPHANS + "SELECT table_name, field_name, reason, strftime(ingested_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS orphans FROM bad WHERE reason IS NOT NULL GROUP BY ALL"
