@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, tokens
-from tessera.sources.tables import read
+from tessera.llm import packing, splitting, tokens
+from tessera.sources.tables import current_rows, read
 
 CAPACITY = 2048
 
@@ -19,3 +19,26 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with text, its size in tokens and its container of 2,048 tokens."""
     sizes = tokens.count_column(read(spark, folder, "documents"), "doc_id", "text")
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY).withColumnRenamed("size", "n_tokens")
+
+
+LIMIT, OVERLAP = 4000, 200
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return current_rows(read(spark, folder, "chunks"), "chunk_id", ["doc_id", "ref", "chunk_seq", "text"])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks whose text had to be cut."""
+    return splitting.split_rows(_chunks(spark, folder), "chunk_id", "text", "chunk_seq", ["doc_id", "ref"], LIMIT, OVERLAP, only_cut=True).where("piece = 1").select("chunk_id")
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk, the long ones in pieces."""
+    return splitting.split_rows(_chunks(spark, folder), "chunk_id", "text", "chunk_seq", ["doc_id", "ref"], LIMIT, OVERLAP)
+
+
+P6_FOUND_SQL = """
+SELECT chunk_id FROM (SELECT trim(chunk_id) AS chunk_id, text, row_number() OVER (PARTITION BY trim(chunk_id) ORDER BY ingested_at DESC) AS rn FROM chunks)
+WHERE rn = 1 AND length(text) > 4000
+"""

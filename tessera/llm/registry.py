@@ -6,8 +6,8 @@ from tessera.llm import queries as q
 
 
 def queries() -> dict:
-    return {"p7_ids": q.p7_ids, "p8_containers": q.p8_containers}
+    return {"p6_found": q.p6_found, "p6_pieces": q.p6_pieces, "p7_ids": q.p7_ids, "p8_containers": q.p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": q.P6_FOUND_SQL}
