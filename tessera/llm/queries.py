@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing, splitting, tokens
+from tessera.llm import fusion, packing, splitting, tokens
 from tessera.sources.tables import current_rows, read
 
 CAPACITY = 2048
@@ -42,3 +43,18 @@ P6_FOUND_SQL = """
 SELECT chunk_id FROM (SELECT trim(chunk_id) AS chunk_id, text, row_number() OVER (PARTITION BY trim(chunk_id) ORDER BY ingested_at DESC) AS rn FROM chunks)
 WHERE rn = 1 AND length(text) > 4000
 """
+
+
+def _shares(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "hybrid_rows").select(F.col("query_id").alias("query"), F.col("hit.chunk_id").alias("item"), "scorer", "score", F.col("scored_at").alias("at"))
+    return fusion.fuse(rows, read(spark, folder, "scorers"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunk that comes first for each query."""
+    return fusion.first_places(_shares(spark, folder)).withColumnsRenamed({"query": "query_id", "item": "chunk_id"})
+
+
+def p2_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk of each query with its share and place."""
+    return fusion.ranking(_shares(spark, folder)).withColumnsRenamed({"query": "query_id", "item": "chunk_id"})

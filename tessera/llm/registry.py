@@ -6,7 +6,7 @@ from tessera.llm import queries as q
 
 
 def queries() -> dict:
-    return {"p6_found": q.p6_found, "p6_pieces": q.p6_pieces, "p7_ids": q.p7_ids, "p8_containers": q.p8_containers}
+    return {"p2_found": q.p2_found, "p2_ranking": q.p2_ranking, "p6_found": q.p6_found, "p6_pieces": q.p6_pieces, "p7_ids": q.p7_ids, "p8_containers": q.p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
