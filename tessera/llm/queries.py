@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fusion, packing, splitting, tokens
+from tessera.llm import fusion, packing, splitting, stuffing, tokens
 from tessera.sources.tables import current_rows, read
 
 CAPACITY = 2048
@@ -58,3 +58,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """Every chunk of each query with its share and place."""
     return fusion.ranking(_shares(spark, folder)).withColumnsRenamed({"query": "query_id", "item": "chunk_id"})
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are stuffing by their larger part."""
+    return p9_line_shares(spark, folder).where("stuffed").select("doc_id")
+
+
+def p9_line_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of every document by the kind of their line."""
+    return stuffing.line_shares(read(spark, folder, "documents"), "doc_id", "text")
