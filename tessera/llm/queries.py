@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fusion, packing, splitting, stuffing, tokens
+from tessera.llm import fusion, lookalikes, packing, splitting, stuffing, tokens
+from tessera.sources.scratch import Scratch
 from tessera.sources.tables import current_rows, read
 
 CAPACITY = 2048
@@ -68,3 +69,18 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 def p9_line_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The words of every document by the kind of their line."""
     return stuffing.line_shares(read(spark, folder, "documents"), "doc_id", "text")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of nodes by text, and of chunks by table_md, that look the same and differ in their characters."""
+    nodes = current_rows(read(spark, folder, "nodes"), "node_id", ["text"]).select(F.lit("nodes").alias("table_name"), F.col("node_id").alias("k"), "text")
+    chunks = current_rows(read(spark, folder, "chunks"), "chunk_id", ["table_md"]).select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("k"), F.col("table_md").alias("text"))
+    return lookalikes.same_looks(nodes.unionByName(chunks), "table_name", "k", "text")
+
+
+def p5_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """Every current node with its text in the one form."""
+    scratch = Scratch(spark, "canonical")
+    nodes = scratch.keep(current_rows(read(spark, folder, "nodes"), "node_id", ["text"]).select("node_id", "text"), "nodes")
+    odd = lookalikes.canonical_texts(nodes, ["node_id"], "text", scratch).select("node_id", F.col("canon").alias("text"))
+    return nodes.where(F.col("text").isNull() | F.col("text").rlike(lookalikes.PLAIN)).unionByName(odd)
