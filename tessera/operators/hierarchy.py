@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.sources.scratch import Scratch
@@ -24,17 +23,17 @@ BLOCK = 64
 DEALT = 16
 
 
-def climb(links: DataFrame, scratch: Scratch, adds: Sequence[str] = (), sizes: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def climb(links: DataFrame, scratch: Scratch, adds: Sequence[str] = (), own: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Follow ``up`` from each ``id`` to its end by pointer doubling.
 
     ``links`` has (id, up, adds...): each ``up`` is null or the id of another row. Gives three tables: (id, top, steps, adds...), the adds
-    summed over the way, for the ways that end; (id, far) for those that never do; with ``sizes`` (id, below), the number of nodes below
-    each node that has any. Takes log2(longest way) rounds; a round reads only the nodes that are still under way.
+    summed over the way, for the ways that end; (id, far) for those that never do; with ``own``, a column of sizes, (id, below): the sum of
+    the sizes of all nodes below each node that has any. Takes log2(longest way) rounds; a round moves only the nodes still under way.
     """
     ended = [scratch.keep(links.where("up is null").select("id", F.col("id").alias("top"), F.lit(0).cast("long").alias("steps"), *[F.lit(0).cast("long").alias(a) for a in adds]), "ended")]
-    going = scratch.keep(links.where("up is not null").select("id", F.col("up").alias("far"), F.lit(1).cast("long").alias("steps"), *[F.col(a).cast("long").alias(a) for a in adds], *([F.lit(1).cast("long").alias("size")] if sizes else [])), "going")
+    going = scratch.keep(links.where("up is not null").select("id", F.col("up").alias("far"), F.lit(1).cast("long").alias("steps"), *[F.col(a).cast("long").alias(a) for a in adds], *([F.col(own).cast("long").alias("size")] if own else [])), "going")
     below: list[DataFrame] = []
-    n, k = going.count(), 0
+    latest, n, k = going, going.count(), 0
     while n:
         known = going.select("id", F.col("far").alias("top"), "steps", *adds)
         for e in ended:
@@ -42,7 +41,7 @@ def climb(links: DataFrame, scratch: Scratch, adds: Sequence[str] = (), sizes: b
         known = known.select(F.col("id").alias("k_id"), F.col("top").alias("k_far"), F.col("steps").alias("k_steps"), *[F.col(a).alias(f"k_{a}") for a in adds])
         step = going.join(known, going["far"] == known["k_id"])
         fields = ["id", F.col("k_far").alias("far"), (F.col("steps") + F.col("k_steps")).alias("steps"), *[(F.col(a) + F.col(f"k_{a}")).alias(a) for a in adds]]
-        if sizes:
+        if own:
             gained = scratch.keep(going.groupBy("far").agg(F.sum("size").alias("gain")), "gained")
             below.append(gained)
             step = step.join(gained.select(F.col("far").alias("g_id"), "gain"), F.col("id") == F.col("g_id"), "left")
@@ -50,6 +49,8 @@ def climb(links: DataFrame, scratch: Scratch, adds: Sequence[str] = (), sizes: b
         stepped = scratch.keep(step.select(*fields, (F.col("k_steps") < 2**k).alias("fin")), "step", by="fin")
         ended.append(stepped.where("fin").select("id", F.col("far").alias("top"), "steps", *adds))
         going = stepped.where("not fin").drop("fin")
+        scratch.drop(latest, "fin=false" if k else "")
+        latest = stepped
         left = going.count()
         if left == n:  # no way has a length in this power of two, so none is longer: what is left never ends
             break
@@ -58,7 +59,7 @@ def climb(links: DataFrame, scratch: Scratch, adds: Sequence[str] = (), sizes: b
     for e in ended[1:]:
         all_ended = all_ended.unionByName(e)
     sums = None
-    if sizes:
+    if own:
         sums = links.select(F.col("id").alias("far"), F.lit(0).cast("long").alias("gain")).limit(0)
         for b in below:
             sums = sums.unionByName(b)
@@ -103,70 +104,102 @@ def hierarchy(nodes: DataFrame, key: str, parent: str, label: Column, carry: Seq
     ``pos_first``, ``pos_last`` and ``tree_size``: a node's descendants are the nodes of the same ``top_node`` with pos_first < their
     pos_first <= pos_last. Depth, path and interval are null for cycles. An empty table gives an empty result.
     """
-    spark = nodes.sparkSession
-    scratch = Scratch(spark, "hierarchy")
-    base = nodes.select(key_of(key).alias("key"), key_of(parent).alias("pkey"), F.coalesce(label, F.lit("")).alias("label"), *[F.col(c).alias(f"c_{c}") for c in carry]).where("key is not null")
-    base = scratch.keep(base.withColumn("id", F.monotonically_increasing_id()), "base")
-    wanted = base.where("pkey is not null").select("id", F.col("pkey").alias("w_key"))
-    linked = wanted.join(base.select(F.col("key").alias("p_key"), F.col("id").alias("up")), F.col("w_key") == F.col("p_key"), "left").select("id", "up", F.col("up").isNull().alias("dangling"))
-    links = scratch.keep(linked.unionByName(base.where("pkey is null").select("id", F.lit(None).cast("long").alias("up"), F.lit(False).alias("dangling"))), "links")
-
-    ended, endless, below = climb(links.select("id", "up"), scratch, sizes=True)
-    loops = endless.select("id").join(links, "id").join(base.select("id", "key"), "id").select("id", "up", "key")
-    cycles = _smallest_on_cycle(loops, scratch)
-
-    sized = scratch.keep(
-        ended.join(links, "id").join(below, "id", "left").select("id", "up", "top", "steps", "dangling", (F.coalesce("below", F.lit(0)) + 1).alias("size")), "sized"
-    )
-    heavy = sized.where("up is not null").groupBy("up").agg(F.max(F.struct("size", (-F.col("id")).alias("minus"))).alias("h")).select(F.col("up").alias("h_up"), (-F.col("h.minus")).alias("h_id"), F.col("h.size").alias("h_size"))
+    scratch = Scratch(nodes.sparkSession, "hierarchy")
+    keyed = nodes.select(key_of(key).alias("key"), key_of(parent).alias("pkey"), F.coalesce(label, F.lit("")).alias("label"), *[F.col(c).alias(f"c_{c}") for c in carry]).where("key is not null")
+    keyed = scratch.keep(keyed.withColumn("id", F.monotonically_increasing_id()), "keyed")
+    ids = keyed.select(F.col("key").alias("p_key"), F.col("id").alias("up"))
+    linked = keyed.where("pkey is not null").join(ids, F.col("pkey") == F.col("p_key"), "left").drop("p_key")
+    base = scratch.keep(linked.unionByName(keyed.where("pkey is null").withColumn("up", F.lit(None).cast("long"))), "base")
+    scratch.drop(keyed)
+
+    # Most nodes are leaves; what they need follows from their parent. The rest is done for inner nodes (and tops) alone, each of the
+    # size of itself and its leaves.
+    links = base.select("id", "up")
+    fan = scratch.keep(links.where("up is not null").groupBy(F.col("up").alias("f_id")).agg(F.count("*").alias("kids")), "fan")
+    split = scratch.keep(links.join(fan, F.col("id") == F.col("f_id"), "left").select("id", "up", (F.col("kids").isNull() & F.col("up").isNotNull()).alias("leaf")), "split", by="leaf")
+    leaves = split.where("leaf").select("id", "up")
+    leafy = leaves.groupBy(F.col("up").alias("l_id")).agg(F.count("*").alias("leaves"))
+    inner = scratch.keep(split.where("not leaf").join(leafy, F.col("id") == F.col("l_id"), "left").select("id", "up", (F.coalesce("leaves", F.lit(0)) + 1).alias("own")), "inner")
+
+    first = scratch.child("climb")
+    ended, endless, below = climb(inner, first, own="own")
+    loops = endless.select("id").join(base.select("id", "up", "key"), "id")
+    cycles = scratch.keep(_smallest_on_cycle(loops, scratch), "cycles")
+    size = (F.col("own") + F.coalesce("below", F.lit(0))).alias("size")
+    sized = scratch.keep(ended.join(inner, "id").join(below, "id", "left").select("id", "up", "top", "steps", "own", size), "sized")
+    first.drop()
+    largest = F.max(F.struct("size", (-F.col("id")).alias("minus"))).alias("h")
+    heavy = sized.where("up is not null").groupBy("up").agg(largest).select(F.col("up").alias("h_up"), (-F.col("h.minus")).alias("h_id"), F.col("h.size").alias("h_size"))
+    if intervals:
+        heavy = heavy.join(sized.select(F.col("id").alias("h_up"), F.col("own").alias("h_own")), "h_up")
+    else:
+        heavy = heavy.withColumn("h_own", F.lit(0).cast("long"))
     heavy = scratch.keep(heavy, "heavy")
-    chained = scratch.keep(sized.join(heavy, F.col("id") == F.col("h_id"), "left").select("id", F.col("h_up").alias("up")), "chain_links")
-    on_chain, _, _ = climb(chained, scratch)
-    on_chain = scratch.keep(on_chain.select("id", F.col("top").alias("chain"), F.col("steps").alias("pos")), "on_chain")
+    chained = sized.join(heavy, F.col("id") == F.col("h_id"), "left").select("id", F.col("up").alias("attach"), F.col("h_up").alias("up"), F.col("h_own").alias("gap"), "top", F.col("steps").alias("head_depth"), "size")
+    chained = scratch.keep(chained, "chained")
+    second = scratch.child("climb")
+    on_chain, _, _ = climb(chained.select("id", "up", "gap"), second, adds=["gap"])
+    on_chain = scratch.keep(on_chain.select("id", F.col("top").alias("chain"), F.col("steps").alias("pos"), "gap"), "on_chain")
+    second.drop()
 
     # One row per chain: the chain above it and where on that it hangs.
-    heads = sized.join(chained.where("up is null").select("id"), "id").select(F.col("id").alias("head"), F.col("up").alias("attach"))
-    hung = heads.join(on_chain.select(F.col("id").alias("a_id"), F.col("chain").alias("a_chain"), F.col("pos").alias("a_pos")), F.col("attach") == F.col("a_id"), "left").select("head", "attach", "a_chain", "a_pos")
-    lengths = on_chain.groupBy("chain").agg(F.count("*").alias("chain_len"))
+    heads = chained.where("up is null").select(F.col("id").alias("head"), "attach", "top", "head_depth", "size")
+    hung = heads.join(on_chain.select(F.col("id").alias("a_id"), F.col("chain").alias("a_chain"), F.col("gap").alias("a_gap")), F.col("attach") == F.col("a_id"), "left").drop("a_id")
+    lengths = on_chain.groupBy(F.col("chain").alias("head")).agg(F.count("*").alias("chain_len"))
+    hung = hung.join(lengths, "head")
     if intervals:
-        light = sized.where("up is not null").join(chained.where("up is null").select("id"), "id").select("id", "up", "size", F.pmod(F.hash("id"), F.lit(DEALT)).alias("deal"))
-        light = scratch.keep(light, "light")
-        starts = light.groupBy("up", "deal").agg(F.sum("size").alias("dealt"))
-        starts = starts.withColumn("start", F.sum("dealt").over(Window.partitionBy("up").orderBy("deal")) - F.col("dealt")).drop("dealt")
-        run = F.sum("size").over(Window.partitionBy("up", "deal").orderBy("id")) - F.col("size")
-        placed = light.withColumn("run", run).join(starts, ["up", "deal"]).join(heavy, F.col("up") == F.col("h_up")).select("id", (F.col("start") + F.col("run") + F.col("h_size") + 1).alias("offset"))
-        hung = hung.join(placed, F.col("head") == F.col("id"), "left").drop("id")
+        light = heads.where("attach is not null").select(F.col("head").alias("id"), F.col("attach").alias("up"), "size")
+        placed = _dealt_starts(light).join(heavy, F.col("up") == F.col("h_up"))
+        hung = hung.join(placed.select(F.col("id").alias("head"), (F.col("start") + F.col("h_size") + F.col("h_own")).alias("offset")), "head", "left")
     else:
         hung = hung.withColumn("offset", F.lit(0).cast("long"))
     hung = scratch.keep(hung, "hung")
-    over, _, _ = climb(hung.select(F.col("head").alias("id"), F.col("a_chain").alias("up"), (F.col("a_pos") + F.coalesce("offset", F.lit(0))).alias("base")), scratch, adds=["base"])
-    chains = over.select(F.col("id").alias("chain"), F.col("steps").alias("level"), "base").join(hung.select(F.col("head").alias("chain"), "attach"), "chain").join(lengths, "chain")
-
-    placed_nodes = on_chain.join(chains, "chain").join(base.select("id", "label"), "id")
-    levels = scratch.keep(_segments(placed_nodes).select("id", "level", "attach", "base", "pos", "seg"), "levels", by="level")
+    third = scratch.child("climb")
+    over, _, _ = climb(hung.select(F.col("head").alias("id"), F.col("a_chain").alias("up"), (F.col("a_gap") + F.coalesce("offset", F.lit(0))).alias("base")), third, adds=["base"])
+    chains = over.select(F.col("id").alias("chain"), F.col("steps").alias("level"), "base").join(hung.select(F.col("head").alias("chain"), "attach", "chain_len", "top", "head_depth"), "chain")
+
+    labelled = on_chain.join(base.select("id", "label"), "id").join(chains, "chain")
+    levels = _segments(labelled).select("id", "level", "attach", "top", (F.col("head_depth") + F.col("pos")).alias("depth"), (F.col("base") + F.col("gap")).alias("pos_first"), "seg")
+    levels = scratch.keep(levels, "levels", by="level")
+    third.drop()
     hangers = scratch.keep(hung.where("attach is not null").select(F.col("attach").alias("id")).distinct(), "hangers")
     deepest = levels.agg(F.max("level")).first()[0]
-    paths: list[DataFrame] = []
-    for level in range((deepest if deepest is not None else -1) + 1):
-        here = levels.where(F.col("level") == level)
-        if level:
-            above = paths[-1].join(hangers, "id", "left_semi").select(F.col("id").alias("a_id"), F.col("path").alias("a_path"))
-            here = here.join(above, F.col("attach") == F.col("a_id")).withColumn("path", F.concat_ws(SEPARATOR, "a_path", "seg"))
-        else:
-            here = here.withColumn("path", F.col("seg"))
-        paths.append(scratch.keep(here.select("id", "path", (F.col("base") + F.col("pos")).alias("pos_first")), "paths"))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("pos_first", T.LongType())])
-    path = spark.createDataFrame([], schema)
-    for p in paths:
-        path = path.unionByName(p)
-
-    tops = sized.where("up is null").select("id", F.col("size").alias("tree_size")).join(base, "id").select(F.col("id").alias("top"), F.col("key").alias("top_node"), F.col("pkey").isNotNull().alias("top_dangles"), "tree_size")
-    rooted = sized.join(path, "id").join(tops, "top")
-    rooted = rooted.select("id", F.when(F.col("top_dangles"), "dangling").otherwise("rooted").alias("status"), "top_node", F.col("steps").alias("depth"), "path", "pos_first", (F.col("pos_first") + F.col("size") - 1).alias("pos_last"), "tree_size")
-    caught = cycles.select("id", F.lit("cycle").alias("status"), F.col("least").alias("top_node"))
-    ends = rooted.unionByName(caught, allowMissingColumns=True)
-    out = base.join(ends, "id")
-    return out.select(F.col("key").alias(key), F.col("pkey").alias(parent), "status", "top_node", "depth", "path", *[F.col(f"c_{c}").alias(c) for c in carry], *(["pos_first", "pos_last", "tree_size"] if intervals else []))
+    path = levels.where("level = 0").select("id", "top", "depth", "pos_first", F.col("seg").alias("path"))
+    above = path
+    for level in range(1, (deepest or 0) + 1):
+        above = above.join(hangers, "id", "left_semi").select(F.col("id").alias("a_id"), F.col("path").alias("a_path"))
+        here = levels.where(F.col("level") == level).join(above, F.col("attach") == F.col("a_id"))
+        above = scratch.keep(here.select("id", "top", "depth", "pos_first", F.concat_ws(SEPARATOR, "a_path", "seg").alias("path")), "paths")
+        path = path.unionByName(above)
+
+    # Each node from its parent; then its place.
+    over_it = path.select(F.col("id").alias("o_id"), F.col("top").alias("o_top"), F.col("depth").alias("o_depth"), F.col("path").alias("o_path"), F.col("pos_first").alias("o_first"))
+    under = base.where("up is not null").join(over_it, F.col("up") == F.col("o_id"))
+    under = under.select(*base.columns, F.col("o_top").alias("top"), (F.col("o_depth") + 1).alias("depth"), F.concat_ws(SEPARATOR, "o_path", "label").alias("path"))
+    tops = base.where("up is null").select("*", F.col("id").alias("top"), F.lit(0).cast("long").alias("depth"), F.col("label").alias("path"))
+    rooted = under.unionByName(tops)
+    if intervals:
+        own_place = path.select("id", "pos_first").join(sized.select("id", "size"), "id").select("id", "pos_first", (F.col("pos_first") + F.col("size") - 1).alias("pos_last"))
+        ranked = _dealt_starts(leaves.withColumn("size", F.lit(1).cast("long")))
+        leaf_place = ranked.join(over_it, F.col("up") == F.col("o_id")).select("id", (F.col("o_first") + 1 + F.col("start")).alias("pos_first"))
+        rooted = rooted.join(own_place.unionByName(leaf_place.withColumn("pos_last", F.col("pos_first"))), "id")
+    ends = sized.where("up is null").select("id", F.col("size").alias("tree_size")).join(base.where("up is null").select("id", "key", "pkey"), "id")
+    ends = ends.select(F.col("id").alias("top"), F.col("pkey").isNotNull().alias("dangles"), F.col("key").alias("top_node"), "tree_size")
+    rooted = rooted.join(ends, "top").withColumn("status", F.when(F.col("dangles"), "dangling").otherwise("rooted"))
+    caught = base.join(cycles.withColumnRenamed("id", "o_id"), F.col("up") == F.col("o_id")).withColumn("status", F.lit("cycle")).withColumn("top_node", F.col("least"))
+    names = [F.col("key").alias(key), F.col("pkey").alias(parent), "status", "top_node", *[F.col(f"c_{c}").alias(c) for c in carry]]
+    out = rooted.select(*names, "depth", "path", *(["pos_first", "pos_last", "tree_size"] if intervals else []))
+    return out.unionByName(caught.select(*names), allowMissingColumns=True)
+
+
+def _dealt_starts(rows: DataFrame) -> DataFrame:
+    """(id, up, start): the sum of the sizes of the siblings before each row. Siblings are dealt into parts, so that no task holds all
+    children of a parent with very many."""
+    rows = rows.withColumn("deal", F.pmod(F.hash("id"), F.lit(DEALT)))
+    parts = rows.groupBy("up", "deal").agg(F.sum("size").alias("dealt"))
+    parts = parts.withColumn("before", F.sum("dealt").over(Window.partitionBy("up").orderBy("deal")) - F.col("dealt")).drop("dealt")
+    run = F.sum("size").over(Window.partitionBy("up", "deal").orderBy("id")) - F.col("size")
+    return rows.withColumn("run", run).join(parts, ["up", "deal"]).select("id", "up", (F.col("before") + F.col("run")).alias("start"))
 
 
 def descendants(tree: DataFrame, key: str) -> DataFrame:

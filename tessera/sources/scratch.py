@@ -51,10 +51,16 @@ class Scratch:
         back._scratch_path = path
         return back
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table that nothing reads any more."""
-        path = getattr(df, "_scratch_path", None)
+    def child(self, name: str) -> Scratch:
+        """A folder within this one that can be dropped by itself."""
+        self._n += 1
+        inner = Scratch(self.spark, name)
+        inner.path = f"{self.path}/{self._n:03d}-{name}"
+        return inner
+
+    def drop(self, df: DataFrame | None = None, part: str = "") -> None:
+        """Remove a table, one partition of it, or without a table all of this folder, once nothing reads it any more."""
+        path = self.path if df is None else getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
