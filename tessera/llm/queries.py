@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fusion, lookalikes, packing, splitting, stuffing, tokens
+from tessera.llm import fusion, lookalikes, packing, scans, splitting, stuffing, tokens
 from tessera.sources.scratch import Scratch
 from tessera.sources.tables import current_rows, read
 
@@ -84,3 +84,23 @@ def p5_canonical(spark: SparkSession, folder: str) -> DataFrame:
     nodes = scratch.keep(current_rows(read(spark, folder, "nodes"), "node_id", ["text"]).select("node_id", "text"), "nodes")
     odd = lookalikes.canonical_texts(nodes, ["node_id"], "text", scratch).select("node_id", F.col("canon").alias("text"))
     return nodes.where(F.col("text").isNull() | F.col("text").rlike(lookalikes.PLAIN)).unionByName(odd)
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that carry marks of scanning: extractions with all their pages, current nodes and chunks with one text."""
+    pages = read(spark, folder, "extracted_pages").select(F.lit("extracted_pages").alias("table_name"), F.col("extract_id").cast("string").alias("record_key"), F.lit(True).alias("paged"), "pages")
+    out = pages
+    for name, key in (("nodes", "node_id"), ("chunks", "chunk_id")):
+        rows = current_rows(read(spark, folder, name), key, ["text"]).where("text is not null")
+        out = out.unionByName(rows.select(F.lit(name).alias("table_name"), F.col(key).alias("record_key"), F.lit(False).alias("paged"), F.array("text").alias("pages")))
+    return Scratch(spark, "records").keep(out, "records")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct repairs of every record."""
+    return scans.Repair(_records(spark, folder)).repairs().select("table_name", "record_key", "noise", "token").distinct()
+
+
+def p3_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record as continuous paragraphs."""
+    return scans.Repair(_records(spark, folder)).texts()

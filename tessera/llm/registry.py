@@ -6,7 +6,7 @@ from tessera.llm import queries as q
 
 
 def queries() -> dict:
-    return {"p2_found": q.p2_found, "p2_ranking": q.p2_ranking, "p5_found": q.p5_found, "p5_canonical": q.p5_canonical, "p6_found": q.p6_found, "p6_pieces": q.p6_pieces, "p7_ids": q.p7_ids, "p8_containers": q.p8_containers, "p9_found": q.p9_found, "p9_line_shares": q.p9_line_shares}
+    return {"p2_found": q.p2_found, "p2_ranking": q.p2_ranking, "p3_found": q.p3_found, "p3_texts": q.p3_texts, "p5_found": q.p5_found, "p5_canonical": q.p5_canonical, "p6_found": q.p6_found, "p6_pieces": q.p6_pieces, "p7_ids": q.p7_ids, "p8_containers": q.p8_containers, "p9_found": q.p9_found, "p9_line_shares": q.p9_line_shares}
 
 
 def oracle_sql() -> dict[str, str]:
