@@ -6,20 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import structure
+from tessera.plans import search_queries, structure, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Modules with QUERIES: name -> (query, SQL or None).
+MODULES = (structure, text_queries, search_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "p1_found": structure.p1_found,
-        "p1_hierarchy": structure.p1_hierarchy,
-        "p1_descendants": structure.p1_descendants,
-        "p4_found": structure.p4_found,
-        "p4_orphans_by_month": structure.p4_orphans_by_month,
-    }
+    return {name: query for module in MODULES for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": structure.P1_FOUND_SQL, "p1_descendants": structure.P1_DESCENDANTS_SQL, "p4_found": structure.P4_FOUND_SQL, "p4_orphans_by_month": structure.P4_MONTH_SQL}
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}

@@ -118,3 +118,11 @@ bad AS (
 
 P4_FOUND_SQL = _ORPHANS + "SELECT table_name, field_name, record_key FROM bad WHERE reason IS NOT NULL"
 P4_MONTH_SQL = _ORPHANS + "SELECT table_name, field_name, reason, strftime(ingested_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS orphans FROM bad WHERE reason IS NOT NULL GROUP BY ALL"
+
+QUERIES = {
+    "p1_found": (p1_found, P1_FOUND_SQL),
+    "p1_hierarchy": (p1_hierarchy, None),
+    "p1_descendants": (p1_descendants, P1_DESCENDANTS_SQL),
+    "p4_found": (p4_found, P4_FOUND_SQL),
+    "p4_orphans_by_month": (p4_orphans_by_month, P4_MONTH_SQL),
+}
