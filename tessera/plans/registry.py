@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import quality_queries, search_queries, structure, text_queries
+from tessera.plans import evaluation_queries, quality_queries, search_queries, structure, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with QUERIES: name -> (query, SQL or None).
-MODULES = (structure, text_queries, search_queries, quality_queries)
+MODULES = (structure, text_queries, search_queries, quality_queries, evaluation_queries)
 
 
 def queries() -> dict[str, Query]:
