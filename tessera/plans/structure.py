@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.hierarchy import SEPARATOR, descendants, hierarchy
 from tessera.operators.orphans import Table, orphans
 from tessera.sources.tables import current_rows, read
 
-NODE_LABEL = F.concat(F.coalesce("node_type", F.lit("")), F.lit(":"), F.coalesce("ref", "heading", F.lit("unlabeled")))
+
+def node_label() -> Column:
+    """What a node contributes to a path."""
+    return F.concat(F.coalesce("node_type", F.lit("")), F.lit(":"), F.coalesce("ref", "heading", F.lit("unlabeled")))
 
 
 def _tree(spark: SparkSession, folder: str, intervals: bool) -> DataFrame:
     stored = F.when(F.col("ancestor_path").isNotNull(), F.struct(F.xxhash64("ancestor_path").alias("a"), F.hash("ancestor_path").alias("b"), F.length("ancestor_path").alias("n"))).alias("stored")
-    nodes = current_rows(read(spark, folder, "nodes"), "node_id", ["parent_node_id", NODE_LABEL.alias("label"), stored])
+    nodes = current_rows(read(spark, folder, "nodes"), "node_id", ["parent_node_id", node_label().alias("label"), stored])
     return hierarchy(nodes, "node_id", "parent_node_id", F.col("label"), carry=["stored"], intervals=intervals)
 
 
