@@ -46,6 +46,8 @@ def look(ch: str) -> str:
         return ch
     if ignorable(ch):
         return ""
+    if ch in LOOK_ALIKES:
+        return LOOK_ALIKES[ch]
     if ch in HYPHENS:
         return "-"
     if unicodedata.category(ch) == "Zs":
