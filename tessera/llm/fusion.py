@@ -126,9 +126,17 @@ def fuse(rows: DataFrame, scorers: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
 
 
 def ranking(shares: DataFrame) -> DataFrame:
-    """Adds ``place``, from 1, by share and then item; shares are compared to nine digits, so that rounding makes no difference."""
-    order = Window.partitionBy("query").orderBy(F.desc(F.round("share", 9)), "item")
-    return shares.withColumn("place", F.row_number().over(order))
+    """Adds ``place``, from 1, by share and then item; shares are compared to nine digits, so that rounding makes no difference.
+
+    All rows are sorted by ranges, so a query with very many items is numbered by several tasks.
+    """
+    scratch = Scratch(shares.sparkSession, "ranking")
+    ordered = shares.withColumn("minus", -F.round("share", 9)).repartitionByRange("query", "minus", "item").withColumn("part", F.spark_partition_id())
+    ordered = scratch.keep(ordered, "ordered")
+    starts = ordered.groupBy("query", "part").agg(F.count("*").alias("c"))
+    starts = starts.withColumn("start", F.sum("c").over(Window.partitionBy("query").orderBy("part")) - F.col("c")).drop("c")
+    within = F.row_number().over(Window.partitionBy("query", "part").orderBy("minus", "item"))
+    return ordered.withColumn("n", within).join(starts, ["query", "part"]).select("query", "item", "share", (F.col("n") + F.col("start")).alias("place"))
 
 
 def first_places(shares: DataFrame) -> DataFrame:
