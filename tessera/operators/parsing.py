@@ -461,3 +461,88 @@ def blocks(chunks: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["chunk_id", "kind", "place", "label", "style", "depth", "text"]).astype({"depth": "Int32"})
 
     return chunks.where(F.col("text").isNotNull()).select("chunk_id", "type", "text").mapInPandas(run, "chunk_id string, kind string, place int, label string, style string, depth int, text string")
+
+
+# --- the node tree of a document ----------------------------------------------------------------------------------------------------------
+
+
+def safe_id(text: str) -> str:
+    return re.sub(r"[^A-Za-z0-9]+", "_", text).lower().strip("_")
+
+
+def nodes_of(doc: str, pages: list[str]) -> list[tuple]:
+    """(node_id, parent, type, ref, order, page_start, page_end, label, depth, row, col, text) of all nodes of a document.
+
+    A clause hangs on the latest earlier clause of its longest dotted prefix, else on the document; a table on the last clause. Blocks of
+    a chunk hang on its node: lists with nested items (an item's parent is the last one a level higher), notes, paragraphs, requirements,
+    rows and cells.
+    """
+    out: list[tuple] = []
+    root = f"{doc}:node:document"
+    clauses: dict[str, str] = {}
+    seen: Counter = Counter()
+    last = root
+
+    def add(node: str, parent: str | None, kind: str, ref: str | None, c: Chunk | None, text: str | None, label: str | None = None, depth: int | None = None, row: int | None = None, col: int | None = None) -> str:
+        out.append((node, parent, kind, ref, len(out) + 1, c.page_start if c else 1, c.page_end if c else max(1, len(pages)), label, depth, row, col, text))
+        return node
+
+    add(root, None, "document", None, None, None)
+    clean, _ = normalise_pages(pages)
+    for c in chunks_of(clean):
+        kind = "subclause" if c.kind == "clause" and c.ref.count(".") > 1 else c.kind
+        seen[kind, safe_id(c.ref)] += 1
+        node = f"{doc}:node:{kind}:{safe_id(c.ref)}:{seen[kind, safe_id(c.ref)]:03d}"
+        parent = root
+        if c.kind == "table":
+            parent = last
+        elif c.kind == "clause":
+            prefix = c.ref
+            while "." in prefix and parent == root:
+                prefix = prefix.rpartition(".")[0]
+                parent = clauses.get(prefix, root)
+        add(node, parent, kind, c.ref, c, c.heading, safe_id(c.ref))
+        if c.kind == "clause":
+            clauses[c.ref] = last = node
+        if c.kind == "table":
+            rows, _ = table_rows(c.text, c.heading)
+            for r, cells in enumerate(rows, 1):
+                row = add(f"{node}:row:{r:03d}", node, "table_row", c.ref, c, " | ".join(cells), f"row {r}", None, r)
+                for k, cell in enumerate(cells, 1):
+                    add(f"{node}:cell:{r:03d}:{k:03d}", row, "table_cell", c.ref, c, cell, f"r{r}c{k}", None, r, k)
+            continue
+        items, _, _ = list_items(c.text, c.heading)
+        if items:
+            over = {0: add(f"{node}:list:001", node, "list", c.ref, c, None)}
+            for i, item in enumerate(items, 1):
+                level = item.depth
+                while level - 1 not in over:
+                    level -= 1
+                over = {d: n for d, n in over.items() if d < level}
+                over[level] = add(f"{node}:list:001:item:{i:03d}", over[level - 1], "list_item", c.ref, c, item.text, item.label, level)
+        notes = note_items(c.text, c.heading)
+        if notes:
+            note = add(f"{node}:note:001", node, "note", c.ref, c, None)
+            for i, (label, text) in enumerate(notes, 1):
+                add(f"{note}:item:{i:03d}", note, "note_item", c.ref, c, text, label)
+        for i, text in enumerate(paragraphs(c.text, c.heading), 1):
+            add(f"{node}:paragraph:{i:03d}", node, "paragraph", c.ref, c, text, str(i))
+        atoms = [a.strip() for a in re.split(r"[.;]\s+", " ".join(body_lines(c.text, c.heading)))]
+        for i, text in enumerate((a for a in atoms if re.search(r"\bshall(?:\s+not)?\b|\bshould\b", a, re.I)), 1):
+            add(f"{node}:req:{i:03d}", node, "requirement_atom", c.ref, c, text, f"req {i}")
+    return out
+
+
+def structured_nodes(extractions: DataFrame) -> DataFrame:
+    """The nodes of all extractions (extract_id, doc_id, pages); ids start with the extraction, as a document may have several."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, doc, pages in zip(batch["extract_id"], batch["doc_id"], batch["pages"]):
+                out.extend((key, *n) for n in nodes_of(f"{doc}:{key}", [p or "" for p in pages] if pages is not None else []))
+            columns = ["extract_id", "node_id", "parent_node_id", "node_type", "ref", "order_index", "page_start", "page_end", "label", "list_depth", "row_idx", "col_idx", "text"]
+            yield pd.DataFrame(out, columns=columns).astype({"list_depth": "Int32", "row_idx": "Int32", "col_idx": "Int32"})
+
+    key = extractions.schema["extract_id"].dataType.simpleString()
+    return extractions.select("extract_id", "doc_id", "pages").mapInPandas(run, f"extract_id {key}, node_id string, parent_node_id string, node_type string, ref string, order_index int, page_start int, page_end int, label string, list_depth int, row_idx int, col_idx int, text string")
