@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -72,12 +72,14 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     lines = parts(text)
     rows, sizes, words_of = [], [], []
     for line in lines:
-        bare, links = _LINK.subn(" ", line)
-        words = _WORD.findall(bare.lower())
-        words_of.append(words)
+        low = line.lower()
+        bare, links = _LINK.subn(" ", low) if "/" in low or "<" in low or "www." in low or "href=" in low else (low, 0)
+        words = _WORD.findall(bare)
         n = max(1, len(words) + links)
-        function = sum(w in FUNCTION_WORDS for w in words) / n
         content = [w for w in words if w not in FUNCTION_WORDS]
+        stems = [w[:STEM] for w in content]
+        words_of.append((stems, max(1, len(words))))
+        function = (len(words) - len(content)) / n
         repeats = 1 - len(set(content)) / len(content) if content else 0.0
         separators = len(_SEPARATOR.findall(bare)) / n
         rows.append([
@@ -90,9 +92,10 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
             (n > 3) + (n > 8) + (n > 20),
         ])
         sizes.append(max(1, len(line.split())))
-    seen = Counter(w[:STEM] for words in words_of for w in words if w not in FUNCTION_WORDS)
-    for row, words in zip(rows, words_of):
-        often = sum(seen[w[:STEM]] >= OFTEN for w in words if w not in FUNCTION_WORDS) / max(1, len(words))
+    seen = Counter(chain.from_iterable(stems for stems, _ in words_of))
+    frequent = {w for w, n in seen.items() if n >= OFTEN}
+    for row, (stems, n) in zip(rows, words_of):
+        often = sum(w in frequent for w in stems) / n
         row[3] = int(often > 0.2) + int(often > 0.5) + int(often > 0.8)
     return np.array(rows, dtype=np.int8).reshape(-1, 7), np.array(sizes, dtype=np.int64)
 
@@ -123,41 +126,79 @@ class LineModel:
     def lines(self, x: np.ndarray) -> np.ndarray:
         return sum(e[:, x[:, f]] for f, e in enumerate(self.emit)).T
 
-    def viterbi(self, x: np.ndarray) -> np.ndarray:
-        """The most likely states of the lines of one page."""
-        score = self.lines(x)
-        best, back = self.start + score[0], np.zeros(score.shape, dtype=np.int8)
-        for t in range(1, len(score)):
-            step = best[:, None] + self.move
-            back[t] = step.argmax(0)
-            best = step.max(0) + score[t]
-        out = np.zeros(len(score), dtype=np.int8)
-        out[-1] = best.argmax()
-        for t in range(len(score) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+    def aligned(self, pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, length, score): pages of at least one line, the longest first, with the scores of their lines, filled up with zeros."""
+        length = np.array([len(x) for x in pages])
+        order = np.argsort(-length, kind="stable")
+        score = np.zeros((len(pages), int(length.max()), len(STATES)))
+        flat = self.lines(np.concatenate([pages[i] for i in order]))
+        at = 0
+        for row, i in enumerate(order):
+            score[row, : length[i]] = flat[at : at + length[i]]
+            at += length[i]
+        return order, length[order], score
+
+    def viterbi(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """The most likely states of the lines of each page; all pages step together, so a step is one operation on all of them."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(pages)
+        filled = [i for i, x in enumerate(pages) if len(x)]
+        for group in near_in_length(filled, pages):
+            order, length, score = self.aligned([pages[i] for i in group])
+            best = self.start + score[:, 0]
+            back = np.zeros(score.shape, dtype=np.int8)
+            for t in range(1, score.shape[1]):
+                n = int((length > t).sum())  # the longest are first
+                step = best[:n, :, None] + self.move
+                back[:n, t] = step.argmax(1)
+                best[:n] = step.max(1) + score[:n, t]
+            state = best.argmax(1)
+            states = np.zeros(score.shape[:2], dtype=np.int8)
+            for t in range(score.shape[1] - 1, -1, -1):
+                n = int((length > t).sum())
+                states[:n, t] = state[:n]
+                if t:
+                    state[:n] = back[np.arange(n), t, state[:n]]
+            for row, i in enumerate(order):
+                out[group[i]] = states[row, : length[row]]
         return out
 
-    def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected states of each line and expected moves of one page."""
-        score = self.lines(x)
-        p = np.exp(score - score.max(1, keepdims=True))
-        move = np.exp(self.move)
-        n = len(p)
-        fwd, back = np.zeros_like(p), np.ones_like(p)
-        fwd[0] = np.exp(self.start) * p[0]
-        fwd[0] /= fwd[0].sum()
-        for t in range(1, n):
-            fwd[t] = (fwd[t - 1] @ move) * p[t]
-            fwd[t] /= fwd[t].sum()
-        moves = np.zeros_like(move)
-        for t in range(n - 2, -1, -1):
-            ahead = p[t + 1] * back[t + 1]
-            pair = fwd[t][:, None] * move * ahead
-            moves += pair / pair.sum()
-            back[t] = move @ ahead
-            back[t] /= back[t].sum()
-        states = fwd * back
-        return states / states.sum(1, keepdims=True), moves
+    def posterior(self, pages: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Expected states of each line of each page, and expected moves of all pages."""
+        out: list[np.ndarray] = [np.zeros((0, len(STATES)))] * len(pages)
+        moves, move = np.zeros_like(self.move), np.exp(self.move)
+        for group in near_in_length(list(range(len(pages))), pages):
+            order, length, score = self.aligned([pages[i] for i in group])
+            p = np.exp(score - score.max(2, keepdims=True))
+            fwd, back = np.zeros_like(p), np.ones_like(p)
+            fwd[:, 0] = np.exp(self.start) * p[:, 0]
+            fwd[:, 0] /= fwd[:, 0].sum(1, keepdims=True)
+            for t in range(1, p.shape[1]):
+                n = int((length > t).sum())
+                fwd[:n, t] = (fwd[:n, t - 1] @ move) * p[:n, t]
+                fwd[:n, t] /= fwd[:n, t].sum(1, keepdims=True)
+            for t in range(p.shape[1] - 2, -1, -1):
+                n = int((length > t + 1).sum())
+                ahead = p[:n, t + 1] * back[:n, t + 1]
+                pair = fwd[:n, t, :, None] * move * ahead[:, None, :]
+                moves += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+                back[:n, t] = ahead @ move.T
+                back[:n, t] /= back[:n, t].sum(1, keepdims=True)
+            states = fwd * back
+            states /= np.maximum(states.sum(2, keepdims=True), 1e-300)
+            for row, i in enumerate(order):
+                out[group[i]] = states[row, : length[row]]
+        return out, moves
+
+
+def near_in_length(at: list[int], pages: list[np.ndarray], cells: int = 400_000) -> list[list[int]]:
+    """Groups of pages of similar length, each of a bounded size when filled up; a longer page is a group by itself."""
+    groups: list[list[int]] = []
+    for i in sorted(at, key=lambda i: -len(pages[i])):
+        if groups and (len(groups[-1]) + 1) * len(pages[groups[-1][0]]) <= cells and len(pages[i]) * 2 >= len(pages[groups[-1][0]]):
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    return groups
 
 
 def train(pages: list[np.ndarray]) -> LineModel:
@@ -183,27 +224,19 @@ def train(pages: list[np.ndarray]) -> LineModel:
             for f in range(len(VALUES)):
                 np.add.at(emit[f].T, x[:, f], w)
         model = LineModel(np.log(start / start.sum()), np.log(moves / moves.sum(1, keepdims=True)), [np.log(e / e.sum(1, keepdims=True)) for e in emit])
-        start, moves, new = np.full(k, 1.0), np.full((k, k), 1.0) + 6 * np.eye(k), []
-        for x, s in zip(pages, seeds):
-            states, pairs = model.posterior(x)
-            fixed = s >= 0
-            states[fixed] = np.eye(k)[s[fixed]]
-            new.append(states)
-            moves += pairs
-            start += states[0]
-        weights = new
+        expected, pairs = model.posterior(pages)
+        for states, s in zip(expected, seeds):
+            states[s >= 0] = np.eye(k)[s[s >= 0]]
+        weights, moves = expected, np.full((k, k), 1.0) + 6 * np.eye(k) + pairs
+        start = np.full(k, 1.0) + sum((states[0] for states in expected), np.zeros(k))
     return model
 
 
-def shares(text: str | None, model: LineModel) -> tuple[int, list[int]]:
-    """(words, words of lines in each state) of one page."""
-    if not text:
-        return 0, [0] * len(STATES)
-    x, sizes = features(text)
-    if not len(x):
-        return 0, [0] * len(STATES)
-    states = model.viterbi(x)
-    return int(sizes.sum()), [int(sizes[states == s].sum()) for s in range(len(STATES))]
+def shares(texts: list[str | None], model: LineModel) -> list[tuple[int, list[int]]]:
+    """(words, words of lines in each state) of each page."""
+    read = [features(t or "") for t in texts]
+    labelled = model.viterbi([x for x, _ in read])
+    return [(int(sizes.sum()), np.bincount(states, sizes, len(STATES)).astype(int).tolist()) for (_, sizes), states in zip(read, labelled)]
 
 
 def sample_features(docs: DataFrame, text: str) -> list[np.ndarray]:
@@ -228,9 +261,8 @@ def line_shares(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = LineModel(*held)
-        known = lru_cache(maxsize=4096)(lambda t: shares(t, m))
         for batch in batches:
-            found = [known(t) if t is not None and len(t) < 500 else shares(t, m) for t in batch["text"]]
+            found = shares(batch["text"].tolist(), m)
             out = {"key": batch["key"], "words": [w for w, _ in found]}
             out |= {s: [by[i] for _, by in found] for i, s in enumerate(STATES)}
             yield pd.DataFrame(out | {"stuffed": [2 * sum(n for n, bad in zip(by, STUFFING) if bad) > w for w, by in found]})
