@@ -10,10 +10,13 @@ from tessera.operators import quality as Q
 from tessera.plans.search_queries import CORPUS_SQL, corpus
 from tessera.plans.structure import current_sql, key_sql
 from tessera.plans.text_queries import WS, cur
+from tessera.sources.scratch import Scratch
 from tessera.sources.tables import read
 
 NODE_FIELDS = ["parent_node_id", "node_type", "doc_id", "list_depth", "list_marker_style", "item_index", "table_node_id", "row_idx", "col_idx", "is_header", "row_span", "col_span"]
 N = f"n AS MATERIALIZED (SELECT *, {key_sql('parent_node_id')} AS p FROM {current_sql('nodes', 'node_id')})"
+#: How far up the nearest reference may be.
+LEVELS = 16
 #: The gates on the measures that the tables give.
 GATES = [
     Q.Gate("Q-004", "duplicate_chunks", 0, True),
@@ -235,15 +238,24 @@ REPLAY_SQL = "WITH r AS (SELECT extract_id, page_pdf, backend, generated_at AS g
 def nearest_ref(spark: SparkSession, folder: str) -> DataFrame:
     """For every table cell the reference of the nearest clause, subclause, annex or table above it, at most 16 levels up.
 
-    One join a level over the cells still under way, so it never walks a cycle."""
-    n = cur(spark, folder, "nodes", ["parent_node_id", "node_type", "ref"]).select("node_id", F.btrim("parent_node_id").alias("p"), "node_type", "ref")
-    up = n.select(F.col("node_id").alias("u_id"), F.col("p").alias("u_p"), F.col("node_type").alias("u_type"), F.col("ref").alias("u_ref"))
-    state = n.where("node_type = 'table_cell'").select("node_id", F.col("p").alias("at"), F.lit(None).cast("string").alias("parent_ref"))
-    for _ in range(4):
-        ahead = state.join(up, F.when(F.col("parent_ref").isNull(), F.col("at")) == F.col("u_id"), "left")
-        fits = F.col("u_type").isin("clause", "subclause", "annex", "table") & F.col("u_ref").isNotNull()
-        state = ahead.select("node_id", F.col("u_p").alias("at"), F.coalesce("parent_ref", F.when(fits, F.col("u_ref"))).alias("parent_ref"))
-    return state.select("node_id", "parent_ref")
+    One join a level over the cells still under way, so it never walks a cycle; a cell that has its reference or is at the top goes no further."""
+    scratch = Scratch(spark, "nearest")
+    n = scratch.keep(cur(spark, folder, "nodes", ["parent_node_id", "node_type", "ref"]).select("node_id", F.btrim("parent_node_id").alias("p"), "node_type", "ref"), "nodes")
+    fits = F.col("node_type").isin("clause", "subclause", "annex", "table")
+    up = n.select(F.col("node_id").alias("u_id"), F.col("p").alias("u_p"), F.when(fits, F.col("ref")).alias("parent_ref"))
+    under_way = n.where("node_type = 'table_cell'").select("node_id", F.col("p").alias("at"), F.lit(None).cast("string").alias("parent_ref"))
+    ended = []
+    for _ in range(LEVELS):
+        ahead = scratch.keep(under_way.drop("parent_ref").join(up, F.col("at") == F.col("u_id"), "left").select("node_id", F.col("u_p").alias("at"), "parent_ref"), "level")
+        over = F.col("parent_ref").isNotNull() | F.col("at").isNull()
+        ended.append(ahead.where(over))
+        under_way = ahead.where(~over)
+        if under_way.isEmpty():
+            break
+    out = under_way
+    for e in ended:
+        out = out.unionByName(e)
+    return out.select("node_id", "parent_ref")
 
 
 NEAREST_REF_SQL = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT k, trim(parent_node_id) AS p, node_type, ref FROM {current_sql('nodes', 'node_id')}),
