@@ -18,10 +18,10 @@ from tessera.sources.tables import read
 
 
 def _labels(c: DataFrame, q: DataFrame) -> DataFrame:
-    """Expected: the first chunk whose reference or heading is the query; judged: the 16 chunks nearest to it."""
+    """Expected: the first chunk whose reference or heading is the query; judged: the 256 chunks nearest to it."""
     first = R.exact_tiers(c, q, 1).where("score >= 900").select("query_id", "chunk_id")
     seeds = first.join(c, "chunk_id").select(F.col("query_id").alias("seed"), "doc_id", F.col("page_pdf_start").alias("page"))
-    near = Q.nearest_pages(c, seeds, 16).select(F.col("seed").alias("query_id"), "chunk_id", F.lit(1).alias("rel"))
+    near = Q.nearest_pages(c, seeds).select(F.col("seed").alias("query_id"), "chunk_id", F.lit(1).alias("rel"))
     return near.unionByName(first.select("query_id", "chunk_id", F.lit(2).alias("rel"))).groupBy("query_id", "chunk_id").agg(F.max("rel").alias("rel"))
 
 

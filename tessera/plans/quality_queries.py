@@ -107,9 +107,9 @@ SELECT extract_id, edge, line, count(*) AS pages FROM e WHERE strlen(line) <= 12
 
 
 def judged_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
-    """For every table chunk the 16 chunks of its document whose first page is nearest."""
+    """For every table chunk the 256 chunks of its document whose first page is nearest."""
     c = corpus(spark, folder)
-    return Q.nearest_pages(c, c.where("type = 'table'").select(F.col("chunk_id").alias("seed"), "doc_id", F.col("page_pdf_start").alias("page")), 16)
+    return Q.nearest_pages(c, c.where("type = 'table'").select(F.col("chunk_id").alias("seed"), "doc_id", F.col("page_pdf_start").alias("page")))
 
 
 NEAREST_SQL = f"WITH {CORPUS_SQL} SELECT s.chunk_id AS seed, c.chunk_id, row_number() OVER (PARTITION BY s.chunk_id ORDER BY abs(coalesce(c.page_pdf_start, 0) - coalesce(s.page_pdf_start, 0)), c.chunk_id) AS place FROM c s JOIN c ON c.doc_id = s.doc_id WHERE s.type = 'table' QUALIFY place <= 16"

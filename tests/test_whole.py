@@ -1,8 +1,11 @@
 """Results that must not be cut short."""
 
+from collections import Counter
 from datetime import datetime
 
-from tessera.plans import quality_queries
+from pyspark.sql import functions as F
+
+from tessera.plans import evaluation_queries, quality_queries
 
 T0 = datetime(2024, 1, 1)
 
@@ -16,3 +19,17 @@ def test_nearest_ref_up_to_16_levels(spark, tmp_path):
     spark.createDataFrame(rows, "node_id string, parent_node_id string, node_type string, ref string, ingested_at timestamp").write.parquet(f"{tmp_path}/nodes.parquet")
     got = {r["node_id"]: r["parent_ref"] for r in quality_queries.nearest_ref(spark, str(tmp_path)).collect()}
     assert got == {"cell4": "4.2", "cell5": "4.2", "cell16": "4.2", "cell17": None, "round": None, "lost": None}
+
+
+def test_neighbourhood_of_256(spark, tmp_path):
+    chunks = [(f"c{i:03d}", "d", "table" if i == 0 else "clause", f"{i}", None, None, None, i, None, None, T0) for i in range(300)]
+    names = "chunk_id string, doc_id string, type string, ref string, heading string, text string, table_md string, page_pdf_start long, citation_anchor_id string, origin_node_id string, ingested_at timestamp"
+    spark.createDataFrame(chunks, names).withColumn("page_pdf_end", F.col("page_pdf_start")).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([("d", 1, 2020, T0)], "doc_id string, part int, year int, ingested_at timestamp").write.parquet(f"{tmp_path}/docs.parquet")
+    got = {r["chunk_id"]: r["place"] for r in quality_queries.judged_neighbourhood(spark, str(tmp_path)).collect()}
+    assert got == {f"c{i:03d}": i + 1 for i in range(256)}
+
+    queries = spark.createDataFrame([(1, "7", None, None)], "query_id long, query_text string, part_filter int, chunk_type_filter string")
+    labels = evaluation_queries._labels(evaluation_queries.corpus(spark, str(tmp_path)), queries).collect()
+    assert Counter(r["rel"] for r in labels) == {1: 255, 2: 1}
+    assert {r["chunk_id"] for r in labels} == set(got)
