@@ -71,19 +71,24 @@ def p9_line_shares(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.line_shares(read(spark, folder, "documents"), "doc_id", "text")
 
 
+def _looks(spark: SparkSession, folder: str) -> DataFrame:
+    """(table_name, key, text): current nodes by text and current chunks by table_md."""
+    nodes = current_rows(read(spark, folder, "nodes"), "node_id", ["text"]).select(F.lit("nodes").alias("table_name"), F.col("node_id").alias("key"), "text")
+    chunks = current_rows(read(spark, folder, "chunks"), "chunk_id", ["table_md"]).select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("key"), F.col("table_md").alias("text"))
+    return nodes.unionByName(chunks)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of nodes by text, and of chunks by table_md, that look the same and differ in their characters."""
-    nodes = current_rows(read(spark, folder, "nodes"), "node_id", ["text"]).select(F.lit("nodes").alias("table_name"), F.col("node_id").alias("k"), "text")
-    chunks = current_rows(read(spark, folder, "chunks"), "chunk_id", ["table_md"]).select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("k"), F.col("table_md").alias("text"))
-    return lookalikes.same_looks(nodes.unionByName(chunks), "table_name", "k", "text")
+    return lookalikes.same_looks(_looks(spark, folder), "table_name", "key", "text")
 
 
 def p5_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    """Every current node with its text in the one form."""
+    """Every current node with its text, and every current chunk with its table_md, in the one form."""
     scratch = Scratch(spark, "canonical")
-    nodes = scratch.keep(current_rows(read(spark, folder, "nodes"), "node_id", ["text"]).select("node_id", "text"), "nodes")
-    odd = lookalikes.canonical_texts(nodes, ["node_id"], "text", scratch).select("node_id", F.col("canon").alias("text"))
-    return nodes.where(F.col("text").isNull() | F.col("text").rlike(lookalikes.PLAIN)).unionByName(odd)
+    rows = scratch.keep(_looks(spark, folder), "rows")
+    odd = lookalikes.canonical_texts(rows, ["table_name", "key"], "text", scratch).select("table_name", "key", F.col("canon").alias("text"))
+    return rows.where(F.col("text").isNull() | F.col("text").rlike(lookalikes.PLAIN)).unionByName(odd)
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:

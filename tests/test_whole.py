@@ -5,6 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tessera.llm import queries as llm
 from tessera.plans import evaluation_queries, quality_queries
 
 T0 = datetime(2024, 1, 1)
@@ -33,3 +34,20 @@ def test_neighbourhood_of_256(spark, tmp_path):
     labels = evaluation_queries._labels(evaluation_queries.corpus(spark, str(tmp_path)), queries).collect()
     assert Counter(r["rel"] for r in labels) == {1: 255, 2: 1}
     assert {r["chunk_id"] for r in labels} == set(got)
+
+
+def test_canonical_form_of_both_tables(spark, tmp_path):
+    nodes = [("n1", "plain", T0), ("n2", "wide\u00a0space", T0), ("n3", None, T0), ("n1 ", "old", datetime(2023, 1, 1))]
+    spark.createDataFrame(nodes, "node_id string, text string, ingested_at timestamp").write.parquet(f"{tmp_path}/nodes.parquet")
+    chunks = [("c1", "| plain |", T0), ("c2", "| wide\u00a0\uff43ell |", T0), ("c3", None, T0), ("n2", "| same key |", T0)]
+    spark.createDataFrame(chunks, "chunk_id string, table_md string, ingested_at timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r["table_name"], r["key"]): r["text"] for r in llm.p5_canonical(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("nodes", "n1"): "plain",
+        ("nodes", "n2"): "wide space",
+        ("nodes", "n3"): None,
+        ("chunks", "c1"): "| plain |",
+        ("chunks", "c2"): "| wide cell |",
+        ("chunks", "c3"): None,
+        ("chunks", "n2"): "| same key |",
+    }
