@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,7 +60,7 @@ def _walk_group(rows: pd.DataFrame) -> pd.DataFrame:
         value = np.where(np.isnan(value), -np.inf, value)
         ranks.append(len(items) - np.searchsorted(np.sort(value), value, side="right"))
     share = stationary(np.array(ranks)) if ranks else np.full(len(items), 1.0 / max(1, len(items)))
-    return pd.DataFrame({"query": rows["query"].iloc[0], "item": items, "share": share})
+    return pd.DataFrame({"query": rows["query"].iloc[0], "item": items, "share": share, "n": len(items)})
 
 
 def _walk_hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -96,11 +96,11 @@ def _walk_hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
         pi = new.select("query", "item", "share")
         if change is None or change <= EXACT:
             break
-    return pi
+    return new.select("query", "item", "share", "n")
 
 
 def fuse(rows: DataFrame, scorers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(query, item, share, place): the items of each query in one ranking.
+    """(query, item, share, n): the share of each item in the walk of its query, and the number of items of the query.
 
     ``rows`` has (query, item, scorer, score, at), ``scorers`` (scorer, higher_is_better). Of several rows of a query, item and scorer the
     one with the latest ``at`` holds, of these the higher score. A null or NaN score, or none, is below all items that the scorer rated;
@@ -116,7 +116,7 @@ def fuse(rows: DataFrame, scorers: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
     signed = scratch.keep(signed, "latest")
     hot = signed.groupBy("query").count().where(F.col("count") > hot_rows).select("query")
     hot = scratch.keep(hot, "hot")
-    shape = f"query {kind}, item string, share double"
+    shape = f"query {kind}, item string, share double, n long"
     if hot.isEmpty():
         shares = signed.groupBy("query").applyInPandas(_walk_group, shape)
     else:
@@ -125,21 +125,26 @@ def fuse(rows: DataFrame, scorers: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
     return shares
 
 
+def _minus() -> Column:
+    return -F.round(F.col("share") * F.col("n"), 9)
+
+
 def ranking(shares: DataFrame) -> DataFrame:
-    """Adds ``place``, from 1, by share and then item; shares are compared to nine digits, so that rounding makes no difference.
+    """Adds ``place``, from 1, by share and then item.
 
+    Shares are compared as multiples of the mean share to nine digits, the exactness of the walk, so that rounding makes no difference.
     All rows are sorted by ranges, so a query with very many items is numbered by several tasks.
     """
     scratch = Scratch(shares.sparkSession, "ranking")
-    ordered = shares.withColumn("minus", -F.round("share", 9)).repartitionByRange("query", "minus", "item").withColumn("part", F.spark_partition_id())
+    ordered = shares.withColumn("minus", _minus()).repartitionByRange("query", "minus", "item").withColumn("part", F.spark_partition_id())
     ordered = scratch.keep(ordered, "ordered")
     starts = ordered.groupBy("query", "part").agg(F.count("*").alias("c"))
     starts = starts.withColumn("start", F.sum("c").over(Window.partitionBy("query").orderBy("part")) - F.col("c")).drop("c")
     within = F.row_number().over(Window.partitionBy("query", "part").orderBy("minus", "item"))
-    return ordered.withColumn("n", within).join(starts, ["query", "part"]).select("query", "item", "share", (F.col("n") + F.col("start")).alias("place"))
+    return ordered.withColumn("within", within).join(starts, ["query", "part"]).select("query", "item", "share", (F.col("within") + F.col("start")).alias("place"))
 
 
 def first_places(shares: DataFrame) -> DataFrame:
     """(query, item) of the first place of each query; an aggregate, so it needs no list in one task."""
-    best = F.min(F.struct((-F.round("share", 9)).alias("minus"), "item")).alias("best")
+    best = F.min(F.struct(_minus().alias("minus"), "item")).alias("best")
     return shares.groupBy("query").agg(best).select("query", F.col("best.item").alias("item"))
