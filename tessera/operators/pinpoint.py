@@ -21,7 +21,8 @@ def sentence_units(chunks: DataFrame) -> DataFrame:
     ended = ended.withColumn("at", place).drop("n")
     rest = chunks.where("text is not null").select("chunk_id", X.collapse(F.col("text")).alias("text"), F.lit(0).alias("at")).where(F.octet_length("text") >= LEAST_BYTES)
     units = ended.unionByName(rest.join(ended.select("chunk_id").distinct(), "chunk_id", "left_anti"))
-    number = F.lpad((F.col("at") + 1).cast("string"), 3, "0")
+    digits = (F.col("at") + 1).cast("string")
+    number = F.when(F.length(digits) >= 3, digits).otherwise(F.lpad(digits, 3, "0"))
     return units.select("chunk_id", F.concat_ws(":", "chunk_id", F.lit("sentence"), number).alias("unit_id"), F.lit("sentence_window").alias("unit_type"), "text", F.lit(None).cast("long").alias("row_idx"), F.lit(None).cast("long").alias("col_idx"), F.lit(None).cast("string").alias("anchor"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as X
+from tessera.operators.ranks import positions
+from tessera.sources.scratch import Scratch
 from tessera.sources.tables import key_of
 
 #: Which parents a node type may have.
@@ -96,21 +98,40 @@ def sequence_gaps(chunks: DataFrame) -> DataFrame:
     return out.where(F.col("chunk_seq") != F.col("expected")).select("doc_id", "ref", "chunk_id", "chunk_seq", "expected")
 
 
-def overlap_words(chunks: DataFrame, least: int = 250, most: int = 100) -> DataFrame:
-    """(doc_id, ref, chunk_seq, overlap): of neighbouring pieces of a clause the most words that end one and start the next."""
+#: Words of a clause piece, and words that two neighbouring pieces should share.
+PIECE_WORDS, SHARED_WORDS = 900, (50, 100)
 
-    def body(text: Column) -> Column:
-        return F.filter(F.split(F.regexp_replace(text, r"(?s)^.*?\n\n", ""), X.SPACE), lambda w: w != "")
 
-    keyed = chunks.where("type = 'clause'").select("doc_id", F.lower("ref").alias("ref"), "chunk_seq", "chunk_id", body(F.col("text")).alias("words"))
+def overlap_words(chunks: DataFrame, least: int = 250, most: int = SHARED_WORDS[1]) -> DataFrame:
+    """(doc_id, ref, chunk_seq, overlap): of neighbouring pieces of a clause, both of at least ``least`` words, the most words that end one
+    and start the next, letter case aside, behind the heading of each."""
+
+    def words(text: Column) -> Column:
+        return F.filter(F.split(F.lower(text), X.SPACE), lambda w: w != "")
+
+    body = words(F.regexp_replace("text", r"(?s)^.*?\n\n", ""))
+    keyed = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), "chunk_seq", "chunk_id", X.word_count(F.col("text")).alias("size"), body.alias("words"))
     w = Window.partitionBy("doc_id", "ref").orderBy("chunk_seq", "chunk_id")
-    pairs = keyed.withColumn("prev", F.lag("words").over(w)).withColumn("prev_seq", F.lag("chunk_seq").over(w))
-    pairs = pairs.where((F.col("chunk_seq") == F.col("prev_seq") + 1) & (F.size("words") >= least) & (F.size("prev") >= least))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size("words"), F.size("prev")))
+    pairs = keyed.withColumns({"prev": F.lag("words").over(w), "prev_seq": F.lag("chunk_seq").over(w), "prev_size": F.lag("size").over(w)})
+    pairs = pairs.where((F.col("chunk_seq") == F.col("prev_seq") + 1) & (F.col("size") >= least) & (F.col("prev_size") >= least))
+    longest = F.least(F.lit(most), F.size("words"), F.size("prev"))
+    sizes = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>"))
     fits = F.filter(sizes, lambda n: F.slice("prev", F.size("prev") - n + 1, n) == F.slice("words", F.lit(1), n))
     return pairs.select("doc_id", "ref", "chunk_id", "chunk_seq", F.coalesce(F.array_max(fits), F.lit(0)).cast("long").alias("overlap"))
 
 
+def clause_split(chunks: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
+    """(measure, value): words of the longest clause piece, pieces of over 900 words, those among them that aren't exempt by (doc_id, ref),
+    neighbouring long pieces, those that share 50 to 100 words, and breaks in the numbering."""
+    clauses = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), X.word_count(F.col("text")).alias("words"))
+    clauses = clauses.withColumn("exempt", F.lit(False)) if exempt is None else clauses.join(exempt.select("doc_id", F.lower("ref").alias("ref"), F.lit(True).alias("exempt")).distinct(), ["doc_id", "ref"], "left")
+    over = F.col("words") > PIECE_WORDS
+    sizes = clauses.agg(F.max("words").alias("longest_piece"), count_if(over).alias("oversize"), count_if(over & ~F.coalesce("exempt", F.lit(False))).alias("oversize_not_exempt"))
+    pairs = overlap_words(chunks).agg(F.count("*").alias("overlap_pairs"), count_if(F.col("overlap").between(*SHARED_WORDS)).alias("overlap_compliant"))
+    gaps = sequence_gaps(chunks).agg(F.count("*").alias("sequence_violations"))
+    return unpivot(sizes).unionByName(unpivot(pairs)).unionByName(unpivot(gaps))
+
+
 def repeated_edge_lines(pages: DataFrame, least: int = 3, longest: int = 120) -> DataFrame:
     """(extract_id, edge, line, pages): first or last lines that at least three pages of an extraction share; lines of up to 120 bytes."""
     lines = F.filter(F.transform(F.split("page", "\n"), lambda x: X.edge_form(x)), lambda x: x != "")
@@ -119,11 +140,34 @@ def repeated_edge_lines(pages: DataFrame, least: int = 3, longest: int = 120) ->
 
 
 def nearest_pages(chunks: DataFrame, seeds: DataFrame, k: int = 256) -> DataFrame:
-    """(seed, chunk_id, place): for each seed (seed, doc_id, page) the k chunks of its document with the nearest first page."""
-    near = seeds.join(chunks.select("doc_id", "chunk_id", "page_pdf_start"), "doc_id")
-    gap = F.abs(F.coalesce("page_pdf_start", F.lit(0)) - F.coalesce("page", F.lit(0)))
-    order = Window.partitionBy("seed").orderBy(gap, "chunk_id")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("seed", "chunk_id", "place")
+    """(seed, chunk_id, place): for each seed (seed, chunk_id, doc_id, page) the k chunks of its document with the nearest first page, the
+    seed's own chunk first; a chunk without a page is at no distance, a seed without one is on page 0.
+
+    Of each page the first k chunks can matter. They are numbered by page within their document, over ranges; a seed meets the blocks of k
+    places around its page only, so no document is paired with itself.
+    """
+    scratch = Scratch(chunks.sparkSession, "nearest")
+    near = chunks.select("doc_id", "chunk_id", F.col("page_pdf_start").alias("c_page"))
+    first = near.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "c_page").orderBy("chunk_id"))).where(F.col("n") <= k).drop("n")
+    first = scratch.keep(first, "first")
+    paged = first.where("c_page is not null")
+    held = scratch.keep(positions(paged, ["doc_id"], [F.col("c_page"), F.col("chunk_id")], scratch).withColumn("block", F.floor((F.col("place") - 1) / k)).drop("place"), "held")
+    # Where each asked page would be: the block of the last chunk on that page or before it.
+    asked = seeds.select("doc_id", F.coalesce("page", F.lit(0)).alias("page")).distinct()
+    spans = held.groupBy("doc_id", "block").agg(F.min("c_page").alias("low"))
+    marks = spans.select("doc_id", F.col("low").alias("at"), "block", F.lit(0).alias("asks")).unionByName(asked.select("doc_id", F.col("page").alias("at"), F.lit(None).cast("long").alias("block"), F.lit(1).alias("asks")))
+    behind = Window.partitionBy("doc_id").orderBy("at", "asks", "block").rowsBetween(Window.unboundedPreceding, 0)  # a row per block and asked page
+    located = marks.withColumn("block", F.coalesce(F.max("block").over(behind), F.lit(0))).where("asks = 1").select("doc_id", F.col("at").alias("page"), "block")
+    # Chunks of one page may fill three blocks; two further ones on each side hold the k before and behind it, and the pages they end in.
+    reach = located.withColumn("block", F.explode(F.sequence(F.col("block") - 3, F.col("block") + 3)))
+    gap = F.abs(F.col("c_page") - F.col("page"))
+    around = reach.join(held, ["doc_id", "block"]).select("doc_id", "page", "chunk_id", gap.alias("gap"))
+    anywhere = located.select("doc_id", "page").join(first.where("c_page is null"), "doc_id").select("doc_id", "page", "chunk_id", F.lit(0).cast("long").alias("gap"))
+    best = around.unionByName(anywhere).withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("gap", "chunk_id"))).where(F.col("n") <= k)
+    own = seeds.select("seed", "doc_id", F.coalesce("page", F.lit(0)).alias("page"), F.col("chunk_id").alias("own"))
+    others = own.join(best, ["doc_id", "page"]).where("chunk_id != own").select("seed", "chunk_id", "n")
+    everything = others.unionByName(own.select("seed", F.col("own").alias("chunk_id"), F.lit(0).alias("n")))
+    return everything.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("n"))).where(F.col("place") <= k).select("seed", "chunk_id", "place")
 
 
 # --- gates --------------------------------------------------------------------------------------------------------------------------------

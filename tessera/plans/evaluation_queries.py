@@ -20,7 +20,7 @@ from tessera.sources.tables import read
 def _labels(c: DataFrame, q: DataFrame) -> DataFrame:
     """Expected: the first chunk whose reference or heading is the query; judged: the 256 chunks nearest to it."""
     first = R.exact_tiers(c, q, 1).where("score >= 900").select("query_id", "chunk_id")
-    seeds = first.join(c, "chunk_id").select(F.col("query_id").alias("seed"), "doc_id", F.col("page_pdf_start").alias("page"))
+    seeds = first.join(c, "chunk_id").select(F.col("query_id").alias("seed"), "chunk_id", "doc_id", F.col("page_pdf_start").alias("page"))
     near = Q.nearest_pages(c, seeds).select(F.col("seed").alias("query_id"), "chunk_id", F.lit(1).alias("rel"))
     return near.unionByName(first.select("query_id", "chunk_id", F.lit(2).alias("rel"))).groupBy("query_id", "chunk_id").agg(F.max("rel").alias("rel"))
 
@@ -42,7 +42,7 @@ def rank_measures(spark: SparkSession, folder: str) -> DataFrame:
 
 LABELS_SQL = """
 lb1 AS (SELECT query_id, chunk_id FROM exact_top WHERE rank = 1 AND score >= 900),
-nr AS (SELECT lb1.query_id, c.chunk_id, row_number() OVER (PARTITION BY lb1.query_id ORDER BY abs(coalesce(c.page_pdf_start, 0) - coalesce(s.page_pdf_start, 0)), c.chunk_id) AS place FROM lb1 JOIN c s USING (chunk_id) JOIN c ON c.doc_id = s.doc_id QUALIFY place <= 16),
+nr AS (SELECT lb1.query_id, c.chunk_id, row_number() OVER (PARTITION BY lb1.query_id ORDER BY c.chunk_id <> s.chunk_id, abs(coalesce(c.page_pdf_start, s.page_pdf_start, 0) - coalesce(s.page_pdf_start, 0)), c.chunk_id) AS place FROM lb1 JOIN c s USING (chunk_id) JOIN c ON c.doc_id = s.doc_id QUALIFY place <= 256),
 lb AS MATERIALIZED (SELECT query_id, chunk_id, max(rel) AS rel FROM (SELECT query_id, chunk_id, 1 AS rel FROM nr UNION ALL SELECT query_id, chunk_id, 2 FROM lb1) GROUP BY 1, 2),
 idl AS (SELECT query_id, sum((2 ** rel - 1) / log2(place + 1)) FILTER (place <= 10) AS ideal, count(*) FILTER (rel = 2) AS expected FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, chunk_id) AS place FROM lb) GROUP BY 1)"""
 _RANKED = """(SELECT query_id, sum((2 ** rel - 1) / log2(rank + 1)) FILTER (rank <= 10) AS dcg, min(rank) FILTER (rel = 2 AND rank <= 10) AS first, count(*) FILTER (rel = 2 AND rank <= 50) AS found, count(*) FILTER (rank <= 10) AS judged FROM {0} JOIN lb USING (query_id, chunk_id) GROUP BY 1)"""

@@ -11,7 +11,7 @@ from tessera.plans.search_queries import CORPUS_SQL, corpus
 from tessera.plans.structure import current_sql, key_sql
 from tessera.plans.text_queries import WS, cur
 from tessera.sources.scratch import Scratch
-from tessera.sources.tables import read
+from tessera.sources.tables import key_of, read
 
 NODE_FIELDS = ["parent_node_id", "node_type", "doc_id", "list_depth", "list_marker_style", "item_index", "table_node_id", "row_idx", "col_idx", "is_header", "row_span", "col_span"]
 N = f"n AS MATERIALIZED (SELECT *, {key_sql('parent_node_id')} AS p FROM {current_sql('nodes', 'node_id')})"
@@ -87,13 +87,24 @@ GAPS_SQL = f"WITH {C}, w AS (SELECT doc_id, lower(ref) AS ref, chunk_id, chunk_s
 
 
 def overlap_words(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.overlap_words(_chunks(spark, folder), least=50)
+    return Q.overlap_words(_chunks(spark, folder))
 
 
-OVERLAP_SQL = rf"""WITH {C}, b AS (SELECT doc_id, lower(ref) AS ref, chunk_id, chunk_seq, list_filter(regexp_split_to_array(regexp_replace(text, '(?s)^.*?\n\n', ''), '{WS}'), lambda w: w <> '') AS words FROM c WHERE type = 'clause'),
-w AS (SELECT *, lag(words) OVER o AS prev, lag(chunk_seq) OVER o AS prev_seq FROM b WINDOW o AS (PARTITION BY doc_id, ref ORDER BY chunk_seq NULLS FIRST, chunk_id))
+OVERLAP_SQL = rf"""WITH {C}, b AS (SELECT doc_id, lower(ref) AS ref, chunk_id, chunk_seq, len(list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '')) AS size,
+  list_filter(regexp_split_to_array(lower(CASE WHEN contains(text, chr(10) || chr(10)) THEN substr(text, strpos(text, chr(10) || chr(10)) + 2) ELSE text END), '{WS}'), lambda w: w <> '') AS words FROM c WHERE type = 'clause' AND text IS NOT NULL),
+w AS (SELECT *, lag(words) OVER o AS prev, lag(size) OVER o AS prev_size, lag(chunk_seq) OVER o AS prev_seq FROM b WINDOW o AS (PARTITION BY doc_id, ref ORDER BY chunk_seq NULLS FIRST, chunk_id))
 SELECT doc_id, ref, chunk_id, chunk_seq, coalesce(list_max(list_filter(range(1, least(100, len(words), len(prev)) + 1), lambda n: prev[len(prev) - n + 1:] = words[1:n])), 0) AS overlap
-FROM w WHERE chunk_seq = prev_seq + 1 AND len(words) >= 50 AND len(prev) >= 50"""
+FROM w WHERE chunk_seq = prev_seq + 1 AND size >= 250 AND prev_size >= 250"""
+
+
+def clause_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of how long clauses were cut."""
+    return Q.clause_split(_chunks(spark, folder))
+
+
+CLAUSE_SQL = rf"""WITH {C}, s AS (SELECT len(list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '')) AS n FROM c WHERE type = 'clause' AND text IS NOT NULL), o AS ({OVERLAP_SQL}), g AS ({GAPS_SQL})
+SELECT 'longest_piece' AS measure, max(n)::DOUBLE AS value FROM s UNION ALL SELECT 'oversize', count(*)::DOUBLE FROM s WHERE n > 900 UNION ALL SELECT 'oversize_not_exempt', count(*)::DOUBLE FROM s WHERE n > 900
+UNION ALL SELECT 'overlap_pairs', count(*)::DOUBLE FROM o UNION ALL SELECT 'overlap_compliant', count(*)::DOUBLE FROM o WHERE overlap BETWEEN 50 AND 100 UNION ALL SELECT 'sequence_violations', count(*)::DOUBLE FROM g"""
 
 
 def repeated_edge_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,10 +120,10 @@ SELECT extract_id, edge, line, count(*) AS pages FROM e WHERE strlen(line) <= 12
 def judged_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
     """For every table chunk the 256 chunks of its document whose first page is nearest."""
     c = corpus(spark, folder)
-    return Q.nearest_pages(c, c.where("type = 'table'").select(F.col("chunk_id").alias("seed"), "doc_id", F.col("page_pdf_start").alias("page")))
+    return Q.nearest_pages(c, c.where("type = 'table'").select(F.col("chunk_id").alias("seed"), "chunk_id", "doc_id", F.col("page_pdf_start").alias("page")))
 
 
-NEAREST_SQL = f"WITH {CORPUS_SQL} SELECT s.chunk_id AS seed, c.chunk_id, row_number() OVER (PARTITION BY s.chunk_id ORDER BY abs(coalesce(c.page_pdf_start, 0) - coalesce(s.page_pdf_start, 0)), c.chunk_id) AS place FROM c s JOIN c ON c.doc_id = s.doc_id WHERE s.type = 'table' QUALIFY place <= 16"
+NEAREST_SQL = f"WITH {CORPUS_SQL} SELECT s.chunk_id AS seed, c.chunk_id, row_number() OVER (PARTITION BY s.chunk_id ORDER BY c.chunk_id <> s.chunk_id, abs(coalesce(c.page_pdf_start, s.page_pdf_start, 0) - coalesce(s.page_pdf_start, 0)), c.chunk_id) AS place FROM c s JOIN c ON c.doc_id = s.doc_id WHERE s.type = 'table' QUALIFY place <= 256"
 
 
 def printed_page_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,31 +247,29 @@ REPLAY_SQL = "WITH r AS (SELECT extract_id, page_pdf, backend, generated_at AS g
 
 
 def nearest_ref(spark: SparkSession, folder: str) -> DataFrame:
-    """For every table cell the reference of the nearest clause, subclause, annex or table above it, at most 16 levels up.
+    """For every table cell the reference of the nearest clause, subclause, annex or table above it, at most 16 levels up; a blank
+    reference is none.
 
-    One join a level over the cells still under way, so it never walks a cycle; a cell that has its reference or is at the top goes no further."""
+    Only nodes that have children climb, by doubling: after k rounds each knows the nearest reference among itself and the 2^k - 1 nodes
+    above it, so four rounds make sixteen levels. A node that has its reference or has reached the top joins no further.
+    """
     scratch = Scratch(spark, "nearest")
-    n = scratch.keep(cur(spark, folder, "nodes", ["parent_node_id", "node_type", "ref"]).select("node_id", F.btrim("parent_node_id").alias("p"), "node_type", "ref"), "nodes")
-    fits = F.col("node_type").isin("clause", "subclause", "annex", "table")
-    up = n.select(F.col("node_id").alias("u_id"), F.col("p").alias("u_p"), F.when(fits, F.col("ref")).alias("parent_ref"))
-    under_way = n.where("node_type = 'table_cell'").select("node_id", F.col("p").alias("at"), F.lit(None).cast("string").alias("parent_ref"))
-    ended = []
-    for _ in range(LEVELS):
-        ahead = scratch.keep(under_way.drop("parent_ref").join(up, F.col("at") == F.col("u_id"), "left").select("node_id", F.col("u_p").alias("at"), "parent_ref"), "level")
-        over = F.col("parent_ref").isNotNull() | F.col("at").isNull()
-        ended.append(ahead.where(over))
-        under_way = ahead.where(~over)
-        if under_way.isEmpty():
-            break
-    out = under_way
-    for e in ended:
-        out = out.unionByName(e)
-    return out.select("node_id", "parent_ref")
-
-
-NEAREST_REF_SQL = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT k, trim(parent_node_id) AS p, node_type, ref FROM {current_sql('nodes', 'node_id')}),
-w AS (SELECT k AS node_id, p AS here, 0 AS d FROM n WHERE node_type = 'table_cell' UNION ALL SELECT w.node_id, n.p, d + 1 FROM w JOIN n ON n.k = w.here WHERE d < 4),
-h AS (SELECT w.node_id, d, n.ref FROM w JOIN n ON n.k = w.here WHERE d < 4 AND n.node_type IN ('clause', 'subclause', 'annex', 'table') AND n.ref IS NOT NULL)
+    n = scratch.keep(cur(spark, folder, "nodes", ["parent_node_id", "node_type", "ref"]).select("node_id", key_of("parent_node_id").alias("p"), "node_type", "ref"), "nodes")
+    parents = n.where("p is not null").select(F.col("p").alias("node_id")).distinct()
+    fits = F.coalesce(F.col("node_type").isin("clause", "subclause", "annex", "table"), F.lit(False)) & key_of("ref").isNotNull()
+    state = scratch.keep(n.join(parents, "node_id", "left_semi").select("node_id", F.when(~fits, F.col("p")).alias("far"), F.when(fits, F.col("ref")).alias("found")), "state")
+    for _ in range(LEVELS.bit_length() - 1):
+        ahead = state.select(F.col("node_id").alias("a_id"), F.col("far").alias("a_far"), F.col("found").alias("a_found"))
+        going = state.where("far is not null").join(ahead, F.col("far") == F.col("a_id"), "left").select("node_id", F.when(F.col("a_found").isNull(), F.col("a_far")).alias("far"), F.col("a_found").alias("found"))
+        state = scratch.keep(state.where("far is null").unionByName(going), "state")
+    cells = n.where("node_type = 'table_cell'").select("node_id", "p")
+    held = cells.where("p is not null").join(state.select(F.col("node_id").alias("s_id"), "found"), F.col("p") == F.col("s_id"), "left").select("node_id", F.col("found").alias("parent_ref"))
+    return held.unionByName(cells.where("p is null").select("node_id", F.lit(None).cast("string").alias("parent_ref")))
+
+
+NEAREST_REF_SQL = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT k, {key_sql('parent_node_id')} AS p, node_type, ref FROM {current_sql('nodes', 'node_id')}),
+w AS (SELECT k AS node_id, p AS here, 1 AS d FROM n WHERE node_type = 'table_cell' UNION ALL SELECT w.node_id, n.p, d + 1 FROM w JOIN n ON n.k = w.here WHERE d < {LEVELS}),
+h AS (SELECT w.node_id, d, n.ref FROM w JOIN n ON n.k = w.here WHERE n.node_type IN ('clause', 'subclause', 'annex', 'table') AND {key_sql('n.ref')} IS NOT NULL)
 SELECT c.k AS node_id, arg_min(h.ref, h.d) AS parent_ref FROM n c LEFT JOIN h ON h.node_id = c.k WHERE c.node_type = 'table_cell' GROUP BY 1"""
 
 QUERIES = {
@@ -270,6 +279,7 @@ QUERIES = {
     "duplicate_chunks": (duplicate_chunks, DUPLICATE_SQL),
     "sequence_gaps": (sequence_gaps, GAPS_SQL),
     "overlap_words": (overlap_words, OVERLAP_SQL),
+    "clause_split": (clause_split, CLAUSE_SQL),
     "repeated_edge_lines": (repeated_edge_lines, EDGE_SQL),
     "judged_neighbourhood": (judged_neighbourhood, NEAREST_SQL),
     "printed_page_metrics": (printed_page_metrics, PRINTED_SQL),
