@@ -64,7 +64,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """
     spark = items.sparkSession
     scratch = Scratch(spark, "packing")
-    deal = F.pmod(F.monotonically_increasing_id(), F.lit(DEALT)).cast("int")
+    deal = F.pmod(F.xxhash64("key", "size"), F.lit(DEALT)).cast("int")  # by what the item is, so any order of rows gives the same
     rows = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")).where("size > 0").withColumn("deal", deal)
     rows = scratch.keep(rows, "items")
     fitting = rows.where(F.col("size") <= capacity)

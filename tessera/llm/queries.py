@@ -40,6 +40,14 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_rows(_chunks(spark, folder), "chunk_id", "text", "chunk_seq", ["doc_id", "ref"], LIMIT, OVERLAP)
 
 
+def p6_joined_again(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every cut chunk put together again, and whether they keep to limit, overlap and numbering."""
+    pieces = Scratch(spark, "joined").keep(p6_pieces(spark, folder), "pieces")
+    return splitting.joined_again(pieces, "chunk_id", "text", "chunk_seq", ["doc_id", "ref"], LIMIT, OVERLAP)
+
+
+_CURRENT_CHUNKS = "SELECT chunk_id, text FROM (SELECT trim(chunk_id) AS chunk_id, text, row_number() OVER (PARTITION BY trim(chunk_id) ORDER BY ingested_at DESC) AS rn FROM chunks) WHERE rn = 1"
+P6_JOINED_SQL = f"SELECT chunk_id, md5(text) AS digest, true AS fits, true AS overlaps, true AS counted FROM ({_CURRENT_CHUNKS}) WHERE length(text) > 4000"
 P6_FOUND_SQL = """
 SELECT chunk_id FROM (SELECT trim(chunk_id) AS chunk_id, text, row_number() OVER (PARTITION BY trim(chunk_id) ORDER BY ingested_at DESC) AS rn FROM chunks)
 WHERE rn = 1 AND length(text) > 4000

@@ -240,14 +240,19 @@ def shares(texts: list[str | None], model: LineModel) -> list[tuple[int, list[in
 
 
 def sample_features(docs: DataFrame, text: str) -> list[np.ndarray]:
-    """The features of the training sample: the rows with the smallest hash of their text, so any order of rows gives the same."""
+    """The features of the training sample: the distinct texts that aren't blank with the smallest hashes, so neither the order of rows nor
+    copies matter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"x": [features("\n".join(t.splitlines()[:SAMPLE_LINES]))[0][:SAMPLE_LINES].tobytes() for t in batch["text"]]})
 
-    picked = docs.select(F.col(text).alias("text")).where("text is not null").select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
-    return [np.frombuffer(bytes(r["x"]), dtype=np.int8).reshape(-1, 7) for r in picked.select("text").mapInPandas(run, "x binary").collect()]
+    filled = docs.select(F.col(text).alias("text")).where(F.col("text").rlike(r"\S")).select("text", F.xxhash64("text").alias("h"))
+    smallest = [r["h"] for r in filled.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).collect()]
+    if not smallest:
+        return []
+    picked = filled.where(F.col("h") <= smallest[-1]).groupBy("h").agg(F.min("text").alias("text"))
+    return [np.frombuffer(bytes(r["x"]), dtype=np.int8).reshape(-1, 7) for r in picked.orderBy("h").select("text").mapInPandas(run, "x binary").collect()]
 
 
 def line_shares(docs: DataFrame, key: str, text: str) -> DataFrame:
