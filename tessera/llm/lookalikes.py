@@ -1,9 +1,10 @@
 """One form for texts that look the same on the page.
 
-Tokens with anything but plain characters form a vocabulary. Its clean spellings (composed, one script, nothing invisible) are put into
-tries, and every other token walks through them with an edit automaton for which look-alikes and ignorable characters cost nothing and
-everything else too much; what it reaches are all spellings that look like it, of which the canonical one is taken. A token that reaches
-none is normalised by table. Plain ASCII text is its own form: a spelling in ASCII is canonical wherever there is one.
+The distinct tokens of the corpus are its vocabulary. Its clean spellings (composed, one script, nothing invisible) are put into tries, and
+every token with other than plain characters walks through them with a weighted edit automaton: look-alikes and ignorable characters cost
+nothing, other edits do. What it reaches within the budget, which is zero, are all spellings that look like it, of which the canonical one
+is taken. A token that reaches none is normalised by table. A trie holds the spellings that begin alike and are as long, so that tries can
+be spread over all workers.
 """
 
 from __future__ import annotations
@@ -18,20 +19,33 @@ from pyspark.sql import functions as F
 
 from tessera.sources.scratch import Scratch
 
-# Letters of other scripts that look like Latin letters in usual fonts.
-LOOK_ALIKES = dict(
-    zip(
-        "асеорхуѕіјԁһԛԝӏѵАВЕЅІЈКМНОРСТУХҮԌԚԜѴ" + "οϲϳνΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" + "օսոհց",
-        "aceopxysijdhqwlvABESIJKMHOPCTYXYGQWV" + "ocjvABEZHIKMNOPTYXCJ" + "ounhg",
-        strict=True,
+# Letters of other scripts, and rare Latin ones, that look like Latin letters in usual fonts.
+LOOK_ALIKES = {
+    other: latin
+    for others, latins in (
+        ("асеорхуѕіјԁһԛԝӏѵүАВЕЅІЈКМНОРСТУХҮԌԚԜѴ", "aceopxysijdhqwlvyABESIJKMHOPCTYXYGQWV"),
+        ("οϲϳνΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ocjvABEZHIKMNOPTYXCJ"),
+        ("օսոհցՏՕԼ", "ounhgSOL"),
+        ("ɑɡı", "agi"),
+        ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),
+        ("ⲞⲢⲤⲦⲨⲬⲎⲔⲘⲚⲟⲣⲥ", "OPCTYXHKMNopc"),
+        ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
     )
-)
+    for other, latin in zip(others, latins, strict=True)
+}
 HYPHENS = "‐‑⁃﹣－"
 #: Decompositions of a compatibility character into what it looks like; raised and lowered digits, fractions, circles differ in looks.
 SAME_LOOKS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 PLAIN = r"^[\x20-\x7e\n\t]*$"
 #: Distinct tokens that one task matches, on average.
 SHARD_TOKENS = 20_000
+#: What edits cost: an accent more or less, another letter case, any other character. Only what is reached within the budget looks the same.
+ACCENT, CASE, OTHER, BUDGET = 1, 1, 2, 0
+#: Looks of the first characters by which tokens are routed to a trie. ASCII tokens without letters or with more characters take no place
+#: there: what looks like them is normalised by table, which gives the same.
+ROUTE, LONGEST = 6, 64
+#: A token that is in more than one of so many places is heavy; there are fewer of them than this, which bounds their broadcast.
+HEAVY_SHARE = 1000
 
 
 def ignorable(ch: str) -> bool:
@@ -82,7 +96,7 @@ def clean(token: str) -> bool:
 
 
 class Trie:
-    """Clean spellings by the looks of their characters."""
+    """Clean spellings by their decomposed characters."""
 
     def __init__(self, spellings: dict[str, int]):
         self.root: dict = {}
@@ -92,29 +106,52 @@ class Trie:
                 node = node.setdefault(ch, {})
             node.setdefault("", []).append((not spelling.isascii(), -count, spelling))
 
-    def reach(self, token: str) -> str | None:
-        """The canonical one of the spellings at cost zero: in ASCII, else the most frequent, else the first."""
-        states = [self.root]
+    def reach(self, token: str, budget: int = BUDGET) -> str | None:
+        """The canonical one of the spellings within the budget: the cheapest, of these one in ASCII, else the most frequent, else the
+        first."""
+        states: dict[int, tuple[int, dict]] = {id(self.root): (0, self.root)}
         for ch in unicodedata.normalize("NFD", token):
             if ignorable(ch):  # deleted at no cost
                 continue
-            ahead = []
-            for edge in {ch, *_alike(look(ch))}:
-                ahead.extend(node for node in (self._follow(s, edge) for s in states) if node is not None)
-            unique = {id(n): n for n in ahead}
-            states = list(unique.values())
+            for plain in look(ch):
+                states = self._step(states, plain, budget)
             if not states:
                 return None
-        ends = [e for s in states for e in s.get("", ())]
-        return min(ends)[2] if ends else None
+        for _ in range(budget // ACCENT):  # accents that only the spelling has, at its end
+            states = self._accents(states, budget)
+        ends = [(cost, *e) for cost, node in states.values() for e in node.get("", ())]
+        return min(ends)[3] if ends else None
 
     @staticmethod
-    def _follow(node: dict, text: str) -> dict | None:
-        for ch in text:
-            node = node.get(ch)
-            if node is None:
-                return None
-        return node
+    def _keep(states: dict[int, tuple[int, dict]], cost: int, node: dict) -> None:
+        if cost < states.get(id(node), (1 << 30, node))[0]:
+            states[id(node)] = (cost, node)
+
+    def _accents(self, states: dict[int, tuple[int, dict]], budget: int) -> dict[int, tuple[int, dict]]:
+        out = dict(states)
+        for cost, node in states.values():
+            for edge, child in node.items() if cost + ACCENT <= budget else ():
+                if edge and unicodedata.combining(edge):
+                    self._keep(out, cost + ACCENT, child)
+        return out
+
+    def _step(self, states: dict[int, tuple[int, dict]], plain: str, budget: int) -> dict[int, tuple[int, dict]]:
+        """One character of the token's looks read from every state: along edges that look the same at no cost, along others or not at all
+        at theirs."""
+        ahead: dict[int, tuple[int, dict]] = {}
+        if budget:
+            states = self._accents(states, budget)
+        for cost, node in states.values():
+            for edge in (plain, *_BACK.get(plain, ())):
+                if edge in node:
+                    self._keep(ahead, cost, node[edge])
+            if cost + ACCENT <= budget and unicodedata.combining(plain):
+                self._keep(ahead, cost + ACCENT, node)
+            for edge, child in node.items() if cost + min(CASE, OTHER) <= budget else ():
+                price = CASE if edge and look(edge).lower() == plain.lower() else OTHER
+                if edge and cost + price <= budget:
+                    self._keep(ahead, cost + price, child)
+        return ahead
 
 
 _BACK: dict[str, list[str]] = {}
@@ -122,39 +159,38 @@ for _other, _latin in LOOK_ALIKES.items():
     _BACK.setdefault(_latin, []).append(_other)
 
 
-@lru_cache(maxsize=65536)
-def _alike(plain: str) -> tuple[str, ...]:
-    """All decomposed spellings of one character's looks."""
-    if len(plain) == 1:
-        return (plain, *_BACK.get(plain, ()))
-    out = [""]
-    for ch in plain:
-        out = [a + b for a in out for b in (ch, *_BACK.get(ch, ()))][:64]
-    return tuple(out)
+def looks(token: str) -> str:
+    """What a token's characters look like, in the order they are read; invisible ones are left out."""
+    return "".join(map(look, unicodedata.normalize("NFD", token)))
 
 
 def _match(group: pd.DataFrame) -> pd.DataFrame:
-    tokens, forms = group["token"].tolist(), group["form"].tolist()
-    spellings = {t: int(n) for t, n, c in zip(tokens, group["n"], group["clean"]) if c}
-    for f in forms:
-        if f.isascii():
-            spellings.setdefault(f, 0)
-    trie = Trie(spellings)
-    found = [trie.reach(t) for t in tokens]
-    return pd.DataFrame({"token": tokens, "canonical": [x if x is not None else f for x, f in zip(found, forms)]})
+    tokens = group["token"].tolist()
+    trie = Trie({t: int(n) for t, n in zip(tokens, group["n"]) if clean(t)})
+    asked = [t for t in tokens if not t.isascii()]
+    found = [trie.reach(t) for t in asked]
+    return pd.DataFrame({"token": asked, "canonical": [x if x is not None else table_form(t) for x, t in zip(found, asked)]}, dtype=object)
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        tokens = batch["token"].tolist()
-        yield pd.DataFrame({"token": tokens, "n": batch["n"], "form": [table_form(t) for t in tokens], "clean": [clean(t) for t in tokens]})
+        seen = [looks(t) for t in batch["token"]]
+        yield pd.DataFrame({"token": batch["token"], "n": batch["n"], "route": [x[:ROUTE] for x in seen], "size": [len(x) for x in seen]})
 
 
-def canonical_tokens(tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """(token, canonical) of a vocabulary (token, n) of tokens that aren't plain ASCII. Tokens that look alike are in the same shard."""
-    formed = scratch.keep(tokens.mapInPandas(_forms, "token string, n long, form string, clean boolean"), "forms")
-    shards = max(1, formed.count() // SHARD_TOKENS)
-    return formed.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(shards))).groupBy("shard").applyInPandas(_match, "token string, canonical string")
+def canonical_tokens(odd: DataFrame, plain: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, canonical) of the tokens of ``odd``, which aren't plain ASCII, in the vocabulary of these and the ASCII tokens ``plain``; both
+    have (token, n). Tokens that look alike begin alike and are as long, so they meet in the same trie."""
+    routed = odd.mapInPandas(_routes, "token string, n long, route string, size int")
+    routed = scratch.keep(routed, "odd")
+    # ASCII tokens are what they look like; those that begin like none of the odd tokens of their length aren't asked for.
+    asked = routed.select(F.col("route").alias("r_route"), F.col("size").alias("r_size")).distinct()
+    plain = plain.select("token", "n", F.substring("token", 1, ROUTE).alias("route"), F.length("token").cast("int").alias("size"))
+    plain = plain.join(asked, (F.col("route") == F.col("r_route")) & (F.col("size") == F.col("r_size")), "left_semi")
+    together = scratch.keep(routed.unionByName(plain), "together")
+    shards = max(1, together.count() // SHARD_TOKENS)
+    shard = F.pmod(F.xxhash64("route", "size"), F.lit(shards))
+    return together.withColumn("shard", shard).groupBy("shard").applyInPandas(_match, "token string, canonical string")
 
 
 def _pieces(text: Column) -> Column:
@@ -167,27 +203,43 @@ def _space(piece: Column) -> Column:
     return F.regexp_replace(piece, r"\p{Zs}", " ")
 
 
-def canonical_texts(rows: DataFrame, keys: list[str], text: str, scratch: Scratch) -> DataFrame:
-    """(keys..., text, canon) of rows whose text isn't plain ASCII; ``keys`` must name a row. A plain text is its own form."""
-    odd = rows.where(F.col(text).isNotNull() & ~F.col(text).rlike(PLAIN)).select(*keys, F.col(text).alias("text"))
-    pieces = odd.select(*keys, F.posexplode(_pieces(F.col("text"))).alias("at", "piece"))
-    blank = F.col("piece").rlike(r"^[\s\p{Z}\x85]")
-    pieces = scratch.keep(pieces.withColumn("piece", F.when(blank, _space(F.col("piece"))).otherwise(F.col("piece"))).withColumn("token", F.when(~blank & ~F.col("piece").rlike(PLAIN), F.col("piece"))), "pieces")
-    vocabulary = scratch.keep(pieces.where("token is not null").groupBy("token").agg(F.count("*").alias("n")), "vocabulary")
-    spelled = scratch.keep(canonical_tokens(vocabulary, scratch), "spelled").withColumnRenamed("token", "s_token")
-    joined = pieces.join(spelled, F.col("token") == F.col("s_token"), "left")
-    parts = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("canonical", "piece").alias("p")))).alias("ps"))
-    canon = parts.select(*keys, F.array_join(F.transform("ps", lambda x: x["p"]), "").alias("canon"))
-    return odd.join(canon, keys, "left").select(*keys, "text", F.coalesce("canon", "text").alias("canon"))
+def _is_blank(piece: Column) -> Column:
+    return piece.rlike(r"^[\s\p{Z}\x85]")
 
 
-def same_looks(rows: DataFrame, group: str, key: str, text: str) -> DataFrame:
-    """(group, key_a, key_b), key_a < key_b: rows of one group whose texts look the same and aren't the same characters.
+def canonical_texts(rows: DataFrame, keys: list[str], text: str, scratch: Scratch) -> DataFrame:
+    """(keys..., text, canon) of rows whose text isn't plain ASCII; ``keys`` must name a row. A plain text is its own form.
 
-    Of exact copies one stands for all: each row is paired with the least key of every other spelling, so no spelling and no row is lost
-    and copies aren't multiplied. Null texts look like nothing; an empty text looks like one of invisible characters only. Rows with null
-    keys are left out; letter case, accents, raised digits, punctuation and line breaks tell texts apart.
+    Only the distinct odd tokens of a text leave it: they are counted for the vocabulary, looked up, and put back into the text, whose plain
+    tokens and white space stay where they are. Tokens that very many texts have are looked up in a broadcast of bounded size.
     """
+    filled = rows.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("text"))
+    odd = scratch.keep(filled.where(~F.col("text").rlike(PLAIN)), "odd")
+    plain_token = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![^\s\p{Z}\x85])([\x21-\x7e]*[A-Za-z][\x21-\x7e]*)(?![^\s\p{Z}\x85])"), F.lit(1))
+    plain = filled.select(F.explode(plain_token).alias("token")).where(F.length("token") <= LONGEST).groupBy("token").agg(F.count("*").alias("n"))
+    distinct = F.array_distinct(F.filter(_pieces(F.col("text")), lambda p: ~_is_blank(p) & ~p.rlike(PLAIN)))
+    asked = scratch.keep(odd.select(*keys, F.explode(distinct).alias("token")), "asked")
+    counts = scratch.keep(asked.groupBy("token").agg(F.count("*").alias("n")), "counts")
+    spelled = scratch.keep(canonical_tokens(counts, plain, scratch), "spelled").where("token != canonical").withColumnRenamed("token", "s_token")
+    limit = max(1, asked.count() // HEAVY_SHARE)
+    heavy = counts.where(F.col("n") > limit).select(F.col("token").alias("h_token"))
+    on = F.col("token") == F.col("s_token")
+    often = F.broadcast(spelled.join(F.broadcast(heavy), F.col("s_token") == F.col("h_token"), "left_semi"))  # fewer than HEAVY_SHARE tokens
+    rare = spelled.join(F.broadcast(heavy), F.col("s_token") == F.col("h_token"), "left_anti")
+    rest = asked.join(F.broadcast(heavy), F.col("token") == F.col("h_token"), "left_anti")
+    changed = asked.join(often, on).unionByName(rest.join(rare, on))
+    found = changed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "canonical"))).alias("spelling"))
+
+    def read(piece: Column) -> Column:
+        return F.when(_is_blank(piece), _space(piece)).otherwise(F.coalesce(F.try_element_at("spelling", piece), piece))
+
+    canon = F.array_join(F.transform(_pieces(F.col("text")), read), "")
+    return odd.join(found, keys, "left").select(*keys, "text", canon.alias("canon"))
+
+
+def _alike(rows: DataFrame, group: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((g, k, text, canon), (g, canon, other, least, copies)): the rows that look like a row of other characters, and the spellings of each
+    form."""
     scratch = Scratch(rows.sparkSession, "looks")
     base = scratch.keep(rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(text).alias("text")).where("g is not null and k is not null and text is not null"), "rows")
     odd = scratch.keep(canonical_texts(base, ["g", "k"], "text", scratch), "odd")
@@ -197,6 +249,28 @@ def same_looks(rows: DataFrame, group: str, key: str, text: str) -> DataFrame:
     # Of two spellings at least one isn't canonical, so only forms that some changed text has can make a pair.
     alike = plain.unionByName(odd).withColumn("h", hashed).join(changed, "h", "left_semi").drop("h")
     alike = scratch.keep(alike, "alike")
-    spellings = alike.groupBy("g", "canon", F.col("text").alias("other")).agg(F.min("k").alias("least"))
+    spellings = alike.groupBy("g", "canon", F.col("text").alias("other")).agg(F.min("k").alias("least"), F.count("*").alias("copies"))
+    return alike, spellings
+
+
+def same_looks(rows: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """(group, key_a, key_b), key_a < key_b: rows of one group whose texts look the same and aren't the same characters.
+
+    Of exact copies one stands for all: each row is paired with the least key of every other spelling, so no spelling and no row is lost
+    and copies aren't multiplied; ``classes`` gives the membership from which all pairs follow. Null texts look like nothing; an empty text
+    looks like one of invisible characters only. Rows with null keys are left out; letter case, accents, raised digits, punctuation and
+    line breaks tell texts apart.
+    """
+    alike, spellings = _alike(rows, group, key, text)
     pairs = alike.join(spellings, ["g", "canon"]).where("text != other")
     return pairs.select(F.col("g").alias(group), F.least("k", "least").alias("key_a"), F.greatest("k", "least").alias("key_b")).where("key_a < key_b").distinct()
+
+
+def classes(rows: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """(group, key, class_key, spelling_key, copies, spellings): every row that looks like one of other characters, with the least key of all
+    rows that look so, the least key of those with just its characters, how many these are, and the number of spellings of the class. The
+    pairs are the rows of one class with different spellings."""
+    alike, spellings = _alike(rows, group, key, text)
+    whole = spellings.groupBy("g", "canon").agg(F.min("least").alias("class_key"), F.count("*").alias("spellings")).where("spellings > 1")
+    each = spellings.join(whole, ["g", "canon"]).withColumnRenamed("other", "text")
+    return alike.join(each, ["g", "canon", "text"]).select(F.col("g").alias(group), F.col("k").alias(key), "class_key", F.col("least").alias("spelling_key"), "copies", "spellings")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,40 @@ def p5_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(F.col("text").isNull() | F.col("text").rlike(lookalikes.PLAIN)).unionByName(odd)
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The classes of rows that look the same and aren't the same characters, with every member."""
+    return lookalikes.classes(_looks(spark, folder), "table_name", "key", "text")
+
+
+def _form_sql(text: str) -> str:
+    """What ``lookalikes.table_form`` gives for texts in Latin letters, in SQL; the lists of characters are made by rule."""
+    forms = {chr(c): unicodedata.normalize("NFC", lookalikes.look(chr(c))) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and not lookalikes.ignorable(chr(c))}
+    one = [(c, f) for c, f in forms.items() if len(f) == 1 and f != c]
+    out = f"regexp_replace({text}, '\\r\\n|[\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g')"
+    out = f"regexp_replace({out}, '[\\p{{Cf}}\\x{{FE00}}-\\x{{FE0F}}\\x{{180B}}-\\x{{180F}}\\x{{E0100}}-\\x{{E01EF}}\\x{{34F}}\\x{{115F}}\\x{{1160}}\\x{{17B4}}\\x{{17B5}}\\x{{3164}}\\x{{FFA0}}]', '', 'g')"
+    for c, f in forms.items():
+        if len(f) > 1 and f.isascii() and f.isalpha():
+            out = f"replace({out}, '{c}', '{f}')"
+    pairs = [(c, f.replace("'", "''")) for c, f in one]
+    return f"nfc_normalize(translate(nfc_normalize({out}), '{''.join(c for c, _ in pairs)}', '{''.join(f for _, f in pairs)}'))"
+
+
+def _p5_sql(select: str) -> str:
+    current = "(SELECT *, row_number() OVER (PARTITION BY trim({0}) ORDER BY ingested_at DESC) AS rn FROM {1} WHERE trim({0}) <> '')"
+    sides = f"SELECT 'nodes' AS table_name, trim(node_id) AS key, text FROM {current.format('node_id', 'nodes')} WHERE rn = 1 UNION ALL SELECT 'chunks', trim(chunk_id), table_md FROM {current.format('chunk_id', 'chunks')} WHERE rn = 1"
+    return f"""WITH r AS ({sides}),
+o AS (SELECT text, {_form_sql('text')} AS canon FROM (SELECT DISTINCT text FROM r WHERE regexp_matches(text, '[^\x20-\x7e\n\t]'))),
+f AS MATERIALIZED (SELECT table_name, key, text, coalesce(canon, text) AS canon FROM r LEFT JOIN o USING (text)),
+s AS MATERIALIZED (SELECT table_name, canon, text, min(key) AS spelling_key, count(*) AS copies FROM f WHERE text IS NOT NULL GROUP BY ALL),
+w AS (SELECT table_name, canon, min(spelling_key) AS class_key, count(*) AS spellings FROM s GROUP BY ALL HAVING count(*) > 1)
+{select}"""
+
+
+P5_CANONICAL_SQL = _p5_sql("SELECT table_name, key, canon AS text FROM f")
+P5_CLASSES_SQL = _p5_sql("SELECT table_name, key, class_key, spelling_key, copies, spellings FROM f JOIN s USING (table_name, canon, text) JOIN w USING (table_name, canon)")
+P5_FOUND_SQL = _p5_sql("SELECT DISTINCT table_name, least(f.key, s.spelling_key) AS key_a, greatest(f.key, s.spelling_key) AS key_b FROM f JOIN s USING (table_name, canon) WHERE f.text <> s.text")
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     """The texts that carry marks of scanning: extractions with all their pages, current nodes and chunks with one text."""
     pages = read(spark, folder, "extracted_pages").select(F.lit("extracted_pages").alias("table_name"), F.col("extract_id").cast("string").alias("record_key"), F.lit(True).alias("paged"), "pages")

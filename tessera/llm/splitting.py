@@ -157,7 +157,8 @@ def split_rows(rows: DataFrame, key: str, text: str, seq: str, keep: list[str],
 
     A row within the limit stays as it is, with piece 1 of 1; a null text stays null and an empty one empty. The pieces of a longer one
     count on from its own ``seq`` (1 where that is null), and the rows behind it in its group, which have the same values of ``keep``, move
-    up by as many (see ``count_on``); groups in which nothing is cut keep their numbers, nulls included. ``piece`` counts from 1; ``start``
+    up by as many (see ``count_on``); groups in which nothing is cut keep their numbers, nulls included, and without ``keep`` each row is a
+    group. ``piece`` counts from 1; ``start``
     is the place of the piece in the text. ``limit``, ``overlap`` and ``start`` count code points. With ``only_cut`` rows within the limit
     are left out and pieces count from their own ``seq``. Keys must name a row. Only long texts go to Python.
     """
@@ -184,13 +185,15 @@ def split_rows(rows: DataFrame, key: str, text: str, seq: str, keep: list[str],
     scratch = Scratch(rows.sparkSession, "pieces")
     pieces = scratch.keep(pieces, "pieces")
     short = base.where(~F.coalesce(too_long(F.col("text"), limit), F.lit(False)))
-    changed = pieces.where("piece = 1").select("key", *names, "seq", "pieces")
-    touched = changed.select(*[F.col(n).alias(f"t_{n}") for n in names]).distinct()
-    beside = F.lit(True)
-    for n in names:
-        beside = beside & F.col(n).eqNullSafe(F.col(f"t_{n}"))
-    siblings = short.select("key", *names, "seq").join(touched, beside, "left_semi") if names else short.select("key", *names, "seq").limit(0)
-    first = scratch.keep(count_on(changed.unionByName(siblings.withColumn("pieces", F.lit(1))), names or ["key"], scratch), "first").withColumnRenamed("key", "f_key")
+    first = pieces.where("piece = 1").select("key", F.col("seq").alias("first"))
+    if names:
+        changed = pieces.where("piece = 1").select("key", *names, "seq", "pieces")
+        beside = F.lit(True)
+        for n in names:
+            beside = beside & F.col(n).eqNullSafe(F.col(f"t_{n}"))
+        siblings = short.select("key", *names, "seq").join(changed.select(*[F.col(n).alias(f"t_{n}") for n in names]).distinct(), beside, "left_semi")
+        first = scratch.keep(count_on(changed.unionByName(siblings.withColumn("pieces", F.lit(1))), names, scratch), "first")
+    first = first.withColumnRenamed("key", "f_key")
     moved = pieces.join(first, F.col("key") == F.col("f_key")).select("key", *names, (F.col("first") + F.col("piece") - 1).alias("seq"), "text", "piece", "pieces", "start")
     kept = short.join(first, F.col("key") == F.col("f_key"), "left").select("key", *names, F.coalesce("first", "seq").alias("seq"), "text", F.lit(1).alias("piece"), F.lit(1).alias("pieces"), F.lit(0).cast("long").alias("start"))
     return kept.unionByName(moved).withColumnsRenamed(back)
