@@ -273,6 +273,9 @@ def repaired(spark):
     rows += [("nodes", k, False, [v]) for k, v in noisy.items()]
     for i, (a, b) in enumerate([("recordcd", 3), ("reviewcd", 3), ("intcrval", 3), ("documcnt", 3), ("failurc", 3)]):
         rows += [("nodes", f"x{i}{j}", False, [f"The {a} sensor."]) for j in range(b)]
+    # Numbers are read by what the corpus shows of them: many whole ones, and few with a letter in a digit's place.
+    rows += [("nodes", f"y{i}", False, [f"The sensor within {rng.randint(100, 999)} ms."]) for i in range(150)]
+    rows += [("nodes", f"z{i}", False, [f"The sensor within {x} ms."]) for i, x in enumerate(("41S", "9S2", "70S", "5S8"))]
     rows.append(("nodes", "s5", False, None))
     df = spark.createDataFrame(rows, "table_name string, record_key string, paged boolean, pages array<string>")
     return scans.Repair(df)
@@ -287,6 +290,44 @@ def test_repairs(repaired):
     assert pages == {("running_line", "RDS-3 Committee draft 2")} | {("page_number", f"Page {p}") for p in range(1, 6)}
 
 
+def test_the_editor_decides(repaired):
+    found = {r["token"]: r["right"] for r in repaired.corrections.collect()}
+    assert {"mcasured": "measured", "scnsor": "sensor", "channcl": "channel"}.items() <= found.items()
+    blind = scans.Editor(scans.Perceptron(), repaired.editor.ops)
+    assert scans._corrections(repaired.vocabulary, blind, repaired.scratch).count() == 0
+    assert not {"sensor", "measured", "channel", "fail-safe", "inspection"} & found.keys()
+
+
+def test_line_ends_are_joined_by_the_model():
+    words = {f"{a}{b}": 50 for a in ("inspec", "monito", "recor", "contro") for b in ("tion", "ring", "ding", "lling")} | {f"{a}-{b}": 40 for a in ("fail", "self", "safe") for b in ("safe", "test", "state")}
+    words |= dict.fromkeys(["fail", "self", "safe", "test", "state"], 200)
+    model = scans.train_joins(words)
+
+    def joins(*x):
+        return model.best(scans.join_features(*x), ("hyphen", "join"))
+
+    assert joins("inspec", "tion", 0, 0, 50, 0) == "join" and joins("unhe", "ard", 0, 0, 0, 0) == "join"
+    assert joins("fail", "safe", 200, 200, 0, 40) == "hyphen"
+    assert scans.Perceptron().best(scans.join_features("inspec", "tion", 0, 0, 50, 0), ("hyphen", "join")) == "hyphen"
+
+
+def test_codes_in_clean_text_stay(spark):
+    rng = random.Random(6)
+    rows = [("nodes", str(i), False, [f"Valve B{rng.randint(1, 9)} of unit S{rng.randint(10, 99)} opens after {rng.randint(10, 999)} ms at {rng.randint(1, 9)} bar."]) for i in range(120)]
+    clean = scans.Repair(spark.createDataFrame(rows, "table_name string, record_key string, paged boolean, pages array<string>"))
+    assert clean.repairs().count() == 0
+
+
+def test_forms_beyond_the_broadcast_give_the_same(spark, monkeypatch):
+    rows = [("extracted_pages", str(k), True, ["\n".join([f"RDS-{k} Committee draft", *(f"The {w} line of the page is read in full." for w in "first second third fourth fifth".split()), f"Copy of archive {k}"]) for _ in range(4)]) for k in range(12)]
+    rows += [("nodes", "n", False, ["The first line.\nCopy of archive 3\nThe last line."]), ("nodes", "m", False, ["The first line.\nCopy that.\nThe last line."])]
+    df = spark.createDataFrame(rows, "table_name string, record_key string, paged boolean, pages array<string>")
+    whole = sorted(map(str, scans.Repair(df).repairs().collect()))
+    assert any("Copy of archive 3" in x and "nodes" in x for x in whole) and not any("Copy that" in x for x in whole)
+    monkeypatch.setattr(scans, "FORMS", 1)
+    assert sorted(map(str, scans.Repair(df).repairs().collect())) == whole
+
+
 def test_texts(repaired):
     got = {r["record_key"]: r["text"] for r in repaired.texts().where("table_name = 'nodes' and record_key like 's%'").collect()}
     assert got["s1"] == "The measured inspection of the sensor."
