@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.hierarchy import SEPARATOR, descendants, hierarchy
-from tessera.operators.orphans import Table, orphans
+from tessera.operators.orphans import Table, orphan_counts, orphans
 from tessera.sources.tables import current_rows, read
 
 
@@ -85,22 +85,21 @@ SELECT node_id, descendant, CAST(distance AS BIGINT) AS distance FROM pairs WHER
 """
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _referring(spark: SparkSession, folder: str) -> tuple[list[tuple[Table, DataFrame]], DataFrame]:
     nodes = Table("nodes", "node_id", [("parent_node_id", "nodes"), ("doc_id", "docs"), ("table_node_id", "nodes")])
     chunks = Table("chunks", "chunk_id", [("origin_node_id", "nodes")])
     docs = Table("docs", "doc_id")
-    return orphans([(t, read(spark, folder, t.name)) for t in (nodes, chunks, docs)], read(spark, folder, "removals"))
+    return [(t, read(spark, folder, t.name)) for t in (nodes, chunks, docs)], read(spark, folder, "removals")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """References in current rows to records that are missing, removed or late."""
-    return _orphans(spark, folder).select("table_name", "field_name", "record_key")
+    return orphans(*_referring(spark, folder)).select("table_name", "field_name", "record_key")
 
 
 def p4_orphans_by_month(spark: SparkSession, folder: str) -> DataFrame:
-    """Their number per table, field, reason and month of the referring row."""
-    month = F.date_format("referred_at", "yyyy-MM").alias("month")
-    return _orphans(spark, folder).groupBy("table_name", "field_name", "reason", month).agg(F.count("*").alias("orphans"))
+    """Their number per table, field, reason and month of the referring row, from counts per key and month."""
+    return orphan_counts(*_referring(spark, folder))
 
 
 _ORPHANS = f"""

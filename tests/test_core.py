@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators.hierarchy import descendants, hierarchy
-from tessera.operators.orphans import Table, orphans
+from tessera.operators import orphans as orphans_module
+from tessera.operators.orphans import Table, orphan_counts, orphans
 from tessera.sources.scratch import Scratch
 from tessera.sources.tables import current_rows, key_of
 
@@ -91,6 +92,22 @@ def test_orphans_by_reason(spark):
     got = {(r["field_name"], r["record_key"], r["reason"]) for r in orphans(tables, removals).collect()}
     assert got == {("parent_node_id", "c", "missing"), ("doc_id", "c", "missing"), ("parent_node_id", "d", "late"), ("parent_node_id", "e", "removed")}
     assert orphans([(t, rows.limit(0)) for t, rows in tables], removals.limit(0)).count() == 0
+    assert orphan_counts([(t, rows.limit(0)) for t, rows in tables], removals.limit(0)).count() == 0
+
+
+def test_orphan_counts_are_those_of_the_single_orphans(spark, monkeypatch):
+    rng = random.Random(8)
+    day = lambda n: T0 + timedelta(n)
+    rows = [(f"n{i}", rng.choice(["hub", "hub", f"n{rng.randint(0, 80)}", "gone", "nowhere", None, " "]), rng.choice(["d1", "d2", "late"]), day(rng.randint(0, 90))) for i in range(300)] + [("hub", None, "d1", day(45)), ("gone", None, "d1", day(1))]
+    nodes = spark.createDataFrame(rows, "node_id string, parent_node_id string, doc_id string, ingested_at timestamp")
+    docs = spark.createDataFrame([("d1", day(0)), ("late", day(50))], "doc_id string, ingested_at timestamp")
+    removals = spark.createDataFrame([("nodes", "gone", day(60)), ("nodes", "n7", day(99))], "table_name string, record_key string, removed_at timestamp")
+    tables = [(Table("nodes", "node_id", [("parent_node_id", "nodes"), ("doc_id", "docs")]), nodes), (Table("docs", "doc_id"), docs)]
+    month = F.date_format("referred_at", "yyyy-MM").alias("month")
+    want = sorted(map(str, orphans(tables, removals).groupBy("table_name", "field_name", "reason", month).agg(F.count("*").alias("orphans")).collect()))
+    for share in (1000, 4, 1):  # nearly all keys heavy, a few, none
+        monkeypatch.setattr(orphans_module, "HEAVY_SHARE", share)
+        assert sorted(map(str, orphan_counts(tables, removals).collect())) == want and len(want) > 10
 
 
 def test_scratch_keeps_partitions_and_drops(spark):
