@@ -11,7 +11,7 @@ from tessera.operators import pinpoint as P
 from tessera.operators import quality as Q
 from tessera.operators import retrieval as R
 from tessera.functions import text as X
-from tessera.plans.search_queries import BM25_SQL, CORPUS_SQL, EXACT_SQL, FUSED_SQL, LEXICAL_SQL, SEMANTIC_SQL, corpus, with_sql
+from tessera.plans.search_queries import BM25_SQL, CORPUS_SQL, EXACT_SQL, FUSED_SQL, LEXICAL_SQL, SEMANTIC_SQL, corpus, index, lexical, semantic, with_sql
 from tessera.plans.structure import current_sql, key_sql
 from tessera.plans.text_queries import WS, cur, tokens_sql
 from tessera.sources.tables import read
@@ -27,8 +27,8 @@ def _labels(c: DataFrame, q: DataFrame) -> DataFrame:
 
 def _measures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     c, q = corpus(spark, folder), read(spark, folder, "eval_queries")
-    lex = R.lexical(c, q)
-    fused = R.fuse_rrf(lex, R.semantic(c, q))
+    lex = lexical(spark, folder, q)
+    fused = R.fuse_rrf(lex, semantic(spark, folder, q))
     labels = _labels(c, q)
     return V.rank_measures(lex, labels, q), V.rank_measures(fused, labels, q)
 
@@ -53,7 +53,7 @@ MEASURES_SQL = with_sql(CORPUS_SQL, EXACT_SQL, BM25_SQL, LEXICAL_SQL, SEMANTIC_S
 def rank_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Jaccard overlap of the first ten chunks of the exact and the BM25 ranking."""
     c, q = corpus(spark, folder), read(spark, folder, "eval_queries")
-    j = V.jaccard(R.exact_tiers(c, q), R.bm25(c, q))
+    j = V.jaccard(R.exact_tiers(c, q), R.bm25(index(spark, folder), q))
     return j.select("query_id", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -94,9 +94,9 @@ sent AS MATERIALIZED (SELECT chunk_id, chunk_id || ':sentence:' || CASE WHEN i <
 def pinpoint_scored(spark: SparkSession, folder: str) -> DataFrame:
     """The three best units of the first ten lexical hits of every evaluation query."""
     c, q = corpus(spark, folder), read(spark, folder, "eval_queries")
-    hits = R.lexical(c, q).where("rank <= 10")
+    hits = lexical(spark, folder, q).where("rank <= 10")
     nodes = cur(spark, folder, "nodes", ["node_type", "text", "row_idx", "col_idx", "table_node_id", "citation_anchor_id"])
-    return P.pinpoint(hits, c, nodes, q)
+    return P.pinpoint(hits, c, nodes, q).drop("text")
 
 
 def _by(row: str, cell: str, sentence: str) -> str:
@@ -109,15 +109,20 @@ PINPOINT_SQL = with_sql(
     CORPUS_SQL, EXACT_SQL, BM25_SQL, LEXICAL_SQL, SENTENCES_SQL,
     rf"""nn AS (SELECT k, node_type, text, row_idx, col_idx, {key_sql('table_node_id')} AS t, citation_anchor_id FROM {current_sql('nodes', 'node_id')} WHERE node_type IN ('table_row', 'table_cell') AND text IS NOT NULL),
 hit AS MATERIALIZED (SELECT query_id, chunk_id FROM lex WHERE rank <= 10),
-tu AS MATERIALIZED (SELECT c.chunk_id, nn.k AS unit_id, nn.node_type AS unit_type, trim(regexp_replace(nn.text, '{WS}', ' ', 'g')) AS text, nn.row_idx, nn.col_idx, nn.citation_anchor_id AS anchor FROM c JOIN nn ON nn.t = {key_sql('c.origin_node_id')} WHERE c.type = 'table'),
-un AS (SELECT * FROM tu UNION ALL SELECT chunk_id, unit_id, 'sentence_window', text, NULL, NULL, NULL FROM sent WHERE chunk_id NOT IN (SELECT chunk_id FROM tu)),
+tu AS MATERIALIZED (SELECT c.chunk_id, nn.k AS unit_id, nn.node_type AS unit_type, trim(regexp_replace(nn.text, '{WS}', ' ', 'g')) AS text, nn.row_idx, nn.col_idx, nn.citation_anchor_id AS anchor FROM c JOIN nn ON nn.t = {key_sql('c.origin_node_id')}
+  QUALIFY row_number() OVER (PARTITION BY c.chunk_id ORDER BY nn.row_idx ASC NULLS FIRST, nn.col_idx ASC NULLS FIRST, nn.k) <= 512),
+mu AS MATERIALIZED (SELECT chunk_id, chunk_id || ':table_md_row:' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END AS unit_id, 'table_row' AS unit_type, ls[i] AS text, i AS row_idx, NULL::BIGINT AS col_idx, citation_anchor_id AS anchor
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT chunk_id, citation_anchor_id, list_filter(list_transform(string_split(table_md, chr(10)), lambda x: trim(regexp_replace(x, '{WS}', ' ', 'g'))), lambda x: starts_with(x, '|')) AS ls FROM c WHERE table_md IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM tu)))),
+su AS MATERIALIZED (SELECT chunk_id, unit_id, 'sentence_window' AS unit_type, text, NULL::BIGINT AS row_idx, NULL::BIGINT AS col_idx, NULL::VARCHAR AS anchor FROM sent WHERE chunk_id NOT IN (SELECT chunk_id FROM tu) AND chunk_id NOT IN (SELECT chunk_id FROM mu)),
+un AS (SELECT * FROM tu UNION ALL SELECT * FROM mu UNION ALL SELECT * FROM su
+  UNION ALL SELECT chunk_id, chunk_id || ':fallback:001', 'chunk_snippet', trim(regexp_replace(substr(coalesce(text, ''), 1, 420), '{WS}', ' ', 'g')), NULL, NULL, citation_anchor_id FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM tu) AND chunk_id NOT IN (SELECT chunk_id FROM mu) AND chunk_id NOT IN (SELECT chunk_id FROM su)),
 qq AS (SELECT query_id, {tokens_sql('query_text', 2, X.PINPOINT_STOPWORDS, True)} AS toks, lower(trim(regexp_replace(query_text, '{WS}', ' ', 'g'))) AS phrase FROM eval_queries),
 j AS (SELECT hit.query_id, un.*, c.citation_anchor_id AS parent, toks, phrase, {_UT} AS ut FROM hit JOIN un USING (chunk_id) JOIN c USING (chunk_id) JOIN qq USING (query_id)),
 o AS (SELECT *, CASE WHEN len(toks) > 0 AND len(ut) > 0 THEN len(list_intersect(toks, ut)) / len(toks) ELSE 0 END AS ov, regexp_matches(phrase, '^table [0-9]+$') AS tr, contains(phrase, 'table') OR contains(phrase, ' row ') OR contains(phrase, ' cell ') AS mt FROM j),
 sc2 AS (SELECT query_id, chunk_id, unit_id, unit_type, row_idx, col_idx, round(ov * 0.7::DOUBLE + CASE WHEN strlen(phrase) >= 8 AND contains(lower(text), phrase) THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN ov >= 0.5 THEN 0.1::DOUBLE ELSE 0 END
   + CASE WHEN tr THEN {_by('0.45::DOUBLE', '0.2::DOUBLE', '-0.5::DOUBLE')} WHEN mt THEN {_by('0.22::DOUBLE', '0.12::DOUBLE', '-0.15::DOUBLE')} ELSE 0 END
   + CASE WHEN trim(coalesce(anchor, '')) = '' OR trim(coalesce(parent, '')) = '' OR anchor = parent OR {_FAMILY.format('anchor')} = {_FAMILY.format('parent')} THEN 0 ELSE -0.2::DOUBLE END
-  + CASE WHEN strlen(text) > 1200 THEN -0.04::DOUBLE WHEN strlen(text) > 700 THEN -0.02::DOUBLE ELSE 0 END, 6) AS score,
+  + CASE WHEN strlen(text) > 1200 THEN -0.04::DOUBLE WHEN strlen(text) > 700 THEN -0.02::DOUBLE ELSE 0 END + CASE WHEN unit_type = 'chunk_snippet' THEN -0.05::DOUBLE ELSE 0 END, 6) AS score,
   CASE WHEN tr THEN {_by('4', '3', '1')} WHEN mt THEN {_by('4', '3', '2')} ELSE {_by('2', '1', '3')} END AS pr FROM o)""",
     select="SELECT query_id, chunk_id, unit_id, unit_type, score, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, pr DESC, row_idx ASC NULLS LAST, col_idx ASC NULLS LAST, unit_id) AS place FROM sc2 QUALIFY place <= 3",
 )

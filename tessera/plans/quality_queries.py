@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import quality as Q
+from tessera.operators.ancestry import nearest_refs
 from tessera.plans.search_queries import CORPUS_SQL, corpus
 from tessera.plans.structure import current_sql, key_sql
 from tessera.plans.text_queries import WS, cur
-from tessera.sources.scratch import Scratch
-from tessera.sources.tables import key_of, read
+from tessera.sources.tables import read
 
 NODE_FIELDS = ["parent_node_id", "node_type", "doc_id", "list_depth", "list_marker_style", "item_index", "table_node_id", "row_idx", "col_idx", "is_header", "row_span", "col_span"]
 N = f"n AS MATERIALIZED (SELECT *, {key_sql('parent_node_id')} AS p FROM {current_sql('nodes', 'node_id')})"
-#: How far up the nearest reference may be.
-LEVELS = 16
 #: The gates on the measures that the tables give.
 GATES = [
     Q.Gate("Q-004", "duplicate_chunks", 0, True),
@@ -247,28 +245,12 @@ REPLAY_SQL = "WITH r AS (SELECT extract_id, page_pdf, backend, generated_at AS g
 
 
 def nearest_ref(spark: SparkSession, folder: str) -> DataFrame:
-    """For every table cell the reference of the nearest clause, subclause, annex or table above it, at most 16 levels up; a blank
-    reference is none.
-
-    Only nodes that have children climb, by doubling: after k rounds each knows the nearest reference among itself and the 2^k - 1 nodes
-    above it, so four rounds make sixteen levels. A node that has its reference or has reached the top joins no further.
-    """
-    scratch = Scratch(spark, "nearest")
-    n = scratch.keep(cur(spark, folder, "nodes", ["parent_node_id", "node_type", "ref"]).select("node_id", key_of("parent_node_id").alias("p"), "node_type", "ref"), "nodes")
-    parents = n.where("p is not null").select(F.col("p").alias("node_id")).distinct()
-    fits = F.coalesce(F.col("node_type").isin("clause", "subclause", "annex", "table"), F.lit(False)) & key_of("ref").isNotNull()
-    state = scratch.keep(n.join(parents, "node_id", "left_semi").select("node_id", F.when(~fits, F.col("p")).alias("far"), F.when(fits, F.col("ref")).alias("found")), "state")
-    for _ in range(LEVELS.bit_length() - 1):
-        ahead = state.select(F.col("node_id").alias("a_id"), F.col("far").alias("a_far"), F.col("found").alias("a_found"))
-        going = state.where("far is not null").join(ahead, F.col("far") == F.col("a_id"), "left").select("node_id", F.when(F.col("a_found").isNull(), F.col("a_far")).alias("far"), F.col("a_found").alias("found"))
-        state = scratch.keep(state.where("far is null").unionByName(going), "state")
-    cells = n.where("node_type = 'table_cell'").select("node_id", "p")
-    held = cells.where("p is not null").join(state.select(F.col("node_id").alias("s_id"), "found"), F.col("p") == F.col("s_id"), "left").select("node_id", F.col("found").alias("parent_ref"))
-    return held.unionByName(cells.where("p is null").select("node_id", F.lit(None).cast("string").alias("parent_ref")))
+    """For every table cell the nearest reference above it."""
+    return nearest_refs(cur(spark, folder, "nodes", ["parent_node_id", "node_type", "ref"]), F.col("node_type") == "table_cell")
 
 
 NEAREST_REF_SQL = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT k, {key_sql('parent_node_id')} AS p, node_type, ref FROM {current_sql('nodes', 'node_id')}),
-w AS (SELECT k AS node_id, p AS here, 1 AS d FROM n WHERE node_type = 'table_cell' UNION ALL SELECT w.node_id, n.p, d + 1 FROM w JOIN n ON n.k = w.here WHERE d < {LEVELS}),
+w AS (SELECT k AS node_id, p AS here, 1 AS d FROM n WHERE node_type = 'table_cell' UNION ALL SELECT w.node_id, n.p, d + 1 FROM w JOIN n ON n.k = w.here WHERE d < 16),
 h AS (SELECT w.node_id, d, n.ref FROM w JOIN n ON n.k = w.here WHERE n.node_type IN ('clause', 'subclause', 'annex', 'table') AND {key_sql('n.ref')} IS NOT NULL)
 SELECT c.k AS node_id, arg_min(h.ref, h.d) AS parent_ref FROM n c LEFT JOIN h ON h.node_id = c.k WHERE c.node_type = 'table_cell' GROUP BY 1"""
 

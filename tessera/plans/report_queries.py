@@ -10,10 +10,11 @@ from tessera.functions import text as X
 from tessera.operators import drift as D
 from tessera.operators import parsing
 from tessera.operators import quality as Q
+from tessera.operators.ancestry import previews
 from tessera.plans.evaluation_queries import DRIFT_SQL, snapshot_drift
 from tessera.plans.search_queries import CORPUS_SQL, corpus, with_sql
 from tessera.plans.structure import current_sql, key_sql
-from tessera.plans.text_queries import cur
+from tessera.plans.text_queries import WS, cur
 from tessera.sources.tables import current_rows, key_of, read
 
 
@@ -77,26 +78,15 @@ m AS (SELECT *, trim(regexp_replace(first, '^\s*[0-9]+[A-Za-z]?[.)]?', '')) AS w
 SELECT table_id, count(*) AS marker_rows, sum(rated)::BIGINT AS rated, count(*) FILTER (length(regexp_replace(words, '[^A-Za-z]', '', 'g')) <= 1 AND len(list_filter(regexp_split_to_array(words, '[\s\p{{Z}}]+'), lambda w: w <> '')) <= 1) AS malformed, count(*) FILTER (cells > 10) AS outliers FROM m GROUP BY 1"""
 
 
-def descendant_preview(spark: SparkSession, folder: str, levels: int = 8, most: int = 256) -> DataFrame:
-    """For every top node the first 256 nodes below it, at most eight levels down, by depth, order and key."""
-    n = cur(spark, folder, "nodes", ["parent_node_id", "node_type", "order_index"])
-    down = n.select(key_of("parent_node_id").alias("p"), F.col("node_id").alias("d_id"), "order_index").where("p is not null")
-    at = n.where("node_type = 'document'").select("node_id", F.col("node_id").alias("at"))
-    parts = []
-    for depth in range(1, levels + 1):
-        at = at.join(down, F.col("at") == F.col("p")).select("node_id", F.col("d_id").alias("at"), "order_index")
-        parts.append(at.withColumn("depth", F.lit(depth)))
-        at = at.drop("order_index")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("node_id").orderBy("depth", F.asc_nulls_first("order_index"), "at")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("node_id", F.col("at").alias("descendant"), F.col("depth").cast("long").alias("depth"), "place")
-
-
-PREVIEW_SQL = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT k, {key_sql('parent_node_id')} AS p, node_type, order_index FROM {current_sql('nodes', 'node_id')}),
-w AS (SELECT d.k AS node_id, n.k AS descendant, n.order_index, 1 AS depth FROM n d JOIN n ON n.p = d.k WHERE d.node_type = 'document' UNION ALL SELECT w.node_id, n.k, n.order_index, depth + 1 FROM w JOIN n ON n.p = w.descendant WHERE depth < 8)
-SELECT node_id, descendant, depth::BIGINT AS depth, row_number() OVER (PARTITION BY node_id ORDER BY depth, order_index ASC NULLS FIRST, descendant) AS place FROM w QUALIFY place <= 256"""
+def descendant_preview(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document node the first 256 nodes below it, at most eight levels down, with the beginning of their text."""
+    n = cur(spark, folder, "nodes", ["parent_node_id", "node_type", "order_index", F.md5(X.collapse(F.substring(F.coalesce("text", F.lit("")), 1, 180))).alias("preview")])
+    return previews(n, n.where("node_type = 'document'"), ["preview"]).select("node_id", "descendant", "depth", "place", "preview")
+
+
+PREVIEW_SQL = rf"""WITH RECURSIVE n AS MATERIALIZED (SELECT k, {key_sql('parent_node_id')} AS p, node_type, order_index, md5(trim(regexp_replace(substr(coalesce(text, ''), 1, 180), '{WS}', ' ', 'g'))) AS preview FROM {current_sql('nodes', 'node_id')}),
+w AS (SELECT d.k AS node_id, n.k AS descendant, n.order_index, n.preview, 1 AS depth FROM n d JOIN n ON n.p = d.k WHERE d.node_type = 'document' UNION ALL SELECT w.node_id, n.k, n.order_index, n.preview, depth + 1 FROM w JOIN n ON n.p = w.descendant WHERE depth < 8)
+SELECT node_id, descendant, depth::BIGINT AS depth, row_number() OVER (PARTITION BY node_id ORDER BY depth, order_index ASC NULLS FIRST, descendant) AS place, preview FROM w QUALIFY place <= 256"""
 
 
 def citation_parity(spark: SparkSession, folder: str) -> DataFrame:

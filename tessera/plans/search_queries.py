@@ -6,17 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import driver as D
+from tessera.operators import quality as Q
 from tessera.operators import retrieval as R
-from tessera.plans.structure import current_sql
-from tessera.plans.text_queries import INTENT_ROUTER_SQL, cur
-from tessera.sources.tables import read
+from tessera.plans.structure import current_sql, key_sql
+from tessera.plans.text_queries import INTENT_ROUTER_SQL, SERIES, _base_sql, cur
+from tessera.sources import embeddings as E
+from tessera.sources.scratch import Scratch
+from tessera.sources.shared import shared
+from tessera.sources.tables import current_rows, read
+
+
+CHUNK_FIELDS = ["doc_id", "type", "ref", "heading", "text", "table_md", "page_pdf_start", "page_pdf_end", "citation_anchor_id", "origin_node_id", "leaf_node_type", "ancestor_path", "anchor_type", "anchor_label_norm"]
+NODE_FIELDS = ["doc_id", "node_type", "ref", "heading", "text", "page_pdf_start", "page_pdf_end"]
 
 
 def corpus(spark: SparkSession, folder: str, table: str = "chunks") -> DataFrame:
-    """Current chunks (or nodes) of known documents with the part of their document."""
-    columns = {"chunks": ["doc_id", "type", "ref", "heading", "text", "table_md", "page_pdf_start", "page_pdf_end", "citation_anchor_id", "origin_node_id"], "nodes": ["doc_id", "node_type", "ref", "heading", "text", "page_pdf_start", "page_pdf_end"]}[table]
-    rows = cur(spark, folder, table, columns).drop("ingested_at").withColumn("doc_id", F.btrim("doc_id"))
-    return rows.join(cur(spark, folder, "docs", ["part", "year"]).drop("ingested_at"), "doc_id")
+    """Current chunks (or nodes) of known documents with the part and year of their document; a table that all queries share."""
+
+    def build(scratch: Scratch) -> DataFrame:
+        known = read(spark, folder, table).columns
+        rows = cur(spark, folder, table, [c for c in (CHUNK_FIELDS if table == "chunks" else NODE_FIELDS) if c in known])
+        rows = rows.drop("ingested_at").withColumn("doc_id", F.btrim("doc_id"))
+        return scratch.keep(rows.join(cur(spark, folder, "docs", ["part", "year"]).drop("ingested_at"), "doc_id"), table)
+
+    return shared(spark, folder, f"corpus-{table}", [table, "docs"], build)
+
+
+def index(spark: SparkSession, folder: str) -> R.Index:
+    """The inverted index of the chunks; built once and used by all queries."""
+    return shared(spark, folder, "index", ["chunks", "docs"], lambda scratch: R.build_index(corpus(spark, folder), scratch))
+
+
+def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The store of embeddings of the default model after a run over the chunks."""
+    model = E.model_of()
+    store = shared(spark, folder, "vectors", ["chunks", "docs"], lambda scratch: scratch.keep(E.embed_run(corpus(spark, folder), E.empty_store(spark), model), "store"))
+    return store.where(F.col("model_id") == model.model_id)
+
+
+def lexical(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
+    return R.lexical(corpus(spark, folder), queries, index(spark, folder))
+
+
+def semantic(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
+    return R.semantic(corpus(spark, folder), queries, stored_vectors(spark, folder))
 
 
 def search_exact(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,40 +62,89 @@ def search_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    return R.bm25(corpus(spark, folder), read(spark, folder, "eval_queries")).select("query_id", "chunk_id", "bm25", "rank", "score")
+    return R.bm25(index(spark, folder), read(spark, folder, "eval_queries")).select("query_id", "chunk_id", "bm25", "rank", "score")
 
 
 def search_lexical(spark: SparkSession, folder: str) -> DataFrame:
-    return R.lexical(corpus(spark, folder), read(spark, folder, "eval_queries")).select("query_id", "chunk_id", "score", "tags", "rank")
+    return lexical(spark, folder, read(spark, folder, "eval_queries")).select("query_id", "chunk_id", "score", "tags", "rank")
 
 
 def search_semantic(spark: SparkSession, folder: str) -> DataFrame:
-    return R.semantic(corpus(spark, folder), read(spark, folder, "eval_queries")).select("query_id", "chunk_id", "score", "rank")
+    return semantic(spark, folder, read(spark, folder, "eval_queries")).select("query_id", "chunk_id", "score", "rank")
 
 
 def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    c, q = corpus(spark, folder), read(spark, folder, "eval_queries")
-    fused = R.fuse_rrf(R.lexical(c, q), R.semantic(c, q))
+    q = read(spark, folder, "eval_queries")
+    fused = R.fuse_rrf(lexical(spark, folder, q), semantic(spark, folder, q))
     return fused.select("query_id", "chunk_id", "score", "match_kind", "rank")
 
 
+def routed(spark: SparkSession, folder: str, limit: int = 10) -> DataFrame:
+    """The final answers of every evaluation query: exact intents lexical, all others fused."""
+    q = read(spark, folder, "eval_queries").withColumn("exact", X.exact_intent(F.col("query_text")))
+    lex = lexical(spark, folder, q)
+    fused = R.fuse_rrf(lex, semantic(spark, folder, q.where("not exact")))
+    columns = ["query_id", "chunk_id", "part", "page_pdf_start", "score"]
+    exact = lex.join(q.where("exact").select("query_id"), "query_id").select(*columns, F.lit("lexical").alias("mode"))
+    other = fused.join(q.where("not exact").select("query_id"), "query_id").select(*columns, F.lit("hybrid").alias("mode"))
+    return R.ranked(exact.unionByName(other), limit).select("query_id", "chunk_id", "rank", "score", "mode")
+
+
 def search_router(spark: SparkSession, folder: str) -> DataFrame:
-    """The final answers: exact intents lexical, all others fused; the first ten with their citation."""
-    c, q = corpus(spark, folder), read(spark, folder, "eval_queries").withColumn("exact", X.exact_intent(F.col("query_text")))
-    lex = R.lexical(c, q)
-    fused = R.fuse_rrf(lex, R.semantic(c, q.where("not exact")))
-    exact = lex.join(q.where("exact").select("query_id"), "query_id").select("query_id", "chunk_id", "part", "page_pdf_start", "score")
-    other = fused.join(q.where("not exact").select("query_id"), "query_id").select("query_id", "chunk_id", "part", "page_pdf_start", "score")
-    top = R.ranked(exact.unionByName(other), 10).select("query_id", "chunk_id", "rank", "score")
-    return top.join(c.select("chunk_id", X.page_range(F.col("page_pdf_start"), F.col("page_pdf_end")).alias("pages")), "chunk_id")
+    """The first ten answers with their pages."""
+    pages = corpus(spark, folder).select("chunk_id", X.page_range(F.col("page_pdf_start"), F.col("page_pdf_end")).alias("pages"))
+    return routed(spark, folder).drop("mode").join(pages, "chunk_id")
+
+
+def search_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten answers of every evaluation query as they are given: citation, parent, ancestors, what is below, best passages."""
+    nodes = cur(spark, folder, "nodes", D.NODE_FIELDS)
+    full = D.hydrate(routed(spark, folder), corpus(spark, folder), nodes, read(spark, folder, "eval_queries"))
+    below = F.aggregate("descendants", F.lit(0).cast("long"), lambda n, d: n + 1)
+    return full.select(
+        "query_id",
+        "rank",
+        "chunk_id",
+        "mode",
+        "citation",
+        "parent_ref",
+        F.array_join("ancestors", "|").alias("ancestors"),
+        below.alias("descendants"),
+        F.coalesce(F.element_at("descendants", 1)["node_id"], F.lit("")).alias("first_below"),
+        F.coalesce(F.try_element_at("kinds", F.lit("table_cell")), F.lit(0)).cast("long").alias("cells"),
+        F.array_join(F.transform("pinpoints", lambda p: p["unit_id"]), "|").alias("pinpoints"),
+    )
 
 
 def chunk_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """Hash of the payload, and the embedding as non-zero places and norm, of every chunk with something to embed."""
-    e = R.embeddings(corpus(spark, folder))
+    e = stored_vectors(spark, folder).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
     return e.select("chunk_id", "payload_hash", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("places"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
+def _first_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The earliest row of each chunk, as an earlier state of the table."""
+    first = read(spark, folder, "chunks").withColumn("minus", -F.unix_micros("ingested_at"))
+    return current_rows(first, "chunk_id", ["type", "ref", "heading", "text", "table_md"], order="minus").drop("minus")
+
+
+def embed_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of a run that makes what is missing or stale in a store of the earliest rows of the chunks."""
+    model, scratch = E.model_of(), Scratch(spark, "embed")
+    before = scratch.keep(E.embed_run(_first_rows(spark, folder), E.empty_store(spark), model), "before")
+    after = scratch.keep(E.embed_run(corpus(spark, folder), before, model), "after")
+    made = after.join(before.select("chunk_id", F.col("payload_hash").alias("old")), "chunk_id", "left").where("not (payload_hash <=> old)")
+    counted = Q.unpivot(made.agg(F.count("*").alias("made"))).unionByName(Q.unpivot(after.agg(F.count("*").alias("stored"))))
+    return E.run_report(corpus(spark, folder), before, after, model).unionByName(counted)
+
+
+def embedding_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the vectors made of the earliest rows cover the current chunks."""
+    model = E.model_of()
+    before = Scratch(spark, "coverage").keep(E.embed_run(_first_rows(spark, folder), E.empty_store(spark), model), "before")
+    return E.coverage(corpus(spark, folder), before, model).withColumn("value", F.round("value", 6))
+
+
 _ALNUM = r"[^\p{L}\p{N}]+"
 CORPUS_SQL = f"""
 c AS MATERIALIZED (SELECT c.k AS chunk_id, trim(c.doc_id) AS doc_id, c.type, c.ref, c.heading, c.text, c.table_md, c.page_pdf_start, c.page_pdf_end, c.citation_anchor_id, c.origin_node_id, d.part, d.year
@@ -76,11 +159,11 @@ exact_all AS (SELECT query_id, chunk_id, c.part, page_pdf_start,
 exact_top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id {_ORDER}) AS rank FROM exact_all QUALIFY rank <= 96)"""
 BM25_SQL = f"""
 toks AS (SELECT chunk_id, type, part, page_pdf_start, unnest([list_filter(regexp_split_to_array(lower(coalesce(x, '')), '{_ALNUM}'), lambda t: t <> '') FOR x IN [chunk_id, doc_id, ref, heading, text]]) AS f FROM c),
-docs_t AS MATERIALIZED (SELECT chunk_id, any_value(type) AS type, any_value(part) AS part, any_value(page_pdf_start) AS page_pdf_start, sum(len(f)) AS size, string_agg(' ' || array_to_string(f, '  ') || ' ', ' | ') AS joined FROM toks GROUP BY chunk_id),
+docs_t AS MATERIALIZED (SELECT chunk_id, list(f) AS fs, any_value(type) AS type, any_value(part) AS part, any_value(page_pdf_start) AS page_pdf_start, sum(len(f)) AS size, string_agg(' ' || array_to_string(f, '  ') || ' ', ' | ') AS joined FROM toks GROUP BY chunk_id),
 st AS (SELECT count(*) AS n, avg(size) AS mean_size FROM docs_t),
 ph AS MATERIALIZED (SELECT DISTINCT query_id, array_to_string(list_filter(regexp_split_to_array(w, '{_ALNUM}'), lambda t: t <> ''), ' ') AS phrase FROM (SELECT query_id, unnest(regexp_split_to_array(q, '\\s+')) AS w FROM q) WHERE regexp_matches(w, '[\\p{{L}}\\p{{N}}]')),
-voc AS (SELECT DISTINCT phrase, ' ' || replace(phrase, ' ', '  ') || ' ' AS sp FROM ph),
-tf AS MATERIALIZED (SELECT chunk_id, phrase, size, type, part, page_pdf_start, (length(joined) - length(replace(joined, sp, ''))) / length(sp) AS tf FROM docs_t JOIN voc ON contains(joined, sp)),
+voc AS MATERIALIZED (SELECT DISTINCT phrase, string_split(phrase, ' ') AS pt, len(list_filter(range(1, len(string_split(phrase, ' '))), lambda n: string_split(phrase, ' ')[1:n] = string_split(phrase, ' ')[len(string_split(phrase, ' ')) - n + 1:])) > 0 AS laps, ' ' || replace(phrase, ' ', '  ') || ' ' AS sp FROM ph),
+tf AS MATERIALIZED (SELECT chunk_id, phrase, size, type, part, page_pdf_start, CASE WHEN laps THEN list_sum(list_transform(fs, lambda f: len(list_filter(range(1, len(f) - len(pt) + 2), lambda i: f[i:i + len(pt) - 1] = pt))))::DOUBLE ELSE (length(joined) - length(replace(joined, sp, ''))) / length(sp) END AS tf FROM docs_t JOIN voc ON contains(joined, sp)),
 df AS (SELECT phrase, count(*) AS df FROM tf GROUP BY 1),
 w AS (SELECT tf.*, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size)) AS w FROM tf JOIN df USING (phrase), st),
 sc AS (SELECT query_id, chunk_id, count(*) AS matched, round(sum(w), 6) AS bm25, any_value(type) AS type, any_value(part) AS part, any_value(page_pdf_start) AS page_pdf_start FROM ph JOIN w USING (phrase) GROUP BY 1, 2),
@@ -142,6 +225,22 @@ ROUTER_SQL = with_sql(
     select="SELECT query_id, chunk_id, rank, score, CASE WHEN c.page_pdf_start IS NULL AND page_pdf_end IS NULL THEN 'unknown' WHEN c.page_pdf_start IS NULL THEN CAST(page_pdf_end AS VARCHAR) WHEN page_pdf_end IS NULL OR c.page_pdf_start = page_pdf_end THEN CAST(c.page_pdf_start AS VARCHAR) ELSE c.page_pdf_start || '-' || page_pdf_end END AS pages FROM top10 JOIN c USING (chunk_id)",
 )
 
+_MODE = f"(SELECT query_id, exact FROM ({INTENT_ROUTER_SQL}))"
+#: The units of the first ten answers are those of ``pinpoint_scored``, which the module of evaluation adds.
+ANSWER_CTES = (
+    CORPUS_SQL, EXACT_SQL, BM25_SQL, LEXICAL_SQL, SEMANTIC_SQL, FUSED_SQL,
+    f"ans AS (SELECT query_id, chunk_id, part, page_pdf_start, score, 'lexical' AS mode FROM lex JOIN {_MODE} USING (query_id) WHERE exact UNION ALL SELECT query_id, chunk_id, part, page_pdf_start, score, 'hybrid' FROM fused JOIN {_MODE} USING (query_id) WHERE NOT exact),"
+    f"top10 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id {_ORDER}) AS rank FROM ans QUALIFY rank <= 10)",
+)
+_STATES = f"""e0 AS (SELECT k AS chunk_id, type, ref, heading, text, table_md FROM (SELECT *, {key_sql('chunk_id')} AS k, row_number() OVER (PARTITION BY {key_sql('chunk_id')} ORDER BY ingested_at) AS rn FROM chunks WHERE {key_sql('chunk_id')} IS NOT NULL) WHERE rn = 1),
+now AS MATERIALIZED (SELECT chunk_id, sha256({PAYLOAD}) AS h FROM c WHERE type IN ('clause', 'annex', 'table')), old AS MATERIALIZED (SELECT chunk_id, sha256({PAYLOAD}) AS h FROM e0 WHERE {PAYLOAD} IS NOT NULL),
+j AS MATERIALIZED (SELECT now.chunk_id, now.h, old.h AS oh FROM now LEFT JOIN old USING (chunk_id))"""
+EMBED_RUN_SQL = with_sql(CORPUS_SQL, _STATES, select="""SELECT 'chunks' AS measure, count(*)::DOUBLE AS value FROM j UNION ALL SELECT 'eligible', count(h)::DOUBLE FROM j UNION ALL SELECT 'skipped_empty', count(*) FILTER (h IS NULL)::DOUBLE FROM j
+UNION ALL SELECT 'stale_before', count(*) FILTER (h IS NOT NULL AND (oh IS NULL OR oh <> h))::DOUBLE FROM j UNION ALL SELECT 'stale_after', 0 UNION ALL SELECT 'embedded', count(h)::DOUBLE FROM j
+UNION ALL SELECT 'made', count(*) FILTER (h IS NOT NULL AND (oh IS NULL OR oh <> h))::DOUBLE FROM j UNION ALL SELECT 'stored', count(*)::DOUBLE FROM (SELECT chunk_id FROM old UNION SELECT chunk_id FROM j WHERE h IS NOT NULL)""")
+COVERAGE_SQL = with_sql(CORPUS_SQL, _STATES, "m AS (SELECT count(h)::DOUBLE AS eligible, count(*) FILTER (h IS NOT NULL AND oh IS NOT NULL)::DOUBLE AS embedded, count(*) FILTER (h <> oh)::DOUBLE AS stale FROM j)", select="""SELECT 'eligible' AS measure, eligible AS value FROM m UNION ALL SELECT 'embedded', embedded FROM m UNION ALL SELECT 'stale', stale FROM m
+UNION ALL SELECT 'coverage', round(embedded / eligible, 6) FROM m UNION ALL SELECT 'stale_ratio', round(stale / embedded, 6) FROM m""")
+
 QUERIES = {
     "search_exact": (search_exact, with_sql(CORPUS_SQL, EXACT_SQL, select="SELECT query_id, chunk_id, score, CASE score WHEN 1000 THEN 'exact_ref' WHEN 900 THEN 'exact_heading' WHEN 700 THEN 'ref_contains' ELSE 'heading_contains' END AS match_kind, rank FROM exact_top")),
     "search_nodes": (search_nodes, NODES_SQL),
@@ -151,4 +250,6 @@ QUERIES = {
     "search_hybrid": (search_hybrid, with_sql(CORPUS_SQL, EXACT_SQL, BM25_SQL, LEXICAL_SQL, SEMANTIC_SQL, FUSED_SQL, select="SELECT query_id, chunk_id, score, match_kind, rank FROM fused")),
     "search_router": (search_router, ROUTER_SQL),
     "chunk_embeddings": (chunk_embeddings, EMBED_SQL),
+    "embed_run": (embed_run, EMBED_RUN_SQL),
+    "embedding_coverage": (embedding_coverage, COVERAGE_SQL),
 }
