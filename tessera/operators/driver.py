@@ -14,6 +14,7 @@ from tessera.operators import pinpoint as P
 from tessera.operators import retrieval as R
 from tessera.operators.ancestry import PREVIEW, nearest_refs, previews
 from tessera.sources import embeddings as E
+from tessera.sources.scratch import Scratch
 from tessera.sources.tables import key_of
 
 MODES = ("lexical", "semantic", "hybrid")
@@ -83,6 +84,8 @@ def hydrate(hits: DataFrame, chunks: DataFrame, nodes: DataFrame, queries: DataF
 
     Each of these is one join for all hits. A chunk without a known node has no parent and nothing below it.
     """
+    scratch = Scratch(chunks.sparkSession, "answers")
+    hits = scratch.keep(hits, "hits")
     facts = chunks.select("chunk_id", "doc_id", "part", "year", "type", "ref", "heading", "page_pdf_start", "page_pdf_end", "leaf_node_type", "ancestor_path", "anchor_type", "anchor_label_norm", "citation_anchor_id", key_of("origin_node_id").alias("origin"), "text")
     asked = facts.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
     cited = X.citation(series, F.col("part"), F.col("year"), F.col("ref"), F.col("anchor_type"), F.col("anchor_label_norm"), F.col("page_pdf_start"), F.col("page_pdf_end"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.quality import count_if
+from tessera.operators.ranks import percentiles
+from tessera.sources.scratch import Scratch
 
 
 def rank_measures(hits: DataFrame, labels: DataFrame, queries: DataFrame, k: int = 10, recall_k: int = 50) -> DataFrame:
@@ -45,15 +47,13 @@ def jaccard(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
 
 
 def numeric_stats(values: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, n, min, max, mean, p50, p95, p99 interpolated, p95_nearest by nearest rank)."""
-    return values.groupBy(group).agg(
-        F.count(value).alias("n"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.round(F.avg(value), 6).alias("mean"),
-        *[F.round(F.percentile(value, p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)],
-        F.expr(f"percentile_disc(0.95) within group (order by `{value}`)").alias("p95_nearest"),
-    )
+    """(group, n, min, max, mean, p50, p95, p99 interpolated, p95_nearest by nearest rank); no task holds all values of a group."""
+    scratch = Scratch(values.sparkSession, "stats")
+    plain = values.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"))
+    at = {"p50": ("linear", 0.5), "p95": ("linear", 0.95), "p99": ("linear", 0.99), "p95_nearest": ("nearest", 0.95)}
+    cuts = percentiles(values, group, value, at, scratch).withColumnRenamed(group, "_group")
+    joined = plain.join(cuts, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return joined.select(group, "n", "min", "max", "mean", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")], "p95_nearest")
 
 
 def sign_test(wins: int, losses: int) -> float | None:

@@ -11,9 +11,11 @@ from tessera.operators import pinpoint as P
 from tessera.operators import quality as Q
 from tessera.operators import retrieval as R
 from tessera.functions import text as X
-from tessera.plans.search_queries import BM25_SQL, CORPUS_SQL, EXACT_SQL, FUSED_SQL, LEXICAL_SQL, SEMANTIC_SQL, corpus, index, lexical, semantic, with_sql
+from tessera.plans.search_queries import ANSWER_CTES, BM25_SQL, CORPUS_SQL, EXACT_SQL, FUSED_SQL, LEXICAL_SQL, SEMANTIC_SQL, corpus, index, lexical, search_answers, semantic, with_sql
 from tessera.plans.structure import current_sql, key_sql
-from tessera.plans.text_queries import WS, cur, tokens_sql
+from tessera.plans.text_queries import SERIES, WS, _base_sql, cur, tokens_sql
+from tessera.operators.ranks import percentiles
+from tessera.sources.scratch import Scratch
 from tessera.sources.tables import read
 
 
@@ -105,10 +107,11 @@ def _by(row: str, cell: str, sentence: str) -> str:
 
 _FAMILY = "concat_ws(':', trim(string_split({0}, ':')[1]), trim(string_split({0}, ':')[2]))"
 _UT = tokens_sql("un.text", 2, X.PINPOINT_STOPWORDS, True)
-PINPOINT_SQL = with_sql(
-    CORPUS_SQL, EXACT_SQL, BM25_SQL, LEXICAL_SQL, SENTENCES_SQL,
-    rf"""nn AS (SELECT k, node_type, text, row_idx, col_idx, {key_sql('table_node_id')} AS t, citation_anchor_id FROM {current_sql('nodes', 'node_id')} WHERE node_type IN ('table_row', 'table_cell') AND text IS NOT NULL),
-hit AS MATERIALIZED (SELECT query_id, chunk_id FROM lex WHERE rank <= 10),
+
+
+def _pinpoint_ctes(hit: str) -> str:
+    return rf"""nn AS (SELECT k, node_type, text, row_idx, col_idx, {key_sql('table_node_id')} AS t, citation_anchor_id FROM {current_sql('nodes', 'node_id')} WHERE node_type IN ('table_row', 'table_cell') AND text IS NOT NULL),
+hit AS MATERIALIZED (SELECT query_id, chunk_id FROM {hit} WHERE rank <= 10),
 tu AS MATERIALIZED (SELECT c.chunk_id, nn.k AS unit_id, nn.node_type AS unit_type, trim(regexp_replace(nn.text, '{WS}', ' ', 'g')) AS text, nn.row_idx, nn.col_idx, nn.citation_anchor_id AS anchor FROM c JOIN nn ON nn.t = {key_sql('c.origin_node_id')}
   QUALIFY row_number() OVER (PARTITION BY c.chunk_id ORDER BY nn.row_idx ASC NULLS FIRST, nn.col_idx ASC NULLS FIRST, nn.k) <= 512),
 mu AS MATERIALIZED (SELECT chunk_id, chunk_id || ':table_md_row:' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END AS unit_id, 'table_row' AS unit_type, ls[i] AS text, i AS row_idx, NULL::BIGINT AS col_idx, citation_anchor_id AS anchor
@@ -123,9 +126,34 @@ sc2 AS (SELECT query_id, chunk_id, unit_id, unit_type, row_idx, col_idx, round(o
   + CASE WHEN tr THEN {_by('0.45::DOUBLE', '0.2::DOUBLE', '-0.5::DOUBLE')} WHEN mt THEN {_by('0.22::DOUBLE', '0.12::DOUBLE', '-0.15::DOUBLE')} ELSE 0 END
   + CASE WHEN trim(coalesce(anchor, '')) = '' OR trim(coalesce(parent, '')) = '' OR anchor = parent OR {_FAMILY.format('anchor')} = {_FAMILY.format('parent')} THEN 0 ELSE -0.2::DOUBLE END
   + CASE WHEN strlen(text) > 1200 THEN -0.04::DOUBLE WHEN strlen(text) > 700 THEN -0.02::DOUBLE ELSE 0 END + CASE WHEN unit_type = 'chunk_snippet' THEN -0.05::DOUBLE ELSE 0 END, 6) AS score,
-  CASE WHEN tr THEN {_by('4', '3', '1')} WHEN mt THEN {_by('4', '3', '2')} ELSE {_by('2', '1', '3')} END AS pr FROM o)""",
-    select="SELECT query_id, chunk_id, unit_id, unit_type, score, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, pr DESC, row_idx ASC NULLS LAST, col_idx ASC NULLS LAST, unit_id) AS place FROM sc2 QUALIFY place <= 3",
-)
+  CASE WHEN tr THEN {_by('4', '3', '1')} WHEN mt THEN {_by('4', '3', '2')} ELSE {_by('2', '1', '3')} END AS pr FROM o),
+pins AS MATERIALIZED (SELECT query_id, chunk_id, unit_id, unit_type, score, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, pr DESC, row_idx ASC NULLS LAST, col_idx ASC NULLS LAST, unit_id) AS place FROM sc2 QUALIFY place <= 3)"""
+
+
+PINPOINT_SQL = with_sql(CORPUS_SQL, EXACT_SQL, BM25_SQL, LEXICAL_SQL, SENTENCES_SQL, _pinpoint_ctes("lex"), select="SELECT * FROM pins")
+_NAME = "CASE WHEN coalesce(ref, '') = '' THEN '(unreferenced chunk)' ELSE ref END"
+ANSWERS_SQL = with_sql(
+    *ANSWER_CTES,
+    SENTENCES_SQL,
+    _pinpoint_ctes("top10"),
+    rf"""nd AS MATERIALIZED (SELECT k, {key_sql('parent_node_id')} AS p, node_type, ref, order_index FROM {current_sql('nodes', 'node_id')}),
+og AS MATERIALIZED (SELECT DISTINCT {key_sql('origin_node_id')} AS o FROM c JOIN top10 USING (chunk_id) WHERE {key_sql('origin_node_id')} IS NOT NULL),
+pins_by AS (SELECT query_id, chunk_id, string_agg(unit_id, '|' ORDER BY place) AS pinpoints FROM pins GROUP BY 1, 2)""",
+    select=f"""SELECT query_id, rank, chunk_id, mode,
+  '{SERIES} ' || coalesce(CAST(c.part AS VARCHAR), '?') || ':' || coalesce(CAST(year AS VARCHAR), '?') || ', ' ||
+  CASE WHEN anchor_type = 'marker' AND coalesce(anchor_label_norm, '') <> '' AND starts_with(anchor_label_norm, 'NOTE') THEN {_base_sql(f'({_NAME})')} || ', ' || anchor_label_norm
+    WHEN anchor_type = 'marker' AND coalesce(anchor_label_norm, '') <> '' THEN {_base_sql(f'({_NAME})')} || '(' || anchor_label_norm || ')'
+    WHEN anchor_type = 'paragraph' AND coalesce(anchor_label_norm, '') <> '' THEN {_base_sql(f'({_NAME})')} || ', para ' || anchor_label_norm ELSE {_NAME} END || ', PDF pages ' ||
+  CASE WHEN c.page_pdf_start IS NULL AND page_pdf_end IS NULL THEN 'unknown' WHEN c.page_pdf_start IS NULL THEN CAST(page_pdf_end AS VARCHAR) WHEN page_pdf_end IS NULL OR c.page_pdf_start = page_pdf_end THEN CAST(c.page_pdf_start AS VARCHAR) ELSE c.page_pdf_start || '-' || page_pdf_end END AS citation,
+  parent_ref, CASE WHEN trim(coalesce(ancestor_path, '')) = '' THEN '' ELSE replace(ancestor_path, ' > ', '|') END AS ancestors, n AS descendants, coalesce(first_below, '') AS first_below, coalesce(cells, 0) AS cells, pinpoints
+FROM top10 JOIN c USING (chunk_id) LEFT JOIN pins_by USING (query_id, chunk_id) LEFT JOIN above ON above.o = {key_sql('origin_node_id')} LEFT JOIN below ON below.o = {key_sql('origin_node_id')}""",
+)
+_RECURSIVE = """up AS (SELECT o, nd.p AS here, 1 AS d FROM og JOIN nd ON nd.k = o UNION ALL SELECT o, nd.p, d + 1 FROM up JOIN nd ON nd.k = up.here WHERE d < 16),
+above AS (SELECT o, arg_min(ref, d) AS parent_ref FROM up JOIN nd ON nd.k = up.here WHERE node_type IN ('clause', 'subclause', 'annex', 'table') AND trim(ref) <> '' GROUP BY 1),
+dn AS (SELECT o, nd.k, node_type, order_index, 1 AS d FROM og JOIN nd ON nd.p = o UNION ALL SELECT o, nd.k, nd.node_type, nd.order_index, d + 1 FROM dn JOIN nd ON nd.p = dn.k WHERE d < 8),
+d256 AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY d, order_index ASC NULLS FIRST, k) AS place FROM dn QUALIFY place <= 256),
+below AS (SELECT o, count(*) AS n, min(k) FILTER (place = 1) AS first_below, count(*) FILTER (node_type = 'table_cell') AS cells FROM d256 GROUP BY 1)"""
+ANSWERS_SQL = ANSWERS_SQL.replace("\nSELECT query_id, rank, chunk_id, mode", f",\n{_RECURSIVE}\nSELECT query_id, rank, chunk_id, mode").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def snapshot_drift(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +165,7 @@ def snapshot_drift(spark: SparkSession, folder: str) -> DataFrame:
 
 def _snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = read(spark, folder, "hybrid_rows").where("score is not null and not isnan(score)").select("query_id", "scorer", F.col("hit.chunk_id").alias("chunk_id"), "score", "row_id", "scored_at")
-    middle = rows.agg(F.expr("percentile_disc(0.5) within group (order by row_id)").alias("m"))
+    middle = percentiles(rows.withColumn("all", F.lit(1)), "all", "row_id", {"m": ("nearest", 0.5)}, Scratch(spark, "middle")).select("m")
     early = rows.crossJoin(F.broadcast(middle)).where("row_id <= m").drop("m")  # one row
     return D.top_lists(early), D.top_lists(rows)
 
@@ -180,6 +208,7 @@ QUERIES = {
     "significance": (significance, None),
     "pinpoint_sentences": (pinpoint_sentences, with_sql(CORPUS_SQL, SENTENCES_SQL, select="SELECT chunk_id, unit_id, text FROM sent")),
     "pinpoint_scored": (pinpoint_scored, PINPOINT_SQL),
+    "search_answers": (search_answers, ANSWERS_SQL),
     "snapshot_drift": (snapshot_drift, DRIFT_SQL),
     "pass_order": (pass_order, PASS_SQL),
     "requirement_atoms": (requirement_atoms, ATOMS_SQL),

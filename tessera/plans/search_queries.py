@@ -147,7 +147,7 @@ def embedding_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 _ALNUM = r"[^\p{L}\p{N}]+"
 CORPUS_SQL = f"""
-c AS MATERIALIZED (SELECT c.k AS chunk_id, trim(c.doc_id) AS doc_id, c.type, c.ref, c.heading, c.text, c.table_md, c.page_pdf_start, c.page_pdf_end, c.citation_anchor_id, c.origin_node_id, d.part, d.year
+c AS MATERIALIZED (SELECT c.k AS chunk_id, trim(c.doc_id) AS doc_id, c.type, c.ref, c.heading, c.text, c.table_md, c.page_pdf_start, c.page_pdf_end, c.citation_anchor_id, c.origin_node_id, c.ancestor_path, c.anchor_type, c.anchor_label_norm, d.part, d.year
   FROM {current_sql('chunks', 'chunk_id')} c JOIN {current_sql('docs', 'doc_id')} d ON d.k = trim(c.doc_id)),
 q AS MATERIALIZED (SELECT query_id, query_text, part_filter, chunk_type_filter, lower(trim(query_text)) AS q FROM eval_queries WHERE trim(query_text) <> '')"""
 _FITS = "(q.part_filter IS NULL OR c.part = q.part_filter) AND (q.chunk_type_filter IS NULL OR c.type = q.chunk_type_filter)"
