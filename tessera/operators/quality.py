@@ -170,31 +170,30 @@ def nearest_pages(chunks: DataFrame, seeds: DataFrame, k: int = 256) -> DataFram
     return everything.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("n"))).where(F.col("place") <= k).select("seed", "chunk_id", "place")
 
 
-# --- gates --------------------------------------------------------------------------------------------------------------------------------
+def table_scorecard(cells: DataFrame) -> DataFrame:
+    """(measure, value) over all table rows of (table_id, row_idx, col_idx, text): rows, those with at most one filled cell, those with more
+    than one marker, marker rows, those with a description in their second cell, markers seen and markers to be expected.
 
-
-@dataclass(frozen=True)
-class Gate:
-    """A check: a measure, its limit, and whether it must be at most or at least that. ``stage`` B only fails in stage B."""
-
-    check: str
-    measure: str
-    limit: float
-    at_most: bool
-    stage: str = "A"
-
-
-def gate_results(measures: DataFrame, gates: list[Gate], stage: str = "A") -> DataFrame:
-    """(check, measure, value, limit, result): pass, failed, or pending where there is no value. A gate of stage B passes in stage A."""
-    spark = measures.sparkSession
-    table = spark.createDataFrame([(g.check, g.measure, float(g.limit), g.at_most, g.stage) for g in gates], "check string, measure string, limit double, at_most boolean, stage string")
-    joined = F.broadcast(table).join(measures, "measure", "left")  # the table of gates is fixed
-    good = F.when(F.col("at_most"), F.col("value") <= F.col("limit")).otherwise(F.col("value") >= F.col("limit"))
-    result = F.when(F.col("value").isNull(), "pending").when(good, "pass").when((F.col("stage") == "B") & F.lit(stage == "A"), "pass").otherwise("failed")
-    return joined.select("check", "measure", "value", "limit", result.alias("result"))
-
-
-def gate_summary(results: DataFrame) -> DataFrame:
-    """(total, passed, failed, pending, status): failed if any check failed, else partial if any is pending, else passed."""
-    out = results.agg(F.count("*").alias("total"), count_if(F.col("result") == "pass").alias("passed"), count_if(F.col("result") == "failed").alias("failed"), count_if(F.col("result") == "pending").alias("pending"))
-    return out.withColumn("status", F.when(F.col("failed") > 0, "failed").when(F.col("pending") > 0, "partial").otherwise("passed"))
+    A marker is a number with or without a letter. Of a number with letters as many markers are expected as its letters span; else one.
+    """
+    tokens = F.filter(F.transform(F.split("text", X.SPACE), lambda t: F.lower(F.regexp_replace(t, r"[).:;]+$", ""))), lambda t: t.rlike(MARKER))
+    marks = cells.select("table_id", "row_idx", "col_idx", "text", tokens.alias("tokens"))
+    first = F.max(F.when(F.col("col_idx") == 1, F.lower(F.regexp_replace(F.btrim("text"), r"[).:;]+$", "")).rlike(MARKER)))
+    rows = marks.groupBy("table_id", "row_idx").agg(
+        count_if(F.btrim("text") != "").alias("filled"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("markers"),
+        F.coalesce(first, F.lit(False)).alias("marked"),
+        F.coalesce(F.max(F.when(F.col("col_idx") == 2, F.col("text").rlike("[A-Za-z]"))), F.lit(False)).alias("described"),
+    )
+    counted = rows.agg(F.count("*").alias("table_rows"), count_if(F.col("filled") <= 1).alias("sparse_rows"), count_if(F.col("markers") > 1).alias("overloaded_rows"), count_if(F.col("marked")).alias("marker_rows"), count_if(F.col("marked") & F.col("described")).alias("described_rows"))
+    seen = marks.select("table_id", F.explode("tokens").alias("token")).distinct()
+    seen = seen.select("table_id", "token", F.regexp_extract("token", "^([0-9]+)", 1).alias("number"), F.regexp_extract("token", "([a-z])$", 1).alias("letter"))
+    letter = F.when(F.col("letter") != "", F.ascii("letter"))
+    span = F.greatest(F.max(letter) - F.min(letter) + 1, F.countDistinct(letter), F.lit(1))
+    numbers = seen.groupBy("table_id", "number").agg(F.count("*").alias("n"), span.alias("wanted"))
+    total = numbers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("markers_seen"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("markers_expected"))
+    return unpivot(counted).unionByName(unpivot(total))
+
+
+#: A marker of a table row.
+MARKER = "^[0-9]+[a-z]?$"

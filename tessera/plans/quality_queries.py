@@ -11,26 +11,10 @@ from tessera.operators.ancestry import nearest_refs
 from tessera.plans.search_queries import CORPUS_SQL, corpus
 from tessera.plans.structure import current_sql, key_sql
 from tessera.plans.text_queries import WS, cur
-from tessera.sources.tables import read
+from tessera.sources.tables import key_of, read
 
 NODE_FIELDS = ["parent_node_id", "node_type", "doc_id", "list_depth", "list_marker_style", "item_index", "table_node_id", "row_idx", "col_idx", "is_header", "row_span", "col_span"]
 N = f"n AS MATERIALIZED (SELECT *, {key_sql('parent_node_id')} AS p FROM {current_sql('nodes', 'node_id')})"
-#: The gates on the measures that the tables give.
-GATES = [
-    Q.Gate("Q-004", "duplicate_chunks", 0, True),
-    Q.Gate("Q-018", "structural_violations", 0, True),
-    Q.Gate("Q-024", "invalid_labels", 0, True),
-    Q.Gate("Q-025", "sequence_violations", 0, True, "B"),
-    Q.Gate("Q-026", "list_completeness", 1.0, False, "B"),
-    Q.Gate("Q-026d", "depth_violations", 0, True, "B"),
-    Q.Gate("Q-027", "cell_completeness", 1.0, False, "B"),
-    Q.Gate("Q-027s", "invalid_spans", 0, True),
-    Q.Gate("Q-028", "one_cell_ratio", 0.25, True, "B"),
-    Q.Gate("Q-029", "noise_ratio", 0.5, True),
-    Q.Gate("Q-031", "embedding_coverage", 0.98, False),
-    Q.Gate("Q-033", "semantic_ndcg", 0.72, False, "B"),
-]
-
 
 def structural_invariants(spark: SparkSession, folder: str) -> DataFrame:
     return Q.structural_invariants(cur(spark, folder, "nodes", NODE_FIELDS))
@@ -42,6 +26,22 @@ SELECT 'missing_parent' AS measure, count(*)::DOUBLE AS value FROM n WHERE node_
 UNION ALL SELECT 'dangling_parent', count(*)::DOUBLE FROM j WHERE pk IS NULL{_WRONG}"""
 
 
+def table_scorecard(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of sparse, overloaded, marked and described rows of all tables, and of their markers."""
+    n = cur(spark, folder, "nodes", ["node_type", "table_node_id", "row_idx", "col_idx", "text"]).where("node_type = 'table_cell' and row_idx is not null")
+    return Q.table_scorecard(n.select(key_of("table_node_id").alias("table_id"), "row_idx", "col_idx", F.coalesce("text", F.lit("")).alias("text")).where("table_id is not null"))
+
+
+SCORECARD_SQL = rf"""WITH c AS MATERIALIZED (SELECT {key_sql('table_node_id')} AS t, row_idx AS r, col_idx AS i, coalesce(text, '') AS x, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda w: lower(regexp_replace(w, '[).:;]+$', ''))), lambda w: regexp_matches(w, '^[0-9]+[a-z]?$')) AS tk
+  FROM {current_sql('nodes', 'node_id')} WHERE node_type = 'table_cell' AND row_idx IS NOT NULL AND {key_sql('table_node_id')} IS NOT NULL),
+r AS (SELECT t, r, count(*) FILTER (trim(x) <> '') AS filled, len(list_distinct(flatten(list(tk)))) AS markers, coalesce(bool_or(regexp_matches(lower(regexp_replace(trim(x), '[).:;]+$', '')), '^[0-9]+[a-z]?$')) FILTER (i = 1), false) AS marked, coalesce(bool_or(regexp_matches(x, '[A-Za-z]')) FILTER (i = 2), false) AS described FROM c GROUP BY 1, 2),
+s AS (SELECT DISTINCT t, k, regexp_extract(k, '^([0-9]+)', 1) AS num, nullif(regexp_extract(k, '([a-z])$', 1), '') AS l FROM (SELECT t, unnest(tk) AS k FROM c)),
+m AS (SELECT count(*) AS n, coalesce(greatest(max(ascii(l)) - min(ascii(l)) + 1, nullif(count(DISTINCT l), 0)), 1) AS wanted FROM s GROUP BY t, num)
+SELECT 'table_rows' AS measure, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'sparse_rows', count(*)::DOUBLE FROM r WHERE filled <= 1 UNION ALL SELECT 'overloaded_rows', count(*)::DOUBLE FROM r WHERE markers > 1
+UNION ALL SELECT 'marker_rows', count(*)::DOUBLE FROM r WHERE marked UNION ALL SELECT 'described_rows', count(*)::DOUBLE FROM r WHERE marked AND described
+UNION ALL SELECT 'markers_seen', coalesce(sum(n), 0)::DOUBLE FROM m UNION ALL SELECT 'markers_expected', coalesce(sum(wanted), 0)::DOUBLE FROM m"""
+
+
 def list_semantics(spark: SparkSession, folder: str) -> DataFrame:
     return Q.list_semantics(cur(spark, folder, "nodes", NODE_FIELDS))
 
@@ -166,62 +166,6 @@ def label_ranges(spark: SparkSession, folder: str) -> DataFrame:
 LABELS_SQL = f"WITH {C}, l AS (SELECT trim(doc_id) AS doc_id, page_pdf AS page, printed_page_label AS label FROM page_provenance WHERE printed_page_label IS NOT NULL), s AS (SELECT chunk_id, page, label FROM c JOIN l ON l.doc_id = c.doc_id AND page BETWEEN page_pdf_start AND page_pdf_end) SELECT chunk_id, arg_min(label, (page, label)) AS first_label, arg_max(label, (page, label)) AS last_label FROM s GROUP BY 1"
 
 
-def _measures(spark: SparkSession, folder: str) -> DataFrame:
-    def one(df: DataFrame, measure: str, value) -> DataFrame:
-        return df.agg(value.cast("double").alias("value")).select(F.lit(measure).alias("measure"), "value")
-
-    def pick(df: DataFrame, name: str):
-        return F.max(F.when(F.col("measure") == name, F.col("value")))
-
-    lists, tables = list_semantics(spark, folder), table_semantics(spark, folder)
-    parts = [
-        one(duplicate_chunks(spark, folder), "duplicate_chunks", F.count("*")),
-        one(structural_invariants(spark, folder), "structural_violations", F.sum("value")),
-        printed_page_metrics(spark, folder).where("measure = 'invalid_labels'"),
-        one(sequence_gaps(spark, folder), "sequence_violations", F.count("*")),
-        one(lists, "list_completeness", Q.ratio(pick(lists, "complete"), pick(lists, "list_items"))),
-        lists.where("measure = 'depth_violations'"),
-        one(tables, "cell_completeness", Q.ratio(pick(tables, "complete_cells"), pick(tables, "cells"))),
-        tables.where("measure = 'invalid_spans'"),
-        one(tables, "one_cell_ratio", Q.ratio(pick(tables, "one_cell_rows"), pick(tables, "rows"))),
-        one(_chunks(spark, folder).where("text is not null"), "noise_ratio", F.avg(X.is_licence_noise(F.col("text")).cast("double"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def gate_results(spark: SparkSession, folder: str) -> DataFrame:
-    """The checks on all measures in stage B."""
-    out = Q.gate_results(_measures(spark, folder), GATES, "B")
-    return out.select("check", "measure", F.round("value", 6).alias("value"), "limit", "result")
-
-
-_GATE_VALUES = ", ".join(f"('{g.check}', '{g.measure}', {float(g.limit)}::DOUBLE, {str(g.at_most).lower()})" for g in GATES)
-GATES_SQL = f"""WITH m AS (
-  SELECT 'duplicate_chunks' AS measure, count(*)::DOUBLE AS value FROM ({DUPLICATE_SQL})
-  UNION ALL SELECT 'structural_violations', sum(value) FROM ({INVARIANTS_SQL})
-  UNION ALL SELECT measure, value FROM ({PRINTED_SQL}) WHERE measure = 'invalid_labels'
-  UNION ALL SELECT 'sequence_violations', count(*)::DOUBLE FROM ({GAPS_SQL})
-  UNION ALL SELECT 'list_completeness', max(value) FILTER (measure = 'complete') / nullif(max(value) FILTER (measure = 'list_items'), 0) FROM ({LIST_SQL})
-  UNION ALL SELECT measure, value FROM ({LIST_SQL}) WHERE measure = 'depth_violations'
-  UNION ALL SELECT 'cell_completeness', max(value) FILTER (measure = 'complete_cells') / nullif(max(value) FILTER (measure = 'cells'), 0) FROM ({TABLE_SQL})
-  UNION ALL SELECT measure, value FROM ({TABLE_SQL}) WHERE measure = 'invalid_spans'
-  UNION ALL SELECT 'one_cell_ratio', max(value) FILTER (measure = 'one_cell_rows') / nullif(max(value) FILTER (measure = 'rows'), 0) FROM ({TABLE_SQL})
-  UNION ALL SELECT 'noise_ratio', avg(CASE WHEN (contains(lower(text), 'store order') AND contains(lower(text), 'downloaded:')) OR ((contains(lower(text), 'single user licence only') OR contains(lower(text), 'single user license only')) AND contains(lower(text), 'networking prohibited')) OR (contains(lower(text), 'licensed to') AND contains(lower(text), 'license #') AND contains(lower(text), 'downloaded:')) THEN 1.0 ELSE 0.0 END)::DOUBLE FROM (WITH {C} SELECT * FROM c) WHERE text IS NOT NULL),
-g(chk, measure, lim, at_most) AS (VALUES {_GATE_VALUES})
-SELECT chk AS "check", measure, round(value, 6) AS value, lim AS "limit", CASE WHEN value IS NULL THEN 'pending' WHEN CASE WHEN at_most THEN value <= lim ELSE value >= lim END THEN 'pass' ELSE 'failed' END AS result FROM g LEFT JOIN m USING (measure)"""
-
-
-def gate_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.gate_summary(gate_results(spark, folder))
-
-
-SUMMARY_SQL = f"""WITH r AS ({GATES_SQL}) SELECT count(*) AS total, count(*) FILTER (result = 'pass') AS passed, count(*) FILTER (result = 'failed') AS failed, count(*) FILTER (result = 'pending') AS pending,
-CASE WHEN count(*) FILTER (result = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (result = 'pending') > 0 THEN 'partial' ELSE 'passed' END AS status FROM r"""
-
-
 def freshness_by_part(spark: SparkSession, folder: str) -> DataFrame:
     """The latest document of each part, and how many days it lies behind the latest of all; parts more than a year behind are stale."""
     d = cur(spark, folder, "docs", ["part"]).where("part is not null")
@@ -258,6 +202,7 @@ QUERIES = {
     "structural_invariants": (structural_invariants, INVARIANTS_SQL),
     "list_semantics": (list_semantics, LIST_SQL),
     "table_semantics": (table_semantics, TABLE_SQL),
+    "table_scorecard": (table_scorecard, SCORECARD_SQL),
     "duplicate_chunks": (duplicate_chunks, DUPLICATE_SQL),
     "sequence_gaps": (sequence_gaps, GAPS_SQL),
     "overlap_words": (overlap_words, OVERLAP_SQL),
@@ -266,8 +211,6 @@ QUERIES = {
     "judged_neighbourhood": (judged_neighbourhood, NEAREST_SQL),
     "printed_page_metrics": (printed_page_metrics, PRINTED_SQL),
     "label_ranges": (label_ranges, LABELS_SQL),
-    "gate_results": (gate_results, GATES_SQL),
-    "gate_summary": (gate_summary, SUMMARY_SQL),
     "freshness_by_part": (freshness_by_part, FRESHNESS_SQL),
     "replay_stability": (replay_stability, REPLAY_SQL),
     "nearest_ref": (nearest_ref, NEAREST_REF_SQL),

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import evaluation_queries, quality_queries, report_queries, search_queries, source_queries, structure, text_queries
+from tessera.plans import evaluation_queries, gate_queries, quality_queries, report_queries, search_queries, source_queries, structure, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with QUERIES: name -> (query, SQL or None).
-MODULES = (structure, text_queries, search_queries, quality_queries, evaluation_queries, source_queries, report_queries)
+MODULES = (structure, text_queries, search_queries, quality_queries, evaluation_queries, source_queries, report_queries, gate_queries)
 
 
 def queries() -> dict[str, Query]:
