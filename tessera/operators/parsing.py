@@ -25,6 +25,9 @@ NOTE_ITEM = re.compile(r"^(NOTE(?:\s+\d+)?)(?:\s+(.+))?$", re.I)
 CELL_SPLIT = re.compile(r"\t+|\s{2,}")
 MARKER_TOKEN = re.compile(r"^\d+[a-z]?$")
 RATINGS = frozenset(["+", "++", "-", "--", "+/-", "+/−", "−/+", "o"])
+#: Punctuation around a rating, and the words that occur together in download and licence banners.
+AROUND = "().:;,"
+BANNERS = (("store order", "downloaded:"), ("single user licence only", "networking prohibited"), ("single user license only", "networking prohibited"), ("licensed to", "license #", "downloaded:"))
 #: A heading's title is at most so many bytes; a page's edge line that may repeat, too.
 TITLE_BYTES, EDGE_BYTES, EDGE_PAGES = 140, 120, 3
 CLAUSE_WORDS, LEAST_WORDS, OVERLAP_WORDS = 900, 300, 75
@@ -54,8 +57,20 @@ def edge_form(line: str) -> str:
     return " ".join(line.split()).lower()
 
 
+def is_banner(line: str) -> bool:
+    low = line.lower()
+    return any(all(w in low for w in words) for words in BANNERS)
+
+
+def rating_of(token: str) -> str | None:
+    """A rating without the punctuation around it; None for other tokens."""
+    bare = token.strip(AROUND)
+    return bare if bare in RATINGS else None
+
+
 def normalise_pages(pages: list[str]) -> tuple[list[str], dict[str, int]]:
-    """Pages without lines that repeat at their top or bottom, with words divided at line ends joined; and how much was done."""
+    """Pages without banners and lines that repeat at their top or bottom, with words divided at line ends joined; and how much was done.
+    Which lines repeat is told from the pages as they came."""
     split = [p.split("\n") for p in pages]
     filled = [[i for i, x in enumerate(lines) if x.strip()] for lines in split]
     repeated = []
@@ -65,6 +80,7 @@ def normalise_pages(pages: list[str]) -> tuple[list[str], dict[str, int]]:
     done = {"headers": 0, "footers": 0, "merges": 0}
     out = []
     for lines in split:
+        lines = [x for x in lines if not is_banner(x)]
         for end, name in ((0, "headers"), (-1, "footers")):
             at = [i for i, x in enumerate(lines) if x.strip()]
             if at and edge_form(lines[at[end]]) in repeated[end]:
@@ -273,9 +289,9 @@ def split_ratings(rows: list[list[str]]) -> list[list[str]]:
     for row in rows:
         tokens = row[1].split() if len(row) == 2 and is_marker(row[0]) else []
         n = len(tokens)
-        while n and tokens[n - 1] in RATINGS:
+        while n and rating_of(tokens[n - 1]):
             n -= 1
-        out.append([row[0], " ".join(tokens[:n]), *tokens[n:]] if len(tokens) >= 3 and 0 < n <= len(tokens) - 2 else list(row))
+        out.append([row[0], " ".join(tokens[:n]), *map(rating_of, tokens[n:])] if len(tokens) >= 3 and 0 < n <= len(tokens) - 2 else list(row))
     return out
 
 
@@ -283,7 +299,7 @@ def spread_ratings(rows: list[list[str]], least: int = 8, width: int = 6) -> lis
     """Eight ratings or more in one row belong to the marker rows right above it: they are dealt from the top, up to six cells a row."""
     out = [list(r) for r in rows]
     for i, row in enumerate(out):
-        pool = deque(c for c in row[2:] if c in RATINGS)
+        pool = deque(r for r in map(rating_of, row[2:]) if r)
         start = i
         while start and is_marker(out[start - 1][0]):
             start -= 1
@@ -298,15 +314,14 @@ def spread_ratings(rows: list[list[str]], least: int = 8, width: int = 6) -> lis
 
 
 def backfill_ratings(rows: list[list[str]], lines: list[str]) -> list[list[str]]:
-    """In a matrix of levels A to D, marker rows without a rating get one each from those of the body, the last first."""
-    letters = {x for line in lines for x in line.split() if x in ("A", "B", "C", "D")}
-    if not any("ASIL" in x for x in lines) or len(letters) < 4:
+    """In a matrix of levels A to D, each on a line of its own, marker rows without a rating get one each from those of the body, the last first."""
+    letters = {x.strip().upper() for x in lines} & set("ABCD")
+    if not any("ASIL" in x.upper() for x in lines) or len(letters) < 4:
         return rows
-    pool = [t for line in lines for t in line.split() if t in RATINGS]
+    pool = [r for line in lines for r in map(rating_of, line.split()) if r]
     out = [list(r) for r in rows]
     for row in out:
-        if pool and row and is_marker(row[0]) and not any(c in RATINGS for c in row[2:]):
-            row.extend([""] * (2 - len(row)))
+        if pool and row and is_marker(row[0]) and not any(rating_of(t) for c in row[2:] for t in c.split()):
             row.append(pool.pop())
     return out
 
@@ -399,7 +414,7 @@ def table_rows(text: str, heading: str | None = None) -> tuple[list[list[str]],
     def structured(rows: list[list[str]]) -> bool:
         return len(rows) >= 2 and any(len(r) > 1 for r in rows)
 
-    rows = aligned([c for c in map(cells_of, lines) if c])
+    rows = aligned([c for c in (cells_of(x) for x in lines if not is_banner(x)) if c])
     other = reconstruct(lines)
     if other and (prefer(quality_of(rows), quality_of(other)) or (not structured(rows) and structured(other))):
         rows = aligned(other)
@@ -423,7 +438,8 @@ def csv_line(row: list[str]) -> str:
 
 
 def structured_chunks(extractions: DataFrame) -> DataFrame:
-    """(extract_id, type, ref, heading, occurrence, chunk_seq, page_start, page_end, text) of all extractions (extract_id, pages)."""
+    """(extract_id, type, ref, heading, occurrence, part, page_start, page_end, text, table_md, table_csv, rows, header_rows, markers, sparse,
+    fell_back) of all extractions (extract_id, pages); those behind the text are null for other chunks than tables."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -432,13 +448,19 @@ def structured_chunks(extractions: DataFrame) -> DataFrame:
                 seen: Counter = Counter()
                 clean, _ = normalise_pages([p or "" for p in pages] if pages is not None else [])
                 for c in chunks_of(clean):
+                    table: tuple = (None,) * 7
+                    if c.kind == "table":
+                        rows, fell_back = table_rows(c.text, c.heading)
+                        q = quality_of(rows)
+                        table = (markdown(rows), "\n".join(map(csv_line, rows)), q.rows, header_rows(rows), q.markers, q.sparse, fell_back)
                     for part, text in enumerate(split_long(c), 1):
                         seen[c.ref] += 1
-                        out.append((key, c.kind, c.ref, c.heading, seen[c.ref], part, c.page_start, c.page_end, text))
-            yield pd.DataFrame(out, columns=["extract_id", "type", "ref", "heading", "occurrence", "part", "page_start", "page_end", "text"])
+                        out.append((key, c.kind, c.ref, c.heading, seen[c.ref], part, c.page_start, c.page_end, text, *table))
+            columns = ["extract_id", "type", "ref", "heading", "occurrence", "part", "page_start", "page_end", "text", "table_md", "table_csv", "rows", "header_rows", "markers", "sparse", "fell_back"]
+            yield pd.DataFrame(out, columns=columns).astype({"rows": "Int32", "header_rows": "Int32", "markers": "Int32", "sparse": "Int32", "fell_back": "boolean"})
 
     key = extractions.schema["extract_id"].dataType.simpleString()
-    return extractions.select("extract_id", "pages").mapInPandas(run, f"extract_id {key}, type string, ref string, heading string, occurrence int, part int, page_start int, page_end int, text string")
+    return extractions.select("extract_id", "pages").mapInPandas(run, f"extract_id {key}, type string, ref string, heading string, occurrence int, part int, page_start int, page_end int, text string, table_md string, table_csv string, rows int, header_rows int, markers int, sparse int, fell_back boolean")
 
 
 def blocks(chunks: DataFrame) -> DataFrame:
@@ -470,79 +492,154 @@ def safe_id(text: str) -> str:
     return re.sub(r"[^A-Za-z0-9]+", "_", text).lower().strip("_")
 
 
-def nodes_of(doc: str, pages: list[str]) -> list[tuple]:
-    """(node_id, parent, type, ref, order, page_start, page_end, label, depth, row, col, text) of all nodes of a document.
-
-    A clause hangs on the latest earlier clause of its longest dotted prefix, else on the document; a table on the last clause. Blocks of
-    a chunk hang on its node: lists with nested items (an item's parent is the last one a level higher), notes, paragraphs, requirements,
-    rows and cells.
+@dataclass
+class Node:
+    node_id: str
+    parent: str | None
+    kind: str
+    ref: str | None
+    heading: str | None
+    page_start: int
+    page_end: int
+    text: str | None
+    path: str
+    label: str | None = None
+    list_depth: int | None = None
+    item_index: int | None = None
+    row: int | None = None
+    col: int | None = None
+    is_header: bool | None = None
+    order: int = 0
+
+
+def nodes_of(doc: str, pages: list[str], title: str | None = None, sections: list[tuple[str, str, int]] = (), with_pages: bool = False) -> list[Node]:
+    """All nodes of a document.
+
+    ``sections`` are headings of its outline as (reference, heading, page); ``with_pages`` adds a node per page that isn't blank. A clause
+    hangs on the latest earlier clause of its longest dotted prefix, else on the section of its first part, else on the document; a table on
+    the last clause, else on its section. Blocks of a chunk hang on its node: lists with nested items (an item's parent is the last one a
+    level higher; where there is none its level goes down until there is), notes, paragraphs, requirements, rows and cells. A path joins
+    the type and reference (or heading) of each node from the document down.
     """
-    out: list[tuple] = []
+    out: list[Node] = []
     root = f"{doc}:node:document"
     clauses: dict[str, str] = {}
+    of_section: dict[str, str] = {}
+    paths: dict[str, str] = {}
     seen: Counter = Counter()
-    last = root
+    last: str | None = None
 
-    def add(node: str, parent: str | None, kind: str, ref: str | None, c: Chunk | None, text: str | None, label: str | None = None, depth: int | None = None, row: int | None = None, col: int | None = None) -> str:
-        out.append((node, parent, kind, ref, len(out) + 1, c.page_start if c else 1, c.page_end if c else max(1, len(pages)), label, depth, row, col, text))
+    def add(node: str, parent: str | None, kind: str, ref: str | None, heading: str | None, span: tuple[int, int], text: str | None, **more) -> str:
+        named = f"{kind}:{ref or heading or 'unlabeled'}"
+        paths[node] = f"{paths[parent]} > {named}" if parent in paths else named
+        out.append(Node(node, parent, kind, ref, heading, *span, text, paths[node], order=len(out) + 1, **more))
         return node
 
-    add(root, None, "document", None, None, None)
+    whole = (1, max(1, len(pages)))
+    add(root, None, "document", None, title, whole, None)
+    for ref, heading, page in sections:
+        of_section.setdefault(ref, add(f"{doc}:node:section_heading:{safe_id(ref)}", root, "section_heading", ref, heading, (page, page), heading, label=ref))
     clean, _ = normalise_pages(pages)
+    if with_pages:
+        for number, page in enumerate(clean, 1):
+            if page.strip():
+                add(f"{doc}:node:page:{number:04d}", root, "page", f"PDF page {number}", f"Page {number}", (number, number), page.strip())
     for c in chunks_of(clean):
         kind = "subclause" if c.kind == "clause" and c.ref.count(".") > 1 else c.kind
+        span = (c.page_start, c.page_end)
         seen[kind, safe_id(c.ref)] += 1
-        node = f"{doc}:node:{kind}:{safe_id(c.ref)}:{seen[kind, safe_id(c.ref)]:03d}"
-        parent = root
+        name = f"{doc}:node:{kind}:{safe_id(c.ref)}:{seen[kind, safe_id(c.ref)]:03d}"
+        parent = None
         if c.kind == "table":
             parent = last
         elif c.kind == "clause":
             prefix = c.ref
-            while "." in prefix and parent == root:
+            while "." in prefix and parent is None:
                 prefix = prefix.rpartition(".")[0]
-                parent = clauses.get(prefix, root)
-        add(node, parent, kind, c.ref, c, c.heading, safe_id(c.ref))
+                parent = clauses.get(prefix)
+        parent = parent or of_section.get(c.ref.partition(".")[0]) or root
+        node = add(name, parent, kind, c.ref, c.heading, span, c.heading, label=safe_id(c.ref))
         if c.kind == "clause":
             clauses[c.ref] = last = node
         if c.kind == "table":
             rows, _ = table_rows(c.text, c.heading)
+            heads = header_rows(rows)
             for r, cells in enumerate(rows, 1):
-                row = add(f"{node}:row:{r:03d}", node, "table_row", c.ref, c, " | ".join(cells), f"row {r}", None, r)
+                row = add(f"{node}:row:{r:03d}", node, "table_row", c.ref, None, span, " | ".join(cells), label=f"row {r}", row=r, is_header=r <= heads)
                 for k, cell in enumerate(cells, 1):
-                    add(f"{node}:cell:{r:03d}:{k:03d}", row, "table_cell", c.ref, c, cell, f"r{r}c{k}", None, r, k)
+                    add(f"{node}:cell:{r:03d}:{k:03d}", row, "table_cell", c.ref, None, span, cell, label=f"r{r}c{k}", row=r, col=k, is_header=r <= heads)
             continue
         items, _, _ = list_items(c.text, c.heading)
         if items:
-            over = {0: add(f"{node}:list:001", node, "list", c.ref, c, None)}
+            over = {0: add(f"{node}:list:001", node, "list", c.ref, None, span, None)}
+            counts: Counter = Counter()
             for i, item in enumerate(items, 1):
                 level = item.depth
                 while level - 1 not in over:
                     level -= 1
                 over = {d: n for d, n in over.items() if d < level}
-                over[level] = add(f"{node}:list:001:item:{i:03d}", over[level - 1], "list_item", c.ref, c, item.text, item.label, level)
+                counts[over[level - 1]] += 1
+                over[level] = add(f"{node}:list:001:item:{i:03d}", over[level - 1], "list_item", c.ref, None, span, item.text, label=item.label, list_depth=level, item_index=counts[over[level - 1]])
         notes = note_items(c.text, c.heading)
         if notes:
-            note = add(f"{node}:note:001", node, "note", c.ref, c, None)
+            note = add(f"{node}:note:001", node, "note", c.ref, None, span, None)
             for i, (label, text) in enumerate(notes, 1):
-                add(f"{note}:item:{i:03d}", note, "note_item", c.ref, c, text, label)
+                add(f"{note}:item:{i:03d}", note, "note_item", c.ref, None, span, text, label=label, item_index=i)
         for i, text in enumerate(paragraphs(c.text, c.heading), 1):
-            add(f"{node}:paragraph:{i:03d}", node, "paragraph", c.ref, c, text, str(i))
+            add(f"{node}:paragraph:{i:03d}", node, "paragraph", c.ref, None, span, text, label=str(i))
         atoms = [a.strip() for a in re.split(r"[.;]\s+", " ".join(body_lines(c.text, c.heading)))]
         for i, text in enumerate((a for a in atoms if re.search(r"\bshall(?:\s+not)?\b|\bshould\b", a, re.I)), 1):
-            add(f"{node}:req:{i:03d}", node, "requirement_atom", c.ref, c, text, f"req {i}")
+            add(f"{node}:req:{i:03d}", node, "requirement_atom", c.ref, None, span, text, label=f"req {i}")
     return out
 
 
-def structured_nodes(extractions: DataFrame) -> DataFrame:
-    """The nodes of all extractions (extract_id, doc_id, pages); ids start with the extraction, as a document may have several."""
+NODE_COLUMNS = ["node_id", "parent_node_id", "node_type", "ref", "heading", "page_start", "page_end", "text", "ancestor_path", "label", "list_depth", "item_index", "row_idx", "col_idx", "is_header", "order_index"]
+
+
+def structured_nodes(extractions: DataFrame, with_pages: bool = False) -> DataFrame:
+    """The nodes of all extractions (extract_id, doc_id, pages, and if there are any sections: array of (ref, heading, page)); ids start with
+    the document and the extraction, as a document may have several."""
+    has_sections = "sections" in extractions.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, doc, pages in zip(batch["extract_id"], batch["doc_id"], batch["pages"]):
-                out.extend((key, *n) for n in nodes_of(f"{doc}:{key}", [p or "" for p in pages] if pages is not None else []))
-            columns = ["extract_id", "node_id", "parent_node_id", "node_type", "ref", "order_index", "page_start", "page_end", "label", "list_depth", "row_idx", "col_idx", "text"]
-            yield pd.DataFrame(out, columns=columns).astype({"list_depth": "Int32", "row_idx": "Int32", "col_idx": "Int32"})
+            outlines = batch["sections"] if has_sections else [None] * len(batch)
+            for key, doc, pages, outline in zip(batch["extract_id"], batch["doc_id"], batch["pages"], outlines):
+                sections = [(x["ref"], x["heading"], int(x["page"])) for x in outline] if outline is not None else []
+                out.extend((key, *vars(n).values()) for n in nodes_of(f"{doc}:{key}", [p or "" for p in pages] if pages is not None else [], None, sections, with_pages))
+            yield pd.DataFrame(out, columns=["extract_id", *NODE_COLUMNS]).astype({c: "Int32" for c in ("list_depth", "item_index", "row_idx", "col_idx")} | {"is_header": "boolean"})
 
     key = extractions.schema["extract_id"].dataType.simpleString()
-    return extractions.select("extract_id", "doc_id", "pages").mapInPandas(run, f"extract_id {key}, node_id string, parent_node_id string, node_type string, ref string, order_index int, page_start int, page_end int, label string, list_depth int, row_idx int, col_idx int, text string")
+    schema = f"extract_id {key}, node_id string, parent_node_id string, node_type string, ref string, heading string, page_start int, page_end int, text string, ancestor_path string, label string, list_depth int, item_index int, row_idx int, col_idx int, is_header boolean, order_index int"
+    return extractions.select("extract_id", "doc_id", "pages", *(["sections"] if has_sections else [])).mapInPandas(run, schema)
+
+
+# --- outlines and what was read -----------------------------------------------------------------------------------------------------------
+
+# The entities of outline labels.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&#160;": " ", "\xa0": " ", "&amp;": "&"}
+
+
+def outline_label(raw: str) -> str:
+    """The text of an outline entry: entities and no-break spaces resolved, white space collapsed."""
+    for entity, text in ENTITIES.items():
+        raw = raw.replace(entity, text)
+    return " ".join(raw.split())
+
+
+def sections_of(outline: str) -> list[tuple[str, str, int]]:
+    """(reference, heading, page) of the numbered entries of an outline in XML, the first of each reference."""
+    out: dict[str, tuple[str, str, int]] = {}
+    for page, raw in re.findall(r'<item\s+page="(\d+)"\s*>(.*?)</item>', outline, re.S):
+        m = re.fullmatch(r"(\d+)\s+(\S.*)", outline_label(raw))
+        if m:
+            out.setdefault(m[1], (m[1], m[2], int(page)))
+    return list(out.values())
+
+
+def ocr_candidates(pages: list[str], mode: str, least_chars: int = 120) -> list[int]:
+    """The numbers of the pages that an OCR backend should read: none (``off``), all (``force``) or those with few visible characters."""
+    if mode not in ("off", "auto", "force"):
+        raise ValueError(f"no such mode: {mode}")
+    return [i for i, p in enumerate(pages, 1) if mode == "force" or (mode == "auto" and len("".join(p.split())) < least_chars)]

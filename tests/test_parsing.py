@@ -26,7 +26,7 @@ def test_table_rows_are_aligned():
     assert P.split_ratings([["1a", "Description ++ + o -"]]) == [["1a", "Description", "++", "+", "o", "-"]]
     rows = P.spread_ratings([["1a", "a"], ["1b", "b"], ["1c", "c"], ["1d", "d", *["+"] * 8]])
     assert [len(r) for r in rows] == [6, 6, 2, 2]
-    assert [r[2:] for r in P.backfill_ratings([["1a", "x"], ["1b", "y"]], ["ASIL A B C D ++ + ++ +"])] == [["+"], ["++"]]
+    assert [r[2:] for r in P.backfill_ratings([["1a", "x"], ["1b", "y"]], "ASIL A B C D ++ + ++ +".split())] == [["+"], ["++"]]
     assert P.header_rows([["Requirement", "ASIL A"], ["1a", "description"]]) == 1
     rows, fell_back = P.table_rows("Table 1 X\n\nMeasure  IL 1\n1a Test  ++", "Table 1 X")
     assert not fell_back and len(rows) == 2
@@ -95,3 +95,71 @@ def test_commands_and_lockfiles(tmp_path):
         pass
     else:
         raise AssertionError
+
+
+def test_banners_go_and_ratings_lose_their_punctuation():
+    banner = ["ISO Store Order: 12 / Downloaded: 2020-01-01", "Single user licence only, copying and networking prohibited.", "Licensed to X / License # 1 / Downloaded: y"]
+    assert P.normalise_pages(["\n".join([*banner, "body"])])[0] == ["body"]
+    assert P.normalise_pages(["networking prohibited\nbody"])[0] == ["networking prohibited\nbody"]
+    assert P.split_ratings([["1a", "Description (++), + o; -."]]) == [["1a", "Description", "++", "+", "o", "-"]]
+    assert P.split_ratings([["1a", "++ +"]]) == [["1a", "++ +"]]
+    lines = ["asil", "A", "B", "C", "D", "(++)", "+,"]
+    assert P.backfill_ratings([["1a", "x"], ["1b", "y"]], lines) == [["1a", "x", "+"], ["1b", "y", "++"]]
+    assert P.backfill_ratings([["1a", "x"]], ["ASIL A B C D ++"]) == [["1a", "x"]]
+    assert P.backfill_ratings([["1a", "x", "(++)"]], lines) == [["1a", "x", "(++)"]]
+
+
+def test_outline_and_candidates():
+    xml = '<item page="3">4 General &amp; scope</item><item page="9">4 Again</item><item page="5">Foreword</item><item page="7">5&#160;Terms</item>'
+    assert P.sections_of(xml) == [("4", "General & scope", 3), ("5", "Terms", 7)]
+    pages = ["minimal", "x" * 200, "tiny"]
+    assert P.ocr_candidates(pages, "auto", 10) == [1, 3] and P.ocr_candidates(pages, "off") == [] and P.ocr_candidates(pages, "force") == [1, 2, 3]
+
+
+def test_node_tree():
+    pages = ["4.1 First\nThe unit shall stop.\na) one\nb) two\nTable 1 Rates\nMethod  A\nReview  ++", "", "7.3 Far\nNOTE 1 remark\nAnnex B More\ntext"]
+    nodes = {n.node_id.removeprefix("d:node:"): n for n in P.nodes_of("d", pages, "Title", [("4", "General", 1)], with_pages=True)}
+    assert nodes["document"].path == "document:Title" and nodes["section_heading:4"].path == "document:Title > section_heading:4"
+    assert [k for k in nodes if k.startswith("page")] == ["page:0001", "page:0003"]
+    clause, far, table = nodes["clause:4_1:001"], nodes["clause:7_3:001"], nodes["table:table_1:001"]
+    assert clause.parent == "d:node:section_heading:4" and far.parent == "d:node:document" and table.parent == clause.node_id
+    assert table.path == "document:Title > section_heading:4 > clause:4.1 > table:Table 1" and nodes["annex:annex_b:001"].parent == "d:node:document"
+    items = [n for n in nodes.values() if n.kind == "list_item"]
+    assert [(n.label, n.list_depth, n.item_index) for n in items] == [("a", 1, 1), ("b", 1, 2)]
+    assert nodes["clause:4_1:001:req:001"].text == "The unit shall stop" and nodes["clause:7_3:001:note:001:item:001"].label == "NOTE 1"
+    head = nodes["table:table_1:001:cell:001:001"]
+    assert head.is_header and nodes["table:table_1:001:row:002"].is_header is False and head.col == 1
+    assert [n.order for n in nodes.values()] == list(range(1, len(nodes) + 1))
+
+
+def test_parsed_tables_have_markdown_and_csv(spark):
+    df = spark.createDataFrame([(1, "d", ["Table 1 Rates\nMethod  A\nReview  ++\nTest, long  +"]), (2, "d", None)], "extract_id long, doc_id string, pages array<string>")
+    row = P.structured_chunks(df).first()
+    assert row["table_md"].splitlines()[1] == "|---|---|" and row["table_csv"].splitlines()[2] == '"Test, long",+' and (row["rows"], row["header_rows"], row["markers"], row["fell_back"]) == (3, 1, 0, False)
+    assert P.structured_nodes(df, with_pages=True).where("node_type = 'page'").count() == 1
+
+
+def test_files_are_read_and_replaced(spark, tmp_path):
+    from tessera.sources import files
+    from tessera.streaming import jobs
+
+    for name in ("RDS-3;2018.pdf", "RDS-1;2020.PDF", "note.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    found = files.checked(files.inventory(spark, str(tmp_path)), "documents").collect()
+    assert [(r["filename"], r["part"], r["year"]) for r in found] == [("RDS-1;2020.PDF", 1, 2020), ("RDS-3;2018.pdf", 3, 2018)]
+    docs = spark.read.format("binaryFile").load(f"{tmp_path}/*.[pP][dD][fF]").selectExpr("path as filename", "content")
+    pages = files.extract_pages(docs, text_layer=lambda b: ["x" * 200, "low"], ocr=lambda b: ["scan 1", "scan 2"]).collect()
+    assert {(r["page_pdf"], r["text"], r["backend"], r["reason"]) for r in pages} == {(1, "x" * 200, "text_layer", "text_ok"), (2, "scan 2", "ocr", "low_text")}
+    (tmp_path / "m").mkdir()
+    for i in (1, 2):
+        files.write_json(str(tmp_path / "m" / f"run_{i}.json"), {"run_id": f"r{i}", "processed_parts": [i]})
+    runs = files.manifests(spark, f"{tmp_path}/m/*.json", "run_id string, processed_parts array<int>, note string").orderBy("manifest").collect()
+    assert [(r["manifest"], r["run_id"], r["note"]) for r in runs] == [("run_1.json", "r1", None), ("run_2.json", "r2", None)]
+    files.write_csv(spark.range(2), str(tmp_path / "csv"))
+    files.write_jsonl(spark.range(2), str(tmp_path / "jsonl"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == spark.read.json(str(tmp_path / "jsonl")).count() == 2
+    schema = "extract_id long, doc_id string, pages array<string>"
+    for i, text in enumerate(["1.1 One\nold", "1.1 One\nnew"]):
+        spark.createDataFrame([(7, "d", [text])], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.ingest_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), schema).awaitTermination()
+    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["1.1 One\n\nnew"]
