@@ -11,10 +11,14 @@ from tessera.operators import drift as D
 from tessera.operators import parsing
 from tessera.operators import quality as Q
 from tessera.operators.ancestry import previews
-from tessera.plans.evaluation_queries import DRIFT_SQL, snapshot_drift
-from tessera.plans.search_queries import CORPUS_SQL, corpus, with_sql
+from tessera.operators import retrieval as R
+from tessera.plans import search_queries as SE
+from tessera.plans.search_queries import BM25_SQL, CORPUS_SQL, EXACT_SQL, LEXICAL_SQL, SEMANTIC_SQL, corpus, with_sql
 from tessera.plans.structure import current_sql, key_sql
 from tessera.plans.text_queries import WS, cur
+from tessera.sources import embeddings as E
+from tessera.sources.scratch import Scratch
+from tessera.sources.shared import shared
 from tessera.sources.tables import current_rows, key_of, read
 
 
@@ -119,16 +123,70 @@ def _parity_side(name: str, order: str) -> str:
 PARITY_SQL = f"WITH {_parity_side('a', 'DESC')}, {_parity_side('b', 'ASC')} SELECT doc_id, count(*) AS refs, count(*) FILTER (a.ids[1] = b.ids[1]) AS same_first, count(*) FILTER (a.pages = b.pages) AS same_pages, count(*) FILTER (len(list_filter(a.ids, lambda x: NOT list_contains(b.ids, x))) = 0) AS contained FROM a JOIN b USING (doc_id, ref) GROUP BY 1"
 
 
+def _early_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The earliest row of every chunk of a known document: the corpus as it first was."""
+
+    def build(scratch: Scratch) -> DataFrame:
+        first = read(spark, folder, "chunks").withColumn("minus", -F.unix_micros("ingested_at"))
+        rows = current_rows(first, "chunk_id", ["doc_id", "type", "ref", "heading", "text", "table_md", "page_pdf_start"], order="minus").drop("minus").withColumn("doc_id", F.btrim("doc_id"))
+        return scratch.keep(rows.join(cur(spark, folder, "docs", ["part"]).drop("ingested_at"), "doc_id"), "early")
+
+    return shared(spark, folder, "corpus-early", ["chunks", "docs"], build)
+
+
+def _snapshots(spark: SparkSession, folder: str, early: bool) -> dict[str, DataFrame]:
+    q = read(spark, folder, "eval_queries")
+    if early:
+        c = _early_corpus(spark, folder)
+        index, vectors = shared(spark, folder, "early-search", ["chunks", "docs"], lambda s: (R.build_index(c, s), s.keep(E.embed_run(c, E.empty_store(spark), E.model_of()), "store")))
+    else:
+        c, index, vectors = corpus(spark, folder), SE.index(spark, folder), SE.stored_vectors(spark, folder)
+    expected = R.exact_tiers(c, q, 1).where("score >= 900").select("query_id", "chunk_id")
+    scratch = Scratch(spark, "snapshot")
+    expected = scratch.keep(expected, "expected")
+    return {mode: scratch.keep(D.query_snapshot(hits, q, expected), mode) for mode, hits in (("lexical", R.lexical(c, q, index)), ("semantic", R.semantic(c, q, vectors)))}
+
+
+def drift_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """All rules on the answers to the evaluation queries over the corpus as it first was and as it is."""
+    before, after = _snapshots(spark, folder, True), _snapshots(spark, folder, False)
+    b = D.snapshot_summary(before["lexical"], "lexical").unionByName(D.snapshot_summary(before["semantic"], "semantic"))
+    a = D.snapshot_summary(after["lexical"], "lexical").unionByName(D.snapshot_summary(after["semantic"], "semantic"))
+    for mode in ("lexical", "semantic"):
+        a = a.unionByName(D.overlap(before[mode], after[mode], mode))
+    parity = citation_parity(spark, folder).agg((F.sum("same_first") / F.sum("refs")).alias("citation_top1"), F.lit(1.0).alias("benchmark_valid"))
+    rules = D.drift_rules(b, a.unionByName(Q.unpivot(parity)))
+    return rules.select("rule", "measure", "hard", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "broken")
+
+
+_EARLY_SQL = CORPUS_SQL.replace(current_sql("chunks", "chunk_id"), current_sql("chunks", "chunk_id").replace("ORDER BY ingested_at DESC", "ORDER BY ingested_at"))
+
+
+def _side_sql(corpus_sql: str) -> str:
+    one = "SELECT '{0}' AS mode, query_id, must_hit_top1, coalesce(n, 0) AS n, coalesce(top, []) AS top, top[1] AS top1, (SELECT chunk_id FROM exact_top x WHERE x.query_id = e.query_id AND rank = 1 AND score >= 900) AS want FROM eval_queries e LEFT JOIN (SELECT query_id, count(*) AS n, (list(chunk_id ORDER BY rank))[1:10] AS top FROM {1} GROUP BY 1) USING (query_id)"
+    return with_sql(corpus_sql, EXACT_SQL, BM25_SQL, LEXICAL_SQL, SEMANTIC_SQL, select=f"{one.format('lexical', 'lex')} UNION ALL {one.format('semantic', 'sem')}")
+
+
+_SUMS = "SELECT mode, avg((n = 0)::INT::DOUBLE) AS no_result_rate, 0.0::DOUBLE AS timeout_rate, 0.0::DOUBLE AS fallback_rate, avg(coalesce(top1 = want, false)::INT::DOUBLE) FILTER (must_hit_top1) AS top1, avg(n) AS candidates FROM {0} GROUP BY 1"
+_RULES = ", ".join(f"('{r.rule}', '{r.measure}', '{r.kind}', {r.limit}::DOUBLE, {str(r.hard).lower()})" for r in D.RULES)
+_LONG = " UNION ALL ".join(f"SELECT mode || '_{m}' AS measure, {m} AS value FROM {{0}}" for m in ("no_result_rate", "timeout_rate", "fallback_rate", "top1", "candidates"))
+RULES_SQL = f"""WITH b0 AS MATERIALIZED ({_side_sql(_EARLY_SQL)}), a0 AS MATERIALIZED ({_side_sql(CORPUS_SQL)}), bs AS ({_SUMS.format('b0')}), asum AS ({_SUMS.format('a0')}),
+b AS MATERIALIZED ({_LONG.format('bs')}),
+a AS MATERIALIZED ({_LONG.format('asum')} UNION ALL SELECT mode || '_jaccard', avg(CASE WHEN len(a0.top) + len(b0.top) = 0 THEN 1.0 ELSE len(list_intersect(a0.top, b0.top)) / len(list_distinct(list_concat(a0.top, b0.top))) END) FROM a0 JOIN b0 USING (mode, query_id) GROUP BY mode
+  UNION ALL SELECT 'citation_top1', sum(same_first) / sum(refs) FROM ({PARITY_SQL}) UNION ALL SELECT 'benchmark_valid', 1.0),
+r(rule, measure, kind, lim, hard) AS (VALUES {_RULES})
+SELECT rule, measure, hard, round(b.value, 6) AS before, round(a.value, 6) AS after, coalesce(CASE kind WHEN 'floor' THEN a.value < lim WHEN 'no_drop' THEN a.value < b.value WHEN 'valid' THEN coalesce(a.value <> 1, true) WHEN 'no_more' THEN coalesce(a.value, 0) > coalesce(b.value, 0)
+  WHEN 'crossed' THEN b.value >= lim AND a.value < lim WHEN 'rise' THEN a.value - b.value > lim WHEN 'drop' THEN b.value - a.value > lim WHEN 'relative' THEN (a.value - b.value) / nullif(b.value, 0) > lim WHEN 'latency' THEN a.value - b.value > greatest(5.0, 0.1 * b.value) ELSE false END, false) AS broken
+FROM r LEFT JOIN b USING (measure) LEFT JOIN a USING (measure)"""
+
+
 def drift_verdict(spark: SparkSession, folder: str) -> DataFrame:
-    """The rules that compare the two snapshots of rankings, by their mean overlap and share of equal first chunks."""
-    drift = snapshot_drift(spark, folder)
-    after = Q.unpivot(drift.agg(F.avg("jaccard").alias("jaccard"), (F.sum("same_first") / F.sum("queries")).alias("top1")))
-    before = after.withColumn("value", F.lit(1.0))
-    rules = D.drift_rules(before, after)
+    """The verdict on all rules."""
+    rules = Scratch(spark, "verdict").keep(drift_rules(spark, folder), "rules")
     return D.verdict(rules).crossJoin(F.broadcast(rules.agg(Q.count_if(F.col("broken")).alias("broken"))))  # both are one row
 
 
-VERDICT_SQL = f"WITH d AS ({DRIFT_SQL}), m AS (SELECT avg(jaccard) AS j, sum(same_first) / sum(queries) AS t FROM d) SELECT CASE WHEN t < 0.95 THEN 'FAIL' WHEN j < 0.9 THEN 'WARN' ELSE 'PASS' END AS status, CASE WHEN t < 0.95 THEN 20 WHEN j < 0.9 THEN 10 ELSE 0 END AS exit_code, (t < 0.95)::INT::BIGINT + (j < 0.9)::INT AS broken FROM m"
+VERDICT_SQL = f"WITH x AS ({RULES_SQL}), m AS (SELECT count(*) FILTER (broken AND hard) AS h, count(*) FILTER (broken AND NOT hard) AS s FROM x) SELECT CASE WHEN h > 0 THEN 'FAIL' WHEN s > 0 THEN 'WARN' ELSE 'PASS' END AS status, CASE WHEN h > 0 THEN 20 WHEN s > 0 THEN 10 ELSE 0 END AS exit_code, h + s AS broken FROM m"
 
 QUERIES = {
     "parsed_nodes": (parsed_nodes, None),
@@ -137,5 +195,6 @@ QUERIES = {
     "table_alignment": (table_alignment, ALIGNMENT_SQL),
     "descendant_preview": (descendant_preview, PREVIEW_SQL),
     "citation_parity": (citation_parity, PARITY_SQL),
+    "drift_rules": (drift_rules, RULES_SQL),
     "drift_verdict": (drift_verdict, VERDICT_SQL),
 }
