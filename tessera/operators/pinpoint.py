@@ -25,16 +25,11 @@ def sentence_units(chunks: DataFrame) -> DataFrame:
     return units.select("chunk_id", _numbered("chunk_id", "sentence", F.col("at") + 1).alias("unit_id"), F.lit("sentence_window").alias("unit_type"), "text", F.lit(None).cast("long").alias("row_idx"), F.lit(None).cast("long").alias("col_idx"), F.lit(None).cast("string").alias("anchor"))
 
 
-#: Rows and cells of a table that are looked at, the first by row and cell.
-TABLE_UNITS = 512
-
-
 def table_units(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows and cells of the table node that a chunk comes from; a row stands before its cells."""
+    """All rows and cells of the table node that a chunk comes from."""
     cells = nodes.where("node_type in ('table_row', 'table_cell') and text is not null").select(key_of("table_node_id").alias("t"), "node_id", "node_type", "text", "row_idx", "col_idx", "citation_anchor_id")
     tables = chunks.select("chunk_id", key_of("origin_node_id").alias("o")).where("o is not null")
-    order = Window.partitionBy("chunk_id").orderBy(F.asc_nulls_first("row_idx"), F.asc_nulls_first("col_idx"), "node_id")
-    held = tables.join(cells, F.col("o") == F.col("t")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= TABLE_UNITS)
+    held = tables.join(cells, F.col("o") == F.col("t"))
     return held.select("chunk_id", F.col("node_id").alias("unit_id"), F.col("node_type").alias("unit_type"), X.collapse(F.col("text")).alias("text"), "row_idx", "col_idx", F.col("citation_anchor_id").alias("anchor"))
 
 
