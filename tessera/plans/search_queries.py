@@ -66,7 +66,8 @@ def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_lexical(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical(spark, folder, read(spark, folder, "eval_queries")).select("query_id", "chunk_id", "score", "tags", "rank")
+    q, members = R.alike(read(spark, folder, "eval_queries"))
+    return R.for_all(lexical(spark, folder, q).select("query_id", "chunk_id", "score", "tags", "rank"), members)
 
 
 def search_semantic(spark: SparkSession, folder: str) -> DataFrame:
