@@ -75,9 +75,9 @@ def search_semantic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    q = read(spark, folder, "eval_queries")
+    q, members = R.alike(read(spark, folder, "eval_queries"))
     fused = R.fuse_rrf(lexical(spark, folder, q), semantic(spark, folder, q))
-    return fused.select("query_id", "chunk_id", "score", "match_kind", "rank")
+    return R.for_all(fused.select("query_id", "chunk_id", "score", "match_kind", "rank"), members)
 
 
 def routed(spark: SparkSession, folder: str, limit: int = 10) -> DataFrame:
