@@ -80,27 +80,30 @@ def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     return R.for_all(fused.select("query_id", "chunk_id", "score", "match_kind", "rank"), members)
 
 
-def routed(spark: SparkSession, folder: str, limit: int = 10) -> DataFrame:
-    """The final answers of every evaluation query: exact intents lexical, all others fused."""
-    q = read(spark, folder, "eval_queries").withColumn("exact", X.exact_intent(F.col("query_text")))
-    lex = lexical(spark, folder, q)
+def routed(spark: SparkSession, folder: str, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """The final answers of every query: exact intents lexical, all others fused."""
+    scratch = Scratch(spark, "routed")
+    q = scratch.keep(queries.withColumn("exact", X.exact_intent(F.col("query_text"))), "queries")
+    lex = scratch.keep(lexical(spark, folder, q), "lexical")
     fused = R.fuse_rrf(lex, semantic(spark, folder, q.where("not exact")))
     columns = ["query_id", "chunk_id", "part", "page_pdf_start", "score"]
     exact = lex.join(q.where("exact").select("query_id"), "query_id").select(*columns, F.lit("lexical").alias("mode"))
     other = fused.join(q.where("not exact").select("query_id"), "query_id").select(*columns, F.lit("hybrid").alias("mode"))
-    return R.ranked(exact.unionByName(other), limit).select("query_id", "chunk_id", "rank", "score", "mode")
+    return scratch.keep(R.ranked(exact.unionByName(other), limit).select("query_id", "chunk_id", "rank", "score", "mode"), "answers")
 
 
 def search_router(spark: SparkSession, folder: str) -> DataFrame:
     """The first ten answers with their pages."""
     pages = corpus(spark, folder).select("chunk_id", X.page_range(F.col("page_pdf_start"), F.col("page_pdf_end")).alias("pages"))
-    return routed(spark, folder).drop("mode").join(pages, "chunk_id")
+    q, members = R.alike(read(spark, folder, "eval_queries"))
+    return R.for_all(routed(spark, folder, q).drop("mode").join(pages, "chunk_id"), members)
 
 
 def search_answers(spark: SparkSession, folder: str) -> DataFrame:
     """The first ten answers of every evaluation query as they are given: citation, parent, ancestors, what is below, best passages."""
     nodes = cur(spark, folder, "nodes", D.NODE_FIELDS)
-    full = D.hydrate(routed(spark, folder), corpus(spark, folder), nodes, read(spark, folder, "eval_queries"))
+    q, members = R.alike(read(spark, folder, "eval_queries"))
+    full = D.hydrate(routed(spark, folder, q), corpus(spark, folder), nodes, q)
     below = F.aggregate("descendants", F.lit(0).cast("long"), lambda n, d: n + 1)
     return full.select(
         "query_id",

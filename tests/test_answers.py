@@ -38,6 +38,7 @@ def doubled(spark, tmp_path_factory):
 SEARCHES = {
     "search_lexical": (search_queries.search_lexical, "lexical"),
     "search_hybrid": (search_queries.search_hybrid, "semantic"),
+    "search_router": (search_queries.search_router, "lexical"),
 }
 
 
