@@ -105,7 +105,7 @@ def search_answers(spark: SparkSession, folder: str) -> DataFrame:
     q, members = R.alike(read(spark, folder, "eval_queries"))
     full = D.hydrate(routed(spark, folder, q), corpus(spark, folder), nodes, q)
     below = F.aggregate("descendants", F.lit(0).cast("long"), lambda n, d: n + 1)
-    return full.select(
+    out = full.select(
         "query_id",
         "rank",
         "chunk_id",
@@ -118,6 +118,7 @@ def search_answers(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.try_element_at("kinds", F.lit("table_cell")), F.lit(0)).cast("long").alias("cells"),
         F.array_join(F.transform("pinpoints", lambda p: p["unit_id"]), "|").alias("pinpoints"),
     )
+    return R.for_all(out, members)
 
 
 def chunk_embeddings(spark: SparkSession, folder: str) -> DataFrame:

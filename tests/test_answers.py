@@ -39,6 +39,7 @@ SEARCHES = {
     "search_lexical": (search_queries.search_lexical, "lexical"),
     "search_hybrid": (search_queries.search_hybrid, "semantic"),
     "search_router": (search_queries.search_router, "lexical"),
+    "search_answers": (search_queries.search_answers, "lexical"),
 }
 
 
