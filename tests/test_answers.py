@@ -40,6 +40,7 @@ SEARCHES = {
     "search_hybrid": (search_queries.search_hybrid, "semantic"),
     "search_router": (search_queries.search_router, "lexical"),
     "search_answers": (search_queries.search_answers, "lexical"),
+    "rank_measures": (evaluation_queries.rank_measures, "lexical"),
     "rank_jaccard": (evaluation_queries.rank_jaccard, None),
 }
 
