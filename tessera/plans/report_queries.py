@@ -136,15 +136,17 @@ def _early_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def _snapshots(spark: SparkSession, folder: str, early: bool) -> dict[str, DataFrame]:
     q = read(spark, folder, "eval_queries")
+    one, members = R.alike(q)
     if early:
         c = _early_corpus(spark, folder)
         index, vectors = shared(spark, folder, "early-search", ["chunks", "docs"], lambda s: (R.build_index(c, s), s.keep(E.embed_run(c, E.empty_store(spark), E.model_of()), "store")))
     else:
         c, index, vectors = corpus(spark, folder), SE.index(spark, folder), SE.stored_vectors(spark, folder)
-    expected = R.exact_tiers(c, q, 1).where("score >= 900").select("query_id", "chunk_id")
+    expected = R.for_all(R.exact_tiers(c, one, 1).where("score >= 900").select("query_id", "chunk_id"), members)
     scratch = Scratch(spark, "snapshot")
     expected = scratch.keep(expected, "expected")
-    return {mode: scratch.keep(D.query_snapshot(hits, q, expected), mode) for mode, hits in (("lexical", R.lexical(c, q, index)), ("semantic", R.semantic(c, q, vectors)))}
+    found = {"lexical": R.lexical(c, one, index), "semantic": R.semantic(c, one, vectors)}
+    return {mode: scratch.keep(D.query_snapshot(R.for_all(hits, members), q, expected), mode) for mode, hits in found.items()}
 
 
 def drift_rules(spark: SparkSession, folder: str) -> DataFrame:
