@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.quality import count_if, unpivot
+from tessera.sources.scratch import Scratch
 
 #: Optional expectations; a null one is met.
 EXPECTED = ("leaf_node_type", "anchor_type", "anchor_label_norm")
@@ -22,16 +23,21 @@ def evaluate(gold: DataFrame, chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     evaluable = chunks.select("doc_id").distinct()
     wanted = gold.select("doc_id", F.lower(F.btrim("ref")).alias("want")).where("want != ''").distinct().join(evaluable, "doc_id", "left_semi")
     fields = ["page_pdf_start", "page_pdf_end", "source_hash", "leaf_node_type", "ancestor_path", "anchor_type", "anchor_label_norm"]
-    both = chunks.select("doc_id", F.col("chunk_id").alias("id"), F.lower("ref").alias("r"), F.lit(0).alias("kind"), "origin_node_id", "type", "text", *fields)
-    of_nodes = nodes.select("doc_id", F.col("node_id").alias("id"), F.lower("ref").alias("r"), F.lit(1).alias("kind"), F.col("node_id").alias("origin_node_id"), F.col("node_type").alias("type"), "text", "page_pdf_start", "page_pdf_end", "source_hash", F.col("node_type").alias("leaf_node_type"), "ancestor_path", "anchor_type", "anchor_label_norm")
-    both = both.unionByName(of_nodes.join(evaluable, "doc_id", "left_semi"))
-    # Each distinct reference of a document is looked for once.
-    held = wanted.join(both.select("doc_id", "id", "r", "kind", "page_pdf_start"), "doc_id").where(F.contains(F.col("r"), F.col("want")))
+    of_chunks = chunks.select(F.col("chunk_id").alias("found_id"), "origin_node_id", "type", "text", *fields)
+    of_nodes = nodes.select(F.col("node_id").alias("found_id"), F.col("node_id").alias("origin_node_id"), F.col("node_type").alias("type"), "text", "page_pdf_start", "page_pdf_end", "source_hash", F.col("node_type").alias("leaf_node_type"), "ancestor_path", "anchor_type", "anchor_label_norm")
+    # Each distinct reference of a document is looked for once, by keys and references only.
+    places = [df.select("doc_id", F.col(key).alias("id"), F.lower("ref").alias("r"), F.lit(kind).alias("kind"), "page_pdf_start") for df, key, kind in ((chunks, "chunk_id", 0), (nodes, "node_id", 1))]
+    held = wanted.join(places[0].unionByName(places[1]), "doc_id").where(F.contains(F.col("r"), F.col("want")))
     tier = F.col("kind") + F.when(F.col("r") == F.col("want"), 0).otherwise(2)
     best = held.groupBy("doc_id", "want").agg(F.min(F.struct(tier.alias("tier"), F.coalesce("page_pdf_start", F.lit(-1)).alias("page"), "kind", "id")).alias("b")).select("doc_id", "want", F.col("b.tier").cast("long").alias("tier"), F.col("b.kind").alias("kind"), F.col("b.id").alias("found_id"))
-    facts = best.join(both.withColumnsRenamed({"id": "found_id"}).drop("doc_id", "r"), ["kind", "found_id"]).withColumnsRenamed({"doc_id": "f_doc", "want": "f_want"})
+    best = best.withColumnsRenamed({"doc_id": "f_doc", "want": "f_want"})
     rows = gold.select("gold_id", F.col("doc_id"), "ref", F.col("page_start").alias("want_start"), F.col("page_end").alias("want_end"), "terms", *[F.col(e).alias(f"want_{e}") for e in EXPECTED])
-    rows = rows.join(evaluable.withColumn("evaluable", F.lit(True)), "doc_id", "left").join(facts, (F.col("doc_id") == F.col("f_doc")) & (F.lower(F.btrim("ref")) == F.col("f_want")), "left")
+    rows = rows.join(evaluable.withColumn("evaluable", F.lit(True)), "doc_id", "left").join(best, (F.col("doc_id") == F.col("f_doc")) & (F.lower(F.btrim("ref")) == F.col("f_want")), "left").drop("f_doc", "f_want")
+    # What was found is joined by itself for chunks and nodes, with its long fields once; the kinds are written, so their sizes are known.
+    scratch = Scratch(gold.sparkSession, "gold")
+    rows = scratch.keep(rows, "rows")
+    kinds = [scratch.keep(rows.where(F.col("kind") == kind), name) for kind, name in ((0, "of_chunks"), (1, "of_nodes"))]
+    rows = kinds[0].join(of_chunks, "found_id").unionByName(kinds[1].join(of_nodes, "found_id")).unionByName(rows.where("kind is null"), allowMissingColumns=True)
     found = F.col("tier").isNotNull()
     low = F.lower(F.coalesce("text", F.lit("")))
     terms = (F.size("terms") == 0) | F.exists("terms", lambda t: F.contains(low, F.lower(t)))

@@ -109,11 +109,15 @@ def overlap_words(chunks: DataFrame, least: int = 250, most: int = SHARED_WORDS[
     def words(text: Column) -> Column:
         return F.filter(F.split(F.lower(text), X.SPACE), lambda w: w != "")
 
-    body = words(F.regexp_replace("text", r"(?s)^.*?\n\n", ""))
-    keyed = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), "chunk_seq", "chunk_id", X.word_count(F.col("text")).alias("size"), body.alias("words"))
+    def body(text: str) -> Column:
+        return words(F.regexp_replace(text, r"(?s)^.*?\n\n", ""))
+
+    # Texts move as they are, and only those of pieces that are long enough; they are cut into words once they are in a pair.
+    keyed = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), "chunk_seq", "chunk_id", "text", X.word_count(F.col("text")).alias("size"))
+    keyed = keyed.withColumn("text", F.when(F.col("size") >= least, F.col("text")))
     w = Window.partitionBy("doc_id", "ref").orderBy("chunk_seq", "chunk_id")
-    pairs = keyed.withColumns({"prev": F.lag("words").over(w), "prev_seq": F.lag("chunk_seq").over(w), "prev_size": F.lag("size").over(w)})
-    pairs = pairs.where((F.col("chunk_seq") == F.col("prev_seq") + 1) & (F.col("size") >= least) & (F.col("prev_size") >= least))
+    pairs = keyed.withColumns({"prev_text": F.lag("text").over(w), "prev_seq": F.lag("chunk_seq").over(w), "prev_size": F.lag("size").over(w)})
+    pairs = pairs.where((F.col("chunk_seq") == F.col("prev_seq") + 1) & (F.col("size") >= least) & (F.col("prev_size") >= least)).withColumns({"words": body("text"), "prev": body("prev_text")})
     longest = F.least(F.lit(most), F.size("words"), F.size("prev"))
     sizes = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>"))
     fits = F.filter(sizes, lambda n: F.slice("prev", F.size("prev") - n + 1, n) == F.slice("words", F.lit(1), n))
@@ -176,17 +180,19 @@ def table_scorecard(cells: DataFrame) -> DataFrame:
 
     A marker is a number with or without a letter. Of a number with letters as many markers are expected as its letters span; else one.
     """
-    tokens = F.filter(F.transform(F.split("text", X.SPACE), lambda t: F.lower(F.regexp_replace(t, r"[).:;]+$", ""))), lambda t: t.rlike(MARKER))
+    digit_first = F.filter(F.split("text", X.SPACE), lambda t: F.substring(t, 1, 1).between("0", "9"))  # as every marker is
+    tokens = F.filter(F.transform(digit_first, lambda t: F.lower(F.regexp_replace(t, r"[).:;]+$", ""))), lambda t: t.rlike(MARKER))
     marks = cells.select("table_id", "row_idx", "col_idx", "text", tokens.alias("tokens"))
     first = F.max(F.when(F.col("col_idx") == 1, F.lower(F.regexp_replace(F.btrim("text"), r"[).:;]+$", "")).rlike(MARKER)))
     rows = marks.groupBy("table_id", "row_idx").agg(
         count_if(F.btrim("text") != "").alias("filled"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("markers"),
+        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"),
         F.coalesce(first, F.lit(False)).alias("marked"),
         F.coalesce(F.max(F.when(F.col("col_idx") == 2, F.col("text").rlike("[A-Za-z]"))), F.lit(False)).alias("described"),
     )
+    rows = Scratch(cells.sparkSession, "scorecard").keep(rows.withColumn("markers", F.size("tokens")), "rows")  # the cells are looked at once
     counted = rows.agg(F.count("*").alias("table_rows"), count_if(F.col("filled") <= 1).alias("sparse_rows"), count_if(F.col("markers") > 1).alias("overloaded_rows"), count_if(F.col("marked")).alias("marker_rows"), count_if(F.col("marked") & F.col("described")).alias("described_rows"))
-    seen = marks.select("table_id", F.explode("tokens").alias("token")).distinct()
+    seen = rows.select("table_id", F.explode("tokens").alias("token")).distinct()
     seen = seen.select("table_id", "token", F.regexp_extract("token", "^([0-9]+)", 1).alias("number"), F.regexp_extract("token", "([a-z])$", 1).alias("letter"))
     letter = F.when(F.col("letter") != "", F.ascii("letter"))
     span = F.greatest(F.max(letter) - F.min(letter) + 1, F.countDistinct(letter), F.lit(1))

@@ -23,15 +23,34 @@ from tessera.sources.tables import current_rows, key_of, read
 _GOLD_FIELDS = ["doc_id", "type", "ref", "heading", "text", "page_pdf_start", "page_pdf_end", "source_hash", "origin_node_id", "leaf_node_type", "ancestor_path", "anchor_type", "anchor_label_norm"]
 
 
-def gold_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+#: What the queries of the gates read of the current rows, and of the first rows of the chunks.
+_NODES = [*QQ.NODE_FIELDS, "ref", "text", "page_pdf_start", "page_pdf_end", "source_hash", "ancestor_path", "anchor_type", "anchor_label_norm", "anchor_order", "citation_anchor_id"]
+_CHUNKS = [*SE.CHUNK_FIELDS, "chunk_seq", "page_printed_start", "page_printed_end", "source_hash"]
+_FIRST = [*_GOLD_FIELDS, "table_md"]
+
+
+def _held(spark: SparkSession, folder: str, scratch: Scratch) -> dict[str, DataFrame]:
+    """The current nodes and chunks and the first rows of the chunks, each made once for all measures."""
+    return {
+        "nodes": scratch.keep(cur(spark, folder, "nodes", _NODES), "nodes"),
+        "chunks": scratch.keep(cur(spark, folder, "chunks", _CHUNKS), "chunks"),
+        "first_chunks": scratch.keep(_first(spark, folder, _FIRST), "first_chunks"),
+    }
+
+
+def _first(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    return current_rows(read(spark, folder, "chunks").withColumn("minus", -F.unix_micros("ingested_at")), "chunk_id", columns, order="minus").drop("minus")
+
+
+def gold_evaluation(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """The references that the evaluation set names, as the chunks that had them first state them, against the current rows."""
     wanted = read(spark, folder, "eval_queries").where("intent = 'exact_ref'").select(F.lower(F.btrim("query_text")).alias("want")).distinct()
-    first = current_rows(read(spark, folder, "chunks").withColumn("minus", -F.unix_micros("ingested_at")), "chunk_id", _GOLD_FIELDS, order="minus")
+    first = held["first_chunks"] if held else _first(spark, folder, _GOLD_FIELDS)
     rows = first.join(wanted, F.lower(F.btrim("ref")) == F.col("want"), "left_semi").where(key_of("doc_id").isNotNull())
     terms = F.slice(F.filter(F.split(F.lower(F.coalesce("heading", F.lit(""))), "[^a-z]+"), lambda t: F.length(t) > 3), 1, 3)
     expected = rows.select(F.col("chunk_id").alias("gold_id"), key_of("doc_id").alias("doc_id"), "ref", F.col("page_pdf_start").alias("page_start"), F.col("page_pdf_end").alias("page_end"), terms.alias("terms"), "leaf_node_type", "anchor_type", "anchor_label_norm")
-    chunks = cur(spark, folder, "chunks", _GOLD_FIELDS).withColumn("doc_id", key_of("doc_id"))
-    nodes = cur(spark, folder, "nodes", ["doc_id", "node_type", "ref", "text", "page_pdf_start", "page_pdf_end", "source_hash", "ancestor_path", "anchor_type", "anchor_label_norm"]).withColumn("doc_id", key_of("doc_id"))
+    chunks = cur(spark, folder, "chunks", _GOLD_FIELDS, held).withColumn("doc_id", key_of("doc_id"))
+    nodes = cur(spark, folder, "nodes", ["doc_id", "node_type", "ref", "text", "page_pdf_start", "page_pdf_end", "source_hash", "ancestor_path", "anchor_type", "anchor_label_norm"], held).withColumn("doc_id", key_of("doc_id"))
     return gold.evaluate(expected, chunks, nodes)
 
 
@@ -57,10 +76,10 @@ _GOLD_SUMS = "SELECT count(*) AS gold_total, count(*) FILTER (tier IS NULL) AS g
 _GOLD_MEASURES = ("gold_missing", "gold_page_mismatch", "gold_table_miss", "gold_exact_miss", "gold_term_miss", "gold_without_provenance", "gold_lineage_incomplete", "gold_hierarchy_unmet")
 
 
-def marker_citations(spark: SparkSession, folder: str) -> DataFrame:
+def marker_citations(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """How many list items and notes have their marker, and how many of these and of paragraphs have the citation anchor that follows from
     their fields."""
-    n = cur(spark, folder, "nodes", ["doc_id", "node_type", "ref", "anchor_type", "anchor_label_norm", "anchor_order", "citation_anchor_id"])
+    n = cur(spark, folder, "nodes", ["doc_id", "node_type", "ref", "anchor_type", "anchor_label_norm", "anchor_order", "citation_anchor_id"], held)
     right = F.coalesce(F.col("citation_anchor_id") == X.citation_anchor(F.btrim("doc_id"), F.col("ref"), F.col("anchor_type"), F.col("anchor_label_norm"), F.col("anchor_order")), F.lit(False))
     item, paragraph = F.col("node_type").isin("list_item", "note_item"), F.col("node_type") == "paragraph"
     return Q.unpivot(n.agg(Q.count_if(item).alias("marker_items"), Q.count_if(item & (F.coalesce("anchor_label_norm", F.lit("")) != "")).alias("marked_items"), Q.count_if(item & right).alias("cited_items"), Q.count_if(paragraph).alias("paragraphs"), Q.count_if(paragraph & right).alias("cited_paragraphs")))
@@ -126,36 +145,39 @@ def _rankings(spark: SparkSession, folder: str) -> DataFrame:
 
 def gate_measures(spark: SparkSession, folder: str) -> DataFrame:
     """(measure, value): all measures of the gates that the tables give, to six digits; quotients with nothing below are null."""
-    alignment = RP.table_alignment(spark, folder).agg(*[F.sum(c).alias(a) for c, a in (("marker_rows", "aligned_rows"), ("rated", "rated"), ("malformed", "malformed"), ("outliers", "outliers"))])
-    parity = RP.citation_parity(spark, folder).agg(F.sum("refs").alias("parity_refs"), *[F.sum(c).alias(c) for c in ("same_first", "same_pages", "contained")])
+    scratch = Scratch(spark, "measures")
+    held = _held(spark, folder, scratch)
+    SE.corpus(spark, folder, held=held)  # the rankings use it too
+    alignment = RP.table_alignment(spark, folder, held).agg(*[F.sum(c).alias(a) for c, a in (("marker_rows", "aligned_rows"), ("rated", "rated"), ("malformed", "malformed"), ("outliers", "outliers"))])
+    parity = RP.citation_parity(spark, folder, held).agg(F.sum("refs").alias("parity_refs"), *[F.sum(c).alias(c) for c in ("same_first", "same_pages", "contained")])
     replay = QQ.replay_stability(spark, folder).agg(F.max(F.when(F.col("backend") == "text_layer", F.col("stable"))).alias("text_replay"), F.max(F.when(F.col("backend") == "ocr", F.col("stable"))).alias("ocr_replay"))
 
     def one(df: DataFrame, measure: str, value) -> DataFrame:
         return df.agg(value.cast("double").alias("value")).select(F.lit(measure).alias("measure"), "value")
 
     parts = [
-        gold.measures(gold_evaluation(spark, folder)).where(F.col("measure").isin(*_GOLD_MEASURES)),
+        gold.measures(gold_evaluation(spark, folder, held)).where(F.col("measure").isin(*_GOLD_MEASURES)),
         one(QQ.duplicate_chunks(spark, folder), "duplicate_chunks", F.count("*")),
-        QQ.table_scorecard(spark, folder),
-        marker_citations(spark, folder),
-        one(QQ.structural_invariants(spark, folder), "structural_violations", F.sum("value")),
+        QQ.table_scorecard(spark, folder, held),
+        marker_citations(spark, folder, held),
+        one(QQ.structural_invariants(spark, folder, held), "structural_violations", F.sum("value")),
         Q.unpivot(alignment),
-        one(SO.target_coverage(spark, folder), "target_problems", F.count("*")),
+        one(SO.target_coverage(spark, folder, held), "target_problems", F.count("*")),
         one(QQ.freshness_by_part(spark, folder).where("stale"), "stale_parts", F.count("*")),
-        QQ.printed_page_metrics(spark, folder),
+        QQ.printed_page_metrics(spark, folder, held),
         Q.unpivot(replay),
-        QQ.clause_split(spark, folder),
-        QQ.list_semantics(spark, folder),
-        QQ.table_semantics(spark, folder),
-        one(QQ._chunks(spark, folder).where("text is not null"), "noise_ratio", F.avg(X.is_licence_noise(F.col("text")).cast("double"))),
+        QQ.clause_split(spark, folder, held),
+        QQ.list_semantics(spark, folder, held),
+        QQ.table_semantics(spark, folder, held),
+        one(QQ._chunks(spark, folder, held).where("text is not null"), "noise_ratio", F.avg(X.is_licence_noise(F.col("text")).cast("double"))),
         Q.unpivot(parity),
-        SE.embedding_coverage(spark, folder).where("measure in ('eligible', 'embedded', 'stale')"),
+        SE.embedding_coverage(spark, folder, held).where("measure in ('eligible', 'embedded', 'stale')"),
         _rankings(spark, folder),
     ]
     plain = parts[0]
     for p in parts[1:]:
         plain = plain.unionByName(p)
-    plain = Scratch(spark, "measures").keep(plain, "plain")
+    plain = scratch.keep(plain, "plain")
     named = {name: F.max(F.when(F.col("measure") == name, F.col("value"))) for pair in RATIOS.values() for name in pair}
     ratios = Q.unpivot(plain.agg(*[Q.ratio(named[a], named[b]).alias(r) for r, (a, b) in RATIOS.items()]))
     return plain.unionByName(ratios).select("measure", F.round("value", 6).alias("value"))

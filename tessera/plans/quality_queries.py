@@ -16,8 +16,8 @@ from tessera.sources.tables import key_of, read
 NODE_FIELDS = ["parent_node_id", "node_type", "doc_id", "list_depth", "list_marker_style", "item_index", "table_node_id", "row_idx", "col_idx", "is_header", "row_span", "col_span"]
 N = f"n AS MATERIALIZED (SELECT *, {key_sql('parent_node_id')} AS p FROM {current_sql('nodes', 'node_id')})"
 
-def structural_invariants(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.structural_invariants(cur(spark, folder, "nodes", NODE_FIELDS))
+def structural_invariants(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    return Q.structural_invariants(cur(spark, folder, "nodes", NODE_FIELDS, held))
 
 
 _WRONG = "".join(f" UNION ALL SELECT 'invalid_{t}_parent', count(*)::DOUBLE FROM j WHERE node_type = '{t}' AND pk IS NOT NULL AND pt NOT IN ({', '.join(repr(a) for a in allowed)})" for t, allowed in Q.ALLOWED_PARENTS.items())
@@ -26,9 +26,9 @@ SELECT 'missing_parent' AS measure, count(*)::DOUBLE AS value FROM n WHERE node_
 UNION ALL SELECT 'dangling_parent', count(*)::DOUBLE FROM j WHERE pk IS NULL{_WRONG}"""
 
 
-def table_scorecard(spark: SparkSession, folder: str) -> DataFrame:
+def table_scorecard(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """Counts of sparse, overloaded, marked and described rows of all tables, and of their markers."""
-    n = cur(spark, folder, "nodes", ["node_type", "table_node_id", "row_idx", "col_idx", "text"]).where("node_type = 'table_cell' and row_idx is not null")
+    n = cur(spark, folder, "nodes", ["node_type", "table_node_id", "row_idx", "col_idx", "text"], held).where("node_type = 'table_cell' and row_idx is not null")
     return Q.table_scorecard(n.select(key_of("table_node_id").alias("table_id"), "row_idx", "col_idx", F.coalesce("text", F.lit("")).alias("text")).where("table_id is not null"))
 
 
@@ -42,8 +42,8 @@ UNION ALL SELECT 'marker_rows', count(*)::DOUBLE FROM r WHERE marked UNION ALL S
 UNION ALL SELECT 'markers_seen', coalesce(sum(n), 0)::DOUBLE FROM m UNION ALL SELECT 'markers_expected', coalesce(sum(wanted), 0)::DOUBLE FROM m"""
 
 
-def list_semantics(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.list_semantics(cur(spark, folder, "nodes", NODE_FIELDS))
+def list_semantics(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    return Q.list_semantics(cur(spark, folder, "nodes", NODE_FIELDS, held))
 
 
 LIST_SQL = f"""WITH {N}, i AS (SELECT * FROM n WHERE node_type = 'list_item')
@@ -52,8 +52,8 @@ UNION ALL SELECT 'complete', count(*)::DOUBLE FROM i WHERE list_depth IS NOT NUL
 UNION ALL SELECT 'depth_violations', count(*)::DOUBLE FROM i JOIN n x ON x.k = i.p WHERE coalesce(i.list_depth, 1) > 1 AND (x.node_type <> 'list_item' OR x.list_depth IS NULL OR x.list_depth >= i.list_depth)"""
 
 
-def table_semantics(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.table_semantics(cur(spark, folder, "nodes", NODE_FIELDS))
+def table_semantics(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    return Q.table_semantics(cur(spark, folder, "nodes", NODE_FIELDS, held))
 
 
 TABLE_SQL = f"""WITH {N}, c AS (SELECT * FROM n WHERE node_type = 'table_cell'), r AS (SELECT x.k, count(c.k) AS cells FROM n x LEFT JOIN c ON c.p = x.k WHERE x.node_type = 'table_row' GROUP BY 1)
@@ -72,8 +72,8 @@ def duplicate_chunks(spark: SparkSession, folder: str) -> DataFrame:
 DUPLICATE_SQL = f"SELECT {key_sql('chunk_id')} AS key, count(*) AS copies FROM chunks WHERE {key_sql('chunk_id')} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
 
 
-def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return cur(spark, folder, "chunks", ["doc_id", "type", "ref", "heading", "chunk_seq", "text", "page_pdf_start", "page_pdf_end", "page_printed_start", "page_printed_end"]).withColumn("doc_id", F.btrim("doc_id"))
+def _chunks(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    return cur(spark, folder, "chunks", ["doc_id", "type", "ref", "heading", "chunk_seq", "text", "page_pdf_start", "page_pdf_end", "page_printed_start", "page_printed_end"], held).withColumn("doc_id", F.btrim("doc_id"))
 
 
 def sequence_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,9 +95,9 @@ SELECT doc_id, ref, chunk_id, chunk_seq, coalesce(list_max(list_filter(range(1,
 FROM w WHERE chunk_seq = prev_seq + 1 AND size >= 250 AND prev_size >= 250"""
 
 
-def clause_split(spark: SparkSession, folder: str) -> DataFrame:
+def clause_split(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """Measures of how long clauses were cut."""
-    return Q.clause_split(_chunks(spark, folder))
+    return Q.clause_split(_chunks(spark, folder, held))
 
 
 CLAUSE_SQL = rf"""WITH {C}, s AS (SELECT len(list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '')) AS n FROM c WHERE type = 'clause' AND text IS NOT NULL), o AS ({OVERLAP_SQL}), g AS ({GAPS_SQL})
@@ -124,7 +124,7 @@ def judged_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
 NEAREST_SQL = f"WITH {CORPUS_SQL} SELECT s.chunk_id AS seed, c.chunk_id, row_number() OVER (PARTITION BY s.chunk_id ORDER BY c.chunk_id <> s.chunk_id, abs(coalesce(c.page_pdf_start, s.page_pdf_start, 0) - coalesce(s.page_pdf_start, 0)), c.chunk_id) AS place FROM c s JOIN c ON c.doc_id = s.doc_id WHERE s.type = 'table' QUALIFY place <= 256"
 
 
-def printed_page_metrics(spark: SparkSession, folder: str) -> DataFrame:
+def printed_page_metrics(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """Page labels and how chunks map to them; a chunk is mappable if a page with a label found lies in its range."""
     pages = read(spark, folder, "page_provenance").select(F.btrim("doc_id").alias("doc_id"), "page_pdf", "printed_page_label", "printed_page_status", "backend").distinct()
     status = pages.agg(
@@ -134,7 +134,7 @@ def printed_page_metrics(spark: SparkSession, folder: str) -> DataFrame:
         Q.count_if((F.col("printed_page_status") == "detected") & ~F.coalesce(X.is_printed_label(F.btrim("printed_page_label")), F.lit(False))).alias("invalid_labels"),
         Q.count_if(~F.col("backend").isin("text_layer", "ocr")).alias("unknown_backends"),
     )
-    c = _chunks(spark, folder).where("page_pdf_start is not null and page_pdf_end >= page_pdf_start")
+    c = _chunks(spark, folder, held).where("page_pdf_start is not null and page_pdf_end >= page_pdf_start")
     labelled = pages.where("printed_page_status = 'detected'").select("doc_id", F.col("page_pdf").alias("page")).distinct()
     spread = c.select("chunk_id", "doc_id", F.explode(F.sequence("page_pdf_start", "page_pdf_end")).alias("page"))
     mappable = spread.join(labelled, ["doc_id", "page"], "left_semi").select("chunk_id").distinct()

@@ -62,9 +62,9 @@ h AS (SELECT doc_id, want, kind + CASE WHEN ref = want THEN 0 ELSE 2 END AS tier
 )
 
 
-def table_alignment(spark: SparkSession, folder: str) -> DataFrame:
+def table_alignment(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per table: marker rows, those with a rating, with a malformed description, and with more than ten cells."""
-    n = cur(spark, folder, "nodes", ["node_type", "table_node_id", "row_idx", "col_idx", "text"]).where("node_type = 'table_cell' and row_idx is not null")
+    n = cur(spark, folder, "nodes", ["node_type", "table_node_id", "row_idx", "col_idx", "text"], held).where("node_type = 'table_cell' and row_idx is not null")
     cells = n.select(key_of("table_node_id").alias("table_id"), "row_idx", "col_idx", F.coalesce("text", F.lit("")).alias("t")).where("table_id is not null")
     first = F.max(F.when(F.col("col_idx") == 1, F.col("t")))
     rated = F.max(F.when((F.col("col_idx") > 1) & F.exists(F.split("t", X.SPACE), lambda w: X.is_rating(w)), 1).otherwise(0))
@@ -93,13 +93,16 @@ w AS (SELECT d.k AS node_id, n.k AS descendant, n.order_index, n.preview, 1 AS d
 SELECT node_id, descendant, depth::BIGINT AS depth, row_number() OVER (PARTITION BY node_id ORDER BY depth, order_index ASC NULLS FIRST, descendant) AS place, preview FROM w QUALIFY place <= 256"""
 
 
-def citation_parity(spark: SparkSession, folder: str) -> DataFrame:
+def citation_parity(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per document, how many references have the same first chunk, the same pages of it, and no new chunk among the first three, now and
     when they first came."""
     c = read(spark, folder, "chunks")
     columns = [F.btrim("doc_id").alias("doc_id"), X.base_reference(F.col("ref")).alias("ref"), "page_pdf_start", "page_pdf_end"]
-    now = current_rows(c, "chunk_id", columns)
-    then = current_rows(c.withColumn("minus", -F.unix_micros("ingested_at")), "chunk_id", columns, order="minus")
+    if held:
+        now, then = (held[t].select("chunk_id", *columns) for t in ("chunks", "first_chunks"))
+    else:
+        now = current_rows(c, "chunk_id", columns)
+        then = current_rows(c.withColumn("minus", -F.unix_micros("ingested_at")), "chunk_id", columns, order="minus")
 
     def first_three(rows: DataFrame, name: str) -> DataFrame:
         order = Window.partitionBy("doc_id", "ref").orderBy(F.asc_nulls_first("page_pdf_start"), "chunk_id")

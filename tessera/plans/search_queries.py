@@ -21,12 +21,13 @@ CHUNK_FIELDS = ["doc_id", "type", "ref", "heading", "text", "table_md", "page_pd
 NODE_FIELDS = ["doc_id", "node_type", "ref", "heading", "text", "page_pdf_start", "page_pdf_end"]
 
 
-def corpus(spark: SparkSession, folder: str, table: str = "chunks") -> DataFrame:
-    """Current chunks (or nodes) of known documents with the part and year of their document; a table that all queries share."""
+def corpus(spark: SparkSession, folder: str, table: str = "chunks", held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Current chunks (or nodes) of known documents with the part and year of their document; a table that all queries share. It is made of
+    the current rows in ``held``, if they are there."""
 
     def build(scratch: Scratch) -> DataFrame:
         known = read(spark, folder, table).columns
-        rows = cur(spark, folder, table, [c for c in (CHUNK_FIELDS if table == "chunks" else NODE_FIELDS) if c in known])
+        rows = cur(spark, folder, table, [c for c in (CHUNK_FIELDS if table == "chunks" else NODE_FIELDS) if c in known], held)
         rows = rows.drop("ingested_at").withColumn("doc_id", F.btrim("doc_id"))
         return scratch.keep(rows.join(cur(spark, folder, "docs", ["part", "year"]).drop("ingested_at"), "doc_id"), table)
 
@@ -143,10 +144,11 @@ def embed_run(spark: SparkSession, folder: str) -> DataFrame:
     return E.run_report(corpus(spark, folder), before, after, model).unionByName(counted)
 
 
-def embedding_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """How far the vectors made of the earliest rows cover the current chunks."""
+def embedding_coverage(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """How far the vectors made of the earliest rows cover the current chunks. What a run leaves in an empty store is compared by its keys,
+    hashes and sizes; no vector is looked at, so none is made."""
     model = E.model_of()
-    before = Scratch(spark, "coverage").keep(E.embed_run(_first_rows(spark, folder), E.empty_store(spark), model), "before")
+    before = E.stated(held["first_chunks"] if held else _first_rows(spark, folder), model)
     return E.coverage(corpus(spark, folder), before, model).withColumn("value", F.round("value", 6))
 
 

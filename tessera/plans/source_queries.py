@@ -61,9 +61,9 @@ def docs_upsert(spark: SparkSession, folder: str) -> DataFrame:
 UPSERT_SQL = f"SELECT k AS doc_id, filename, CASE WHEN year = 2024 THEN upper(title) ELSE title END AS title FROM {current_sql('docs', 'doc_id')}"
 
 
-def target_coverage(spark: SparkSession, folder: str) -> DataFrame:
+def target_coverage(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """Documents named by nodes or known as documents but not both."""
-    nodes = cur(spark, folder, "nodes", ["doc_id", "node_type"]).where("node_type = 'document'").select(F.btrim("doc_id").alias("target_id")).where("target_id != ''")
+    nodes = cur(spark, folder, "nodes", ["doc_id", "node_type"], held).where("node_type = 'document'").select(F.btrim("doc_id").alias("target_id")).where("target_id != ''")
     return files.target_coverage(cur(spark, folder, "docs", []).select(F.col("doc_id").alias("target_id")), nodes)
 
 

@@ -75,7 +75,7 @@ def vectors(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"chunk_id": b["chunk_id"], "payload_hash": b["payload_hash"], "embedding": [R.embed(p) for p in b["payload"]]})
+            yield pd.DataFrame({"chunk_id": b["chunk_id"], "payload_hash": b["payload_hash"], "embedding": list(R.embed_all(list(b["payload"])))})
 
     return rows.select("chunk_id", "payload", "payload_hash").mapInPandas(run, "chunk_id string, payload_hash string, embedding array<double>")
 
@@ -105,6 +105,12 @@ def embed_run(chunks: DataFrame, store: DataFrame, model: Model, mode: str = "mi
     return upsert(store, new, ["chunk_id", "model_id"])
 
 
+def stated(chunks: DataFrame, model: Model, types: Iterable[str] = TYPES) -> DataFrame:
+    """What a run over the chunks leaves in an empty store, without the vectors: a row per chunk with something to embed."""
+    rows = payloads(chunks, types).where("payload is not null")
+    return rows.select("chunk_id", F.lit(model.model_id).alias("model_id"), F.lit(model.embedding_dim).alias("embedding_dim"), "payload_hash")
+
+
 def run_report(chunks: DataFrame, before: DataFrame, after: DataFrame, model: Model, types: Iterable[str] = TYPES) -> DataFrame:
     """(measure, value) of a run: chunks, those with something to embed, those skipped as empty, stale vectors before and after, and how
     many were embedded."""
