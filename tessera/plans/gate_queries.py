@@ -155,29 +155,43 @@ def gate_measures(spark: SparkSession, folder: str) -> DataFrame:
     def one(df: DataFrame, measure: str, value) -> DataFrame:
         return df.agg(value.cast("double").alias("value")).select(F.lit(measure).alias("measure"), "value")
 
-    parts = [
-        gold.measures(gold_evaluation(spark, folder, held)).where(F.col("measure").isin(*_GOLD_MEASURES)),
-        one(QQ.duplicate_chunks(spark, folder), "duplicate_chunks", F.count("*")),
-        QQ.table_scorecard(spark, folder, held),
-        marker_citations(spark, folder, held),
-        one(QQ.structural_invariants(spark, folder, held), "structural_violations", F.sum("value")),
-        Q.unpivot(alignment),
-        one(SO.target_coverage(spark, folder, held), "target_problems", F.count("*")),
-        one(QQ.freshness_by_part(spark, folder).where("stale"), "stale_parts", F.count("*")),
-        QQ.printed_page_metrics(spark, folder, held),
-        Q.unpivot(replay),
-        QQ.clause_split(spark, folder, held),
-        QQ.list_semantics(spark, folder, held),
-        QQ.table_semantics(spark, folder, held),
-        one(QQ._chunks(spark, folder, held).where("text is not null"), "noise_ratio", F.avg(X.is_licence_noise(F.col("text")).cast("double"))),
-        Q.unpivot(parity),
-        SE.embedding_coverage(spark, folder, held).where("measure in ('eligible', 'embedded', 'stale')"),
-        _rankings(spark, folder),
-    ]
-    plain = parts[0]
-    for p in parts[1:]:
-        plain = plain.unionByName(p)
-    plain = scratch.keep(plain, "plain")
+    def union(parts: list[DataFrame], name: str) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return scratch.keep(out, name)
+
+    # Group by group, so that what a group reads can go before the next and few plans are held at once. Each gives a few rows.
+    of_nodes = union(
+        [
+            QQ.table_scorecard(spark, folder, held),
+            marker_citations(spark, folder, held),
+            one(QQ.structural_invariants(spark, folder, held), "structural_violations", F.sum("value")),
+            Q.unpivot(alignment),
+            one(SO.target_coverage(spark, folder, held), "target_problems", F.count("*")),
+            QQ.list_semantics(spark, folder, held),
+            QQ.table_semantics(spark, folder, held),
+        ],
+        "of_nodes",
+    )
+    of_gold = union([gold.measures(gold_evaluation(spark, folder, held)).where(F.col("measure").isin(*_GOLD_MEASURES))], "of_gold")
+    scratch.drop(held["nodes"])
+    of_chunks = union(
+        [
+            one(QQ.duplicate_chunks(spark, folder), "duplicate_chunks", F.count("*")),
+            one(QQ.freshness_by_part(spark, folder).where("stale"), "stale_parts", F.count("*")),
+            QQ.printed_page_metrics(spark, folder, held),
+            Q.unpivot(replay),
+            QQ.clause_split(spark, folder, held),
+            one(QQ._chunks(spark, folder, held).where("text is not null"), "noise_ratio", F.avg(X.is_licence_noise(F.col("text")).cast("double"))),
+            Q.unpivot(parity),
+            SE.embedding_coverage(spark, folder, held).where("measure in ('eligible', 'embedded', 'stale')"),
+        ],
+        "of_chunks",
+    )
+    for name in ("chunks", "first_chunks"):
+        scratch.drop(held[name])
+    plain = union([of_nodes, of_gold, of_chunks, _rankings(spark, folder)], "plain")
     named = {name: F.max(F.when(F.col("measure") == name, F.col("value"))) for pair in RATIOS.values() for name in pair}
     ratios = Q.unpivot(plain.agg(*[Q.ratio(named[a], named[b]).alias(r) for r, (a, b) in RATIOS.items()]))
     return plain.unionByName(ratios).select("measure", F.round("value", 6).alias("value"))
