@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.quality import count_if
+from tessera.sources.tables import small
 
 
 @dataclass(frozen=True)
@@ -113,18 +115,19 @@ def clause_results(measures: DataFrame, stage: str, clauses: tuple[Clause, ...]
     if stage not in ("A", "B"):
         raise ValueError(f"no such stage: {stage}")
     spark = measures.sparkSession
-    table = spark.createDataFrame([(c.check, c.measure, c.limit, c.at_most, c.hard) for c in clauses], "check string, measure string, limit double, at_most boolean, hard boolean")
-    joined = F.broadcast(table).join(measures, "measure", "left")  # the table of clauses is fixed
+    rows = [(c.check, c.measure, c.limit, c.at_most, c.hard) for c in clauses]
+    table = small(spark, rows, check=pa.string(), measure=pa.string(), limit=pa.float64(), at_most=pa.bool_(), hard=pa.bool_())  # it is fixed
+    joined = table.join(measures, "measure", "left")
     good = F.when(F.col("at_most"), F.col("value") <= F.col("limit")).otherwise(F.col("value") >= F.col("limit"))
     result = F.when(F.col("value").isNull(), "pending").when(good | (~F.col("hard") & F.lit(stage == "A")), "pass").otherwise("failed")
     return joined.select("check", "measure", "value", "limit", "hard", result.alias("result"))
 
 
-def check_results(clauses: DataFrame) -> DataFrame:
-    """(check, result, failing): the checks, with the measures that fail them."""
+def check_results(clauses: DataFrame, *by: str) -> DataFrame:
+    """(by..., check, result, failing): the checks, with the measures that fail them."""
     failing = F.array_join(F.array_sort(F.collect_set(F.when(F.col("result") == "failed", F.col("measure")))), ",")
     worst = F.when(count_if(F.col("result") == "failed") > 0, "failed").when(count_if(F.col("result") == "pending") > 0, "pending").otherwise("pass")
-    return clauses.groupBy("check").agg(worst.alias("result"), failing.alias("failing"))
+    return clauses.groupBy(*by, "check").agg(worst.alias("result"), failing.alias("failing"))
 
 
 def summary(results: DataFrame) -> DataFrame:

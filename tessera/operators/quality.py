@@ -102,6 +102,11 @@ def sequence_gaps(chunks: DataFrame) -> DataFrame:
 PIECE_WORDS, SHARED_WORDS = 900, (50, 100)
 
 
+def _words(chunks: DataFrame) -> Column:
+    """The words of each chunk, from its column ``words`` where a caller has counted them."""
+    return F.col("words") if "words" in chunks.columns else X.word_count(F.col("text"))
+
+
 def overlap_words(chunks: DataFrame, least: int = 250, most: int = SHARED_WORDS[1]) -> DataFrame:
     """(doc_id, ref, chunk_seq, overlap): of neighbouring pieces of a clause, both of at least ``least`` words, the most words that end one
     and start the next, letter case aside, behind the heading of each."""
@@ -113,7 +118,7 @@ def overlap_words(chunks: DataFrame, least: int = 250, most: int = SHARED_WORDS[
         return words(F.regexp_replace(text, r"(?s)^.*?\n\n", ""))
 
     # Texts move as they are, and only those of pieces that are long enough; they are cut into words once they are in a pair.
-    keyed = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), "chunk_seq", "chunk_id", "text", X.word_count(F.col("text")).alias("size"))
+    keyed = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), "chunk_seq", "chunk_id", "text", _words(chunks).alias("size"))
     keyed = keyed.withColumn("text", F.when(F.col("size") >= least, F.col("text")))
     w = Window.partitionBy("doc_id", "ref").orderBy("chunk_seq", "chunk_id")
     pairs = keyed.withColumns({"prev_text": F.lag("text").over(w), "prev_seq": F.lag("chunk_seq").over(w), "prev_size": F.lag("size").over(w)})
@@ -127,7 +132,7 @@ def overlap_words(chunks: DataFrame, least: int = 250, most: int = SHARED_WORDS[
 def clause_split(chunks: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
     """(measure, value): words of the longest clause piece, pieces of over 900 words, those among them that aren't exempt by (doc_id, ref),
     neighbouring long pieces, those that share 50 to 100 words, and breaks in the numbering."""
-    clauses = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), X.word_count(F.col("text")).alias("words"))
+    clauses = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), _words(chunks).alias("words"))
     clauses = clauses.withColumn("exempt", F.lit(False)) if exempt is None else clauses.join(exempt.select("doc_id", F.lower("ref").alias("ref"), F.lit(True).alias("exempt")).distinct(), ["doc_id", "ref"], "left")
     over = F.col("words") > PIECE_WORDS
     sizes = clauses.agg(F.max("words").alias("longest_piece"), count_if(over).alias("oversize"), count_if(over & ~F.coalesce("exempt", F.lit(False))).alias("oversize_not_exempt"))

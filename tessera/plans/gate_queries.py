@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from tessera.plans import source_queries as SO
 from tessera.plans.structure import current_sql, key_sql
 from tessera.plans.text_queries import cur
 from tessera.sources.scratch import Scratch
-from tessera.sources.tables import current_rows, key_of, read
+from tessera.sources.tables import current_rows, key_of, read, small
 
 _GOLD_FIELDS = ["doc_id", "type", "ref", "heading", "text", "page_pdf_start", "page_pdf_end", "source_hash", "origin_node_id", "leaf_node_type", "ancestor_path", "anchor_type", "anchor_label_norm"]
 
@@ -30,10 +31,10 @@ _FIRST = [*_GOLD_FIELDS, "table_md"]
 
 
 def _held(spark: SparkSession, folder: str, scratch: Scratch) -> dict[str, DataFrame]:
-    """The current nodes and chunks and the first rows of the chunks, each made once for all measures."""
+    """The current nodes and chunks, with the words of clauses, and the first rows of the chunks, each made once for all measures."""
     return {
         "nodes": scratch.keep(cur(spark, folder, "nodes", _NODES), "nodes"),
-        "chunks": scratch.keep(cur(spark, folder, "chunks", _CHUNKS), "chunks"),
+        "chunks": scratch.keep(cur(spark, folder, "chunks", _CHUNKS).withColumn("words", F.when(F.col("type") == "clause", X.word_count(F.col("text")))), "chunks"),
         "first_chunks": scratch.keep(_first(spark, folder, _FIRST), "first_chunks"),
     }
 
@@ -82,6 +83,7 @@ def marker_citations(spark: SparkSession, folder: str, held: dict[str, DataFrame
     n = cur(spark, folder, "nodes", ["doc_id", "node_type", "ref", "anchor_type", "anchor_label_norm", "anchor_order", "citation_anchor_id"], held)
     right = F.coalesce(F.col("citation_anchor_id") == X.citation_anchor(F.btrim("doc_id"), F.col("ref"), F.col("anchor_type"), F.col("anchor_label_norm"), F.col("anchor_order")), F.lit(False))
     item, paragraph = F.col("node_type").isin("list_item", "note_item"), F.col("node_type") == "paragraph"
+    n = n.where(item | paragraph)  # anchors of other nodes needn't be made
     return Q.unpivot(n.agg(Q.count_if(item).alias("marker_items"), Q.count_if(item & (F.coalesce("anchor_label_norm", F.lit("")) != "")).alias("marked_items"), Q.count_if(item & right).alias("cited_items"), Q.count_if(paragraph).alias("paragraphs"), Q.count_if(paragraph & right).alias("cited_paragraphs")))
 
 
@@ -120,31 +122,39 @@ RATIOS = {
 
 def _rankings(spark: SparkSession, folder: str) -> DataFrame:
     """(measure, value) of the judged rankings: means over queries that name no reference, exact first hits, and the test of the gain."""
-    rows = Scratch(spark, "rankings").keep(EV.rank_measures(spark, folder), "measures")
+    rows = EV.rank_measures(spark, folder)
     exact = read(spark, folder, "eval_queries").select("query_id", X.exact_intent(F.col("query_text")).alias("exact"), "intent")
-    j = rows.join(exact, "query_id")
+    # A row per query, with the measures of both modes side by side.
+    j = rows.groupBy("query_id").agg(*[F.max(F.when(F.col("mode") == mode, F.col(name))).alias(f"{mode}_{name}") for mode in ("lexical", "hybrid") for name in ("ndcg", "mrr", "recall", "judged")])
+    j = j.join(exact, "query_id")
 
     def mean(name: str, mode: str, which):
-        return F.avg(F.when((F.col("mode") == mode) & which, F.col(name)))
+        return F.avg(F.when(which, F.col(f"{mode}_{name}")))
 
-    other, exact_lexical = ~F.col("exact"), F.col("exact") & (F.col("mode") == "lexical")
+    other, gain = ~F.col("exact"), F.col("hybrid_ndcg") - F.col("lexical_ndcg")
     first_hit = F.col("intent").isin("exact_ref", "keyword", "table_intent")
-    out = j.agg(
+    row = j.agg(
         mean("ndcg", "hybrid", other).alias("hybrid_ndcg"),
         (mean("ndcg", "hybrid", other) - mean("ndcg", "lexical", other)).alias("ndcg_uplift"),
-        F.avg(F.when(exact_lexical, (F.col("mrr") == 1).cast("double"))).alias("exact_top1_rate"),
+        F.avg(F.when(F.col("exact"), (F.col("lexical_mrr") == 1).cast("double"))).alias("exact_top1_rate"),
         mean("mrr", "hybrid", first_hit).alias("hybrid_mrr"),
         (mean("recall", "hybrid", F.lit(True)) - mean("recall", "lexical", F.lit(True))).alias("recall_delta"),
         mean("judged", "hybrid", F.lit(True)).alias("judged_at_10"),
-    )
-    paired = j.where(other).groupBy("query_id").agg(F.max(F.when(F.col("mode") == "hybrid", F.col("ndcg"))).alias("h"), F.max(F.when(F.col("mode") == "lexical", F.col("ndcg"))).alias("l"))
-    wins, losses = paired.agg(Q.count_if(F.col("h") > F.col("l")), Q.count_if(F.col("h") < F.col("l"))).first()
-    p = V.sign_test(wins, losses)
-    return Q.unpivot(out.withColumn("uplift_p_value", F.lit(p).cast("double")))
+        Q.count_if(other & (gain > 0)).alias("wins"),
+        Q.count_if(other & (gain < 0)).alias("losses"),
+    ).first()
+    values = row.asDict()
+    values["uplift_p_value"] = V.sign_test(values.pop("wins"), values.pop("losses"))
+    return _measured(spark, list(values.items()))
+
+
+def _measured(spark: SparkSession, rows: list[tuple[str, float | None]]) -> DataFrame:
+    return small(spark, rows, measure=pa.string(), value=pa.float64())
 
 
 def gate_measures(spark: SparkSession, folder: str) -> DataFrame:
-    """(measure, value): all measures of the gates that the tables give, to six digits; quotients with nothing below are null."""
+    """(measure, value): all measures of the gates that the tables give, to six digits; quotients with nothing below are null. Each
+    group of measures gives a few rows, which the driver has."""
     scratch = Scratch(spark, "measures")
     held = _held(spark, folder, scratch)
     SE.corpus(spark, folder, held=held)  # the rankings use it too
@@ -155,46 +165,41 @@ def gate_measures(spark: SparkSession, folder: str) -> DataFrame:
     def one(df: DataFrame, measure: str, value) -> DataFrame:
         return df.agg(value.cast("double").alias("value")).select(F.lit(measure).alias("measure"), "value")
 
-    def union(parts: list[DataFrame], name: str) -> DataFrame:
+    def made(*parts: DataFrame) -> list[tuple[str, float | None]]:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return scratch.keep(out, name)
+        return [(r["measure"], r["value"]) for r in out.select("measure", F.col("value").cast("double").alias("value")).collect()]
 
     # Group by group, so that what a group reads can go before the next and few plans are held at once. Each gives a few rows.
-    of_nodes = union(
-        [
-            QQ.table_scorecard(spark, folder, held),
-            marker_citations(spark, folder, held),
-            one(QQ.structural_invariants(spark, folder, held), "structural_violations", F.sum("value")),
-            Q.unpivot(alignment),
-            one(SO.target_coverage(spark, folder, held), "target_problems", F.count("*")),
-            QQ.list_semantics(spark, folder, held),
-            QQ.table_semantics(spark, folder, held),
-        ],
-        "of_nodes",
+    plain = made(
+        QQ.table_scorecard(spark, folder, held),
+        marker_citations(spark, folder, held),
+        one(QQ.structural_invariants(spark, folder, held), "structural_violations", F.sum("value")),
+        Q.unpivot(alignment),
+        one(SO.target_coverage(spark, folder, held), "target_problems", F.count("*")),
+        QQ.list_semantics(spark, folder, held),
+        QQ.table_semantics(spark, folder, held),
     )
-    of_gold = union([gold.measures(gold_evaluation(spark, folder, held)).where(F.col("measure").isin(*_GOLD_MEASURES))], "of_gold")
+    plain += made(gold.measures(gold_evaluation(spark, folder, held)).where(F.col("measure").isin(*_GOLD_MEASURES)))
     scratch.drop(held["nodes"])
-    of_chunks = union(
-        [
-            one(QQ.duplicate_chunks(spark, folder), "duplicate_chunks", F.count("*")),
-            one(QQ.freshness_by_part(spark, folder).where("stale"), "stale_parts", F.count("*")),
-            QQ.printed_page_metrics(spark, folder, held),
-            Q.unpivot(replay),
-            QQ.clause_split(spark, folder, held),
-            one(QQ._chunks(spark, folder, held).where("text is not null"), "noise_ratio", F.avg(X.is_licence_noise(F.col("text")).cast("double"))),
-            Q.unpivot(parity),
-            SE.embedding_coverage(spark, folder, held).where("measure in ('eligible', 'embedded', 'stale')"),
-        ],
-        "of_chunks",
+    plain += made(
+        one(QQ.duplicate_chunks(spark, folder), "duplicate_chunks", F.count("*")),
+        one(QQ.freshness_by_part(spark, folder).where("stale"), "stale_parts", F.count("*")),
+        QQ.printed_page_metrics(spark, folder, held),
+        Q.unpivot(replay),
+        QQ.clause_split(spark, folder, held),
+        one(QQ._chunks(spark, folder, held).where("text is not null"), "noise_ratio", F.avg(X.is_licence_noise(F.col("text")).cast("double"))),
+        Q.unpivot(parity),
+        SE.embedding_coverage(spark, folder, held).where("measure in ('eligible', 'embedded', 'stale')"),
     )
     for name in ("chunks", "first_chunks"):
         scratch.drop(held[name])
-    plain = union([of_nodes, of_gold, of_chunks, _rankings(spark, folder)], "plain")
-    named = {name: F.max(F.when(F.col("measure") == name, F.col("value"))) for pair in RATIOS.values() for name in pair}
-    ratios = Q.unpivot(plain.agg(*[Q.ratio(named[a], named[b]).alias(r) for r, (a, b) in RATIOS.items()]))
-    return plain.unionByName(ratios).select("measure", F.round("value", 6).alias("value"))
+    plain += made(_rankings(spark, folder))
+    values = dict(plain)
+    above = [(r, values[a], values[b]) for r, (a, b) in RATIOS.items()]
+    plain += [(r, a / b if a is not None and b is not None and b > 0 else None) for r, a, b in above]
+    return _measured(spark, plain).select("measure", F.round("value", 6).alias("value"))
 
 
 def _case(name: str) -> str:
@@ -228,7 +233,7 @@ SELECT measure, round(value, 6) AS value FROM plain
 
 def gate_clauses(spark: SparkSession, folder: str) -> DataFrame:
     """Every clause of every check in stages A and B."""
-    measures = Scratch(spark, "gates").keep(gate_measures(spark, folder), "measures")
+    measures = gate_measures(spark, folder)
     return G.clause_results(measures, "A").withColumn("stage", F.lit("A")).unionByName(G.clause_results(measures, "B").withColumn("stage", F.lit("B")))
 
 
@@ -239,8 +244,7 @@ SELECT chk AS "check", measure, value, lim AS "limit", hard, CASE WHEN value IS
 
 def gate_results(spark: SparkSession, folder: str) -> DataFrame:
     """A row per check and stage."""
-    clauses = gate_clauses(spark, folder)
-    return G.check_results(clauses.where("stage = 'A'")).withColumn("stage", F.lit("A")).unionByName(G.check_results(clauses.where("stage = 'B'")).withColumn("stage", F.lit("B")))
+    return G.check_results(gate_clauses(spark, folder), "stage")
 
 
 RESULTS_SQL = f"""SELECT stage, "check", CASE WHEN count(*) FILTER (result = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (result = 'pending') > 0 THEN 'pending' ELSE 'pass' END AS result, coalesce(string_agg(DISTINCT measure, ',' ORDER BY measure) FILTER (result = 'failed'), '') AS failing FROM ({CLAUSES_SQL}) GROUP BY stage, "check" """

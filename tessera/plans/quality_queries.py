@@ -73,7 +73,8 @@ DUPLICATE_SQL = f"SELECT {key_sql('chunk_id')} AS key, count(*) AS copies FROM c
 
 
 def _chunks(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
-    return cur(spark, folder, "chunks", ["doc_id", "type", "ref", "heading", "chunk_seq", "text", "page_pdf_start", "page_pdf_end", "page_printed_start", "page_printed_end"], held).withColumn("doc_id", F.btrim("doc_id"))
+    counted = ["words"] if held and "words" in held["chunks"].columns else []
+    return cur(spark, folder, "chunks", ["doc_id", "type", "ref", "heading", "chunk_seq", "text", "page_pdf_start", "page_pdf_end", "page_printed_start", "page_printed_end", *counted], held).withColumn("doc_id", F.btrim("doc_id"))
 
 
 def sequence_gaps(spark: SparkSession, folder: str) -> DataFrame:

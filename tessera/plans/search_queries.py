@@ -13,7 +13,7 @@ from tessera.plans.structure import current_sql, key_sql
 from tessera.plans.text_queries import INTENT_ROUTER_SQL, SERIES, _base_sql, cur
 from tessera.sources import embeddings as E
 from tessera.sources.scratch import Scratch
-from tessera.sources.shared import shared
+from tessera.sources.shared import has, shared
 from tessera.sources.tables import current_rows, read
 
 
@@ -50,8 +50,10 @@ def lexical(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
     return R.lexical(corpus(spark, folder), queries, index(spark, folder))
 
 
-def semantic(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
-    return R.semantic(corpus(spark, folder), queries, stored_vectors(spark, folder))
+def semantic(spark: SparkSession, folder: str, queries: DataFrame, store: bool = True) -> DataFrame:
+    """The semantic ranking. Without ``store`` no vectors are stored for it; those that are there already are used."""
+    store = store or has(spark, folder, "vectors", ["chunks", "docs"])
+    return R.semantic(corpus(spark, folder), queries, stored_vectors(spark, folder) if store else None)
 
 
 def search_exact(spark: SparkSession, folder: str) -> DataFrame:

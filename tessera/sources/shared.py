@@ -23,6 +23,12 @@ def _state(spark: SparkSession, folder: str, tables: Sequence[str]) -> tuple:
     return tuple(sorted(out))
 
 
+def has(spark: SparkSession, folder: str, name: str, tables: Sequence[str]) -> bool:
+    """Whether ``shared`` would give what was built before."""
+    held = _built.get((spark.sparkContext.applicationId, folder, name))
+    return held is not None and held[0] == _state(spark, folder, tables)
+
+
 def shared(spark: SparkSession, folder: str, name: str, tables: Sequence[str], build: Callable[[Scratch], T]) -> T:
     """What ``build`` made of the tables of a folder; made again when their files have changed or the session is another one."""
     key, state = (spark.sparkContext.applicationId, folder, name), _state(spark, folder, tables)

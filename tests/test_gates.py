@@ -34,3 +34,40 @@ def test_gates_make_current_rows_and_vectors_once(spark, monkeypatch, tmp_path):
         got = {r["measure"]: r["value"] for r in gate_queries.gate_measures(spark, str(tmp_path / "d")).collect()}
     assert made["node_id"] == made["chunk_id"] == 1 and made["vectors"] == 0
     assert got["cells"] > 0 and got["table_rows"] > 0 and 0 < got["embedding_coverage"] <= 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_rankings_search_once_and_store_no_vectors(spark, monkeypatch, tmp_path):
+    from tessera.plans import evaluation_queries, search_queries
+    from tessera.sources import embeddings
+    from tessera.sources.scratch import scope
+    from tessera.sources.tables import read
+
+    os.symlink(DATA, tmp_path / "d")
+    made, exact, vectors = Counter(), R.exact_tiers, embeddings.vectors
+    monkeypatch.setattr(R, "exact_tiers", lambda *args: made.update(["exact"]) or exact(*args))
+    monkeypatch.setattr(embeddings, "vectors", lambda rows: made.update(["vectors"]) or vectors(rows))
+    with scope():
+        assert evaluation_queries.rank_measures(spark, str(tmp_path / "d")).count() > 0
+        assert made == {"exact": 1}
+        # Embedded as they are read, chunks have the same scores as from the store.
+        q = read(spark, DATA, "eval_queries")
+        now = search_queries.semantic(spark, str(tmp_path / "d"), q, store=False).collect()
+        assert made["vectors"] == 0
+        stored = search_queries.semantic(spark, str(tmp_path / "d"), q).collect()
+    assert made["vectors"] == 1 and now and sorted(now) == sorted(stored)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_gate_results_are_made_of_measures_that_the_driver_has(spark, monkeypatch, tmp_path):
+    from tessera.plans import gate_queries
+    from tessera.sources.scratch import Scratch, scope
+
+    os.symlink(DATA, tmp_path / "d")
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(gate_queries, "_rankings", lambda spark, folder: spark.createDataFrame([("hybrid_mrr", 0.9)], "measure string, value double"))
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t", by=None: kept.append(name) or keep(self, df, name, by))
+    with scope():
+        got = {(r["stage"], r["check"]): r["result"] for r in gate_queries.gate_results(spark, str(tmp_path / "d")).collect()}
+    assert len(got) == 96 and got["A", "Q-045"] == got["B", "Q-045"] == "pass" and got["B", "Q-033"] == "pending"
+    assert not {"of_gold", "plain", "measures"} & set(kept)
