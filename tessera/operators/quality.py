@@ -40,6 +40,16 @@ def unpivot(row: DataFrame, name: str = "measure", value: str = "value") -> Data
     return row.select(F.inline(F.array(*pairs)))
 
 
+def _missing_parent() -> Column:
+    return count_if((F.col("node_type") != "document") & key_of("parent_node_id").isNull()).alias("missing_parent")
+
+
+def _wrong_parents() -> list[Column]:
+    """Counts over nodes that name a parent, with its key ``k`` and its type; the key is null where there is no such node."""
+    wrong = [count_if((F.col("node_type") == t) & F.col("k").isNotNull() & ~F.col("parent_type").isin(*allowed)).alias(f"invalid_{t}_parent") for t, allowed in ALLOWED_PARENTS.items()]
+    return [count_if(F.col("k").isNull()).alias("dangling_parent"), *wrong]
+
+
 def structural_invariants(nodes: DataFrame) -> DataFrame:
     """(measure, value): violations of the tree's rules: missing and dangling parents, and parents of the wrong type.
 
@@ -48,40 +58,65 @@ def structural_invariants(nodes: DataFrame) -> DataFrame:
     child = nodes.select(key_of("parent_node_id").alias("p"), "node_type")
     parent = nodes.select(F.col("node_id").alias("k"), F.col("node_type").alias("parent_type"))
     joined = child.where("p is not null").join(parent, F.col("p") == F.col("k"), "left")
-    wrong = [count_if((F.col("node_type") == t) & F.col("k").isNotNull() & ~F.col("parent_type").isin(*allowed)).alias(f"invalid_{t}_parent") for t, allowed in ALLOWED_PARENTS.items()]
-    linked = joined.agg(count_if(F.col("k").isNull()).alias("dangling_parent"), *wrong)
-    missing = child.agg(count_if((F.col("node_type") != "document") & F.col("p").isNull()).alias("missing_parent"))
-    return unpivot(missing).unionByName(unpivot(linked))
+    return unpivot(nodes.agg(_missing_parent())).unionByName(unpivot(joined.agg(*_wrong_parents())))
+
+
+def _item_counts() -> list[Column]:
+    item = F.col("node_type") == "list_item"
+    complete = F.col("list_depth").isNotNull() & F.col("list_marker_style").isNotNull() & F.col("item_index").isNotNull()
+    return [count_if(item).alias("list_items"), count_if(item & complete).alias("complete")]
+
+
+def _deep_item() -> Column:
+    return (F.col("node_type") == "list_item") & (F.coalesce("list_depth", F.lit(1)) > 1)
+
+
+def _deeper_than_parent() -> Column:
+    return (F.col("parent_type") != "list_item") | F.col("parent_depth").isNull() | (F.col("parent_depth") >= F.col("list_depth"))
 
 
 def list_semantics(nodes: DataFrame) -> DataFrame:
     """(measure, value): list items, those with all their fields, and those deeper than one whose parent isn't a shallower item."""
-    items = nodes.where("node_type = 'list_item'")
-    complete = F.col("list_depth").isNotNull() & F.col("list_marker_style").isNotNull() & F.col("item_index").isNotNull()
-    totals = items.agg(F.count("*").alias("list_items"), count_if(complete).alias("complete"))
-    parent = nodes.select(F.col("node_id").alias("k"), F.col("node_type").alias("p_type"), F.col("list_depth").alias("p_depth"))
-    deep = items.where(F.coalesce("list_depth", F.lit(1)) > 1).select(key_of("parent_node_id").alias("p"), "list_depth").join(parent, F.col("p") == F.col("k"))
-    bad = deep.agg(count_if((F.col("p_type") != "list_item") | F.col("p_depth").isNull() | (F.col("p_depth") >= F.col("list_depth"))).alias("depth_violations"))
-    return unpivot(totals).unionByName(unpivot(bad))
+    parent = nodes.select(F.col("node_id").alias("k"), F.col("node_type").alias("parent_type"), F.col("list_depth").alias("parent_depth"))
+    deep = nodes.where(_deep_item()).select(key_of("parent_node_id").alias("p"), "list_depth").join(parent, F.col("p") == F.col("k"))
+    bad = deep.agg(count_if(_deeper_than_parent()).alias("depth_violations"))
+    return unpivot(nodes.where("node_type = 'list_item'").agg(*_item_counts())).unionByName(unpivot(bad))
 
 
-def table_semantics(nodes: DataFrame) -> DataFrame:
-    """(measure, value): cells, complete cells, wrong spans, header cells and flags, rows, and rows of one cell."""
-    cells = nodes.where("node_type = 'table_cell'")
-    fields = ["table_node_id", "row_idx", "col_idx", "is_header", "row_span", "col_span"]
+def _cell_counts() -> list[Column]:
+    cell = F.col("node_type") == "table_cell"
     complete = F.lit(True)
-    for f in fields:
+    for f in ["table_node_id", "row_idx", "col_idx", "is_header", "row_span", "col_span"]:
         complete = complete & F.col(f).isNotNull()
-    first = cells.agg(
-        F.count("*").alias("cells"),
-        count_if(complete).alias("complete_cells"),
-        count_if((F.col("row_span") < 1) | (F.col("col_span") < 1)).alias("invalid_spans"),
-        count_if(F.col("row_idx") == 1).alias("header_cells"),
-        count_if((F.col("row_idx") == 1) & F.col("is_header").isNotNull()).alias("flagged_header_cells"),
-    )
-    per_row = cells.select(key_of("parent_node_id").alias("p")).where("p is not null").groupBy("p").agg(F.count("*").alias("n"))
-    rows = nodes.where("node_type = 'table_row'").select("node_id").join(per_row, F.col("node_id") == F.col("p"), "left").agg(F.count("*").alias("rows"), count_if(F.col("n") == 1).alias("one_cell_rows"))
-    return unpivot(first).unionByName(unpivot(rows))
+    return [
+        count_if(cell).alias("cells"),
+        count_if(cell & complete).alias("complete_cells"),
+        count_if(cell & ((F.col("row_span") < 1) | (F.col("col_span") < 1))).alias("invalid_spans"),
+        count_if(cell & (F.col("row_idx") == 1)).alias("header_cells"),
+        count_if(cell & (F.col("row_idx") == 1) & F.col("is_header").isNotNull()).alias("flagged_header_cells"),
+    ]
+
+
+def _row_counts(nodes: DataFrame) -> DataFrame:
+    per_row = nodes.where("node_type = 'table_cell'").select(key_of("parent_node_id").alias("p")).where("p is not null").groupBy("p").agg(F.count("*").alias("n"))
+    rows = nodes.where("node_type = 'table_row'").select("node_id").join(per_row, F.col("node_id") == F.col("p"), "left")
+    return rows.agg(F.count("*").alias("rows"), count_if(F.col("n") == 1).alias("one_cell_rows"))
+
+
+def table_semantics(nodes: DataFrame) -> DataFrame:
+    """(measure, value): cells, complete cells, wrong spans, header cells and flags, rows, and rows of one cell."""
+    return unpivot(nodes.where("node_type = 'table_cell'").agg(*_cell_counts())).unionByName(unpivot(_row_counts(nodes)))
+
+
+def node_measures(nodes: DataFrame, *more: Column) -> DataFrame:
+    """(measure, value): what ``structural_invariants``, ``list_semantics`` and ``table_semantics`` give, and the sums ``more``, in one pass
+    over the nodes and one join of them with their parents."""
+    child = nodes.select(key_of("parent_node_id").alias("p"), "node_type", "list_depth").where("p is not null")
+    parent = nodes.select(F.col("node_id").alias("k"), F.col("node_type").alias("parent_type"), F.col("list_depth").alias("parent_depth"))
+    joined = child.join(parent, F.col("p") == F.col("k"), "left")
+    deep = count_if(F.col("k").isNotNull() & _deep_item() & _deeper_than_parent()).alias("depth_violations")
+    plain = nodes.agg(_missing_parent(), *_item_counts(), *_cell_counts(), *more)
+    return unpivot(plain).unionByName(unpivot(joined.agg(*_wrong_parents(), deep))).unionByName(unpivot(_row_counts(nodes)))
 
 
 def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -132,13 +167,25 @@ def overlap_words(chunks: DataFrame, least: int = 250, most: int = SHARED_WORDS[
 def clause_split(chunks: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
     """(measure, value): words of the longest clause piece, pieces of over 900 words, those among them that aren't exempt by (doc_id, ref),
     neighbouring long pieces, those that share 50 to 100 words, and breaks in the numbering."""
-    clauses = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), _words(chunks).alias("words"))
-    clauses = clauses.withColumn("exempt", F.lit(False)) if exempt is None else clauses.join(exempt.select("doc_id", F.lower("ref").alias("ref"), F.lit(True).alias("exempt")).distinct(), ["doc_id", "ref"], "left")
-    over = F.col("words") > PIECE_WORDS
-    sizes = clauses.agg(F.max("words").alias("longest_piece"), count_if(over).alias("oversize"), count_if(over & ~F.coalesce("exempt", F.lit(False))).alias("oversize_not_exempt"))
+    clauses = chunks.where("type = 'clause' and text is not null").select("doc_id", F.lower("ref").alias("ref"), "type", "text", _words(chunks).alias("words"))
+    if exempt is not None:
+        clauses = clauses.join(exempt.select("doc_id", F.lower("ref").alias("ref"), F.lit(True).alias("exempt")).distinct(), ["doc_id", "ref"], "left")
+    return unpivot(clauses.agg(*clause_sizes(clauses))).unionByName(clause_neighbours(chunks))
+
+
+def clause_sizes(chunks: DataFrame) -> list[Column]:
+    """The counts of ``clause_split`` over the sizes of single pieces; a column ``exempt`` of the chunks tells which are."""
+    words = F.when((F.col("type") == "clause") & F.col("text").isNotNull(), _words(chunks))
+    exempt = F.coalesce("exempt", F.lit(False)) if "exempt" in chunks.columns else F.lit(False)
+    over = words > PIECE_WORDS
+    return [F.max(words).alias("longest_piece"), count_if(over).alias("oversize"), count_if(over & ~exempt).alias("oversize_not_exempt")]
+
+
+def clause_neighbours(chunks: DataFrame) -> DataFrame:
+    """The measures of ``clause_split`` that look at neighbouring pieces."""
     pairs = overlap_words(chunks).agg(F.count("*").alias("overlap_pairs"), count_if(F.col("overlap").between(*SHARED_WORDS)).alias("overlap_compliant"))
     gaps = sequence_gaps(chunks).agg(F.count("*").alias("sequence_violations"))
-    return unpivot(sizes).unionByName(unpivot(pairs)).unionByName(unpivot(gaps))
+    return unpivot(pairs).unionByName(unpivot(gaps))
 
 
 def repeated_edge_lines(pages: DataFrame, least: int = 3, longest: int = 120) -> DataFrame:
@@ -179,23 +226,47 @@ def nearest_pages(chunks: DataFrame, seeds: DataFrame, k: int = 256) -> DataFram
     return everything.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("n"))).where(F.col("place") <= k).select("seed", "chunk_id", "place")
 
 
+def alignment_fields() -> list[Column]:
+    """Of the cells (col_idx, text) of a table row: how many, the text of the first, and whether another one has a rating."""
+    rated = F.max(F.when((F.col("col_idx") > 1) & F.exists(F.split("text", X.SPACE), lambda w: X.is_rating(w)), 1).otherwise(0))
+    return [F.count("*").alias("cells"), F.max(F.when(F.col("col_idx") == 1, F.col("text"))).alias("first"), rated.alias("rated")]
+
+
+def aligned(rows: DataFrame) -> DataFrame:
+    """The table rows whose first cell begins with a marker, with ``bad``: no description follows it there."""
+    marker = F.regexp_extract(F.col("first"), r"^\s*([0-9]+[A-Za-z]?)(?:[.)]?\s|[.)]?$)", 1)
+    words = F.btrim(F.regexp_replace(F.col("first"), r"^\s*[0-9]+[A-Za-z]?[.)]?", ""))
+    bad = (F.length(F.regexp_replace(words, "[^A-Za-z]", "")) <= 1) & (X.word_count(words) <= 1)
+    return rows.where(marker != "").withColumn("bad", bad)
+
+
 def table_scorecard(cells: DataFrame) -> DataFrame:
     """(measure, value) over all table rows of (table_id, row_idx, col_idx, text): rows, those with at most one filled cell, those with more
     than one marker, marker rows, those with a description in their second cell, markers seen and markers to be expected.
 
     A marker is a number with or without a letter. Of a number with letters as many markers are expected as its letters span; else one.
     """
+    return scored(table_rows(cells))
+
+
+def table_rows(cells: DataFrame, *more: Column) -> DataFrame:
+    """(table_id, row_idx, filled, tokens, marked, described, markers) and the sums ``more`` of each table row; the cells are looked at once."""
     digit_first = F.filter(F.split("text", X.SPACE), lambda t: F.substring(t, 1, 1).between("0", "9"))  # as every marker is
     tokens = F.filter(F.transform(digit_first, lambda t: F.lower(F.regexp_replace(t, r"[).:;]+$", ""))), lambda t: t.rlike(MARKER))
     marks = cells.select("table_id", "row_idx", "col_idx", "text", tokens.alias("tokens"))
     first = F.max(F.when(F.col("col_idx") == 1, F.lower(F.regexp_replace(F.btrim("text"), r"[).:;]+$", "")).rlike(MARKER)))
     rows = marks.groupBy("table_id", "row_idx").agg(
+        *more,
         count_if(F.btrim("text") != "").alias("filled"),
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"),
         F.coalesce(first, F.lit(False)).alias("marked"),
         F.coalesce(F.max(F.when(F.col("col_idx") == 2, F.col("text").rlike("[A-Za-z]"))), F.lit(False)).alias("described"),
     )
-    rows = Scratch(cells.sparkSession, "scorecard").keep(rows.withColumn("markers", F.size("tokens")), "rows")  # the cells are looked at once
+    return Scratch(cells.sparkSession, "scorecard").keep(rows.withColumn("markers", F.size("tokens")), "rows")
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """The measures of ``table_scorecard`` over its rows."""
     counted = rows.agg(F.count("*").alias("table_rows"), count_if(F.col("filled") <= 1).alias("sparse_rows"), count_if(F.col("markers") > 1).alias("overloaded_rows"), count_if(F.col("marked")).alias("marker_rows"), count_if(F.col("marked") & F.col("described")).alias("described_rows"))
     seen = rows.select("table_id", F.explode("tokens").alias("token")).distinct()
     seen = seen.select("table_id", "token", F.regexp_extract("token", "^([0-9]+)", 1).alias("number"), F.regexp_extract("token", "([a-z])$", 1).alias("letter"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -31,11 +34,12 @@ _FIRST = [*_GOLD_FIELDS, "table_md"]
 
 
 def _held(spark: SparkSession, folder: str, scratch: Scratch) -> dict[str, DataFrame]:
-    """The current nodes and chunks, with the words of clauses, and the first rows of the chunks, each made once for all measures."""
+    """The current chunks and documents, each made once for all measures; the chunks have the words of clauses and how many rows there are of
+    each."""
+    words = F.when(F.col("type") == "clause", X.word_count(F.col("text")))
     return {
-        "nodes": scratch.keep(cur(spark, folder, "nodes", _NODES), "nodes"),
-        "chunks": scratch.keep(cur(spark, folder, "chunks", _CHUNKS).withColumn("words", F.when(F.col("type") == "clause", X.word_count(F.col("text")))), "chunks"),
-        "first_chunks": scratch.keep(_first(spark, folder, _FIRST), "first_chunks"),
+        "chunks": scratch.keep(cur(spark, folder, "chunks", _CHUNKS, copies="copies").withColumn("words", words), "chunks"),
+        "docs": scratch.keep(cur(spark, folder, "docs", ["part", "year"]), "docs"),
     }
 
 
@@ -77,14 +81,22 @@ _GOLD_SUMS = "SELECT count(*) AS gold_total, count(*) FILTER (tier IS NULL) AS g
 _GOLD_MEASURES = ("gold_missing", "gold_page_mismatch", "gold_table_miss", "gold_exact_miss", "gold_term_miss", "gold_without_provenance", "gold_lineage_incomplete", "gold_hierarchy_unmet")
 
 
-def marker_citations(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+def _cited() -> Column:
+    """Whether an item or a paragraph has the citation anchor that follows from its fields; anchors of other nodes aren't made."""
+    right = F.col("citation_anchor_id") == X.citation_anchor(F.btrim("doc_id"), F.col("ref"), F.col("anchor_type"), F.col("anchor_label_norm"), F.col("anchor_order"))
+    return F.when(F.col("node_type").isin("list_item", "note_item", "paragraph"), F.coalesce(right, F.lit(False)))
+
+
+def _marker_counts() -> list[Column]:
+    item, paragraph, right = F.col("node_type").isin("list_item", "note_item"), F.col("node_type") == "paragraph", F.col("cited")
+    return [Q.count_if(item).alias("marker_items"), Q.count_if(item & (F.coalesce("anchor_label_norm", F.lit("")) != "")).alias("marked_items"), Q.count_if(item & right).alias("cited_items"), Q.count_if(paragraph).alias("paragraphs"), Q.count_if(paragraph & right).alias("cited_paragraphs")]
+
+
+def marker_citations(spark: SparkSession, folder: str) -> DataFrame:
     """How many list items and notes have their marker, and how many of these and of paragraphs have the citation anchor that follows from
     their fields."""
-    n = cur(spark, folder, "nodes", ["doc_id", "node_type", "ref", "anchor_type", "anchor_label_norm", "anchor_order", "citation_anchor_id"], held)
-    right = F.coalesce(F.col("citation_anchor_id") == X.citation_anchor(F.btrim("doc_id"), F.col("ref"), F.col("anchor_type"), F.col("anchor_label_norm"), F.col("anchor_order")), F.lit(False))
-    item, paragraph = F.col("node_type").isin("list_item", "note_item"), F.col("node_type") == "paragraph"
-    n = n.where(item | paragraph)  # anchors of other nodes needn't be made
-    return Q.unpivot(n.agg(Q.count_if(item).alias("marker_items"), Q.count_if(item & (F.coalesce("anchor_label_norm", F.lit("")) != "")).alias("marked_items"), Q.count_if(item & right).alias("cited_items"), Q.count_if(paragraph).alias("paragraphs"), Q.count_if(paragraph & right).alias("cited_paragraphs")))
+    n = cur(spark, folder, "nodes", ["doc_id", "node_type", "ref", "anchor_type", "anchor_label_norm", "anchor_order", "citation_anchor_id"])
+    return Q.unpivot(n.where("node_type in ('list_item', 'note_item', 'paragraph')").withColumn("cited", _cited()).agg(*_marker_counts()))
 
 
 _SAN = "trim(lower(regexp_replace({0}, '[^A-Za-z0-9]+', '_', 'g')), '_')"
@@ -154,52 +166,66 @@ def _measured(spark: SparkSession, rows: list[tuple[str, float | None]]) -> Data
 
 def gate_measures(spark: SparkSession, folder: str) -> DataFrame:
     """(measure, value): all measures of the gates that the tables give, to six digits; quotients with nothing below are null. Each
-    group of measures gives a few rows, which the driver has."""
+    group of measures gives a few rows, which the driver has. What the rankings are judged by is made beside the other
+    groups, whose many small steps leave cores free."""
     scratch = Scratch(spark, "measures")
     held = _held(spark, folder, scratch)
     SE.corpus(spark, folder, held=held)  # the rankings use it too
-    alignment = RP.table_alignment(spark, folder, held).agg(*[F.sum(c).alias(a) for c, a in (("marker_rows", "aligned_rows"), ("rated", "rated"), ("malformed", "malformed"), ("outliers", "outliers"))])
+    with ThreadPoolExecutor(1) as beside:
+        judged = beside.submit(inheritable_thread_target(spark)(EV.judged), spark, folder)
+        plain = _plain_measures(spark, folder, held, scratch)
+        judged.result()
+    plain += _made(_rankings(spark, folder))
+    values = dict(plain)
+    above = [(r, values[a], values[b]) for r, (a, b) in RATIOS.items()]
+    plain += [(r, a / b if a is not None and b is not None and b > 0 else None) for r, a, b in above]
+    return _measured(spark, plain).select("measure", F.round("value", 6).alias("value"))
+
+
+def _made(*parts: DataFrame) -> list[tuple[str, float | None]]:
+    """The rows (measure, value) of the parts, in one job."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return [(r["measure"], r["value"]) for r in out.select("measure", F.col("value").cast("double").alias("value")).collect()]
+
+
+def _plain_measures(spark: SparkSession, folder: str, held: dict[str, DataFrame], scratch: Scratch) -> list[tuple[str, float | None]]:
+    """All measures but those of the rankings and the quotients; what is held goes on the way."""
+    held = {**held, "nodes": scratch.keep(cur(spark, folder, "nodes", _NODES), "nodes"), "first_chunks": scratch.keep(_first(spark, folder, _FIRST), "first_chunks")}
     parity = RP.citation_parity(spark, folder, held).agg(F.sum("refs").alias("parity_refs"), *[F.sum(c).alias(c) for c in ("same_first", "same_pages", "contained")])
     replay = QQ.replay_stability(spark, folder).agg(F.max(F.when(F.col("backend") == "text_layer", F.col("stable"))).alias("text_replay"), F.max(F.when(F.col("backend") == "ocr", F.col("stable"))).alias("ocr_replay"))
 
     def one(df: DataFrame, measure: str, value) -> DataFrame:
         return df.agg(value.cast("double").alias("value")).select(F.lit(measure).alias("measure"), "value")
 
-    def made(*parts: DataFrame) -> list[tuple[str, float | None]]:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return [(r["measure"], r["value"]) for r in out.select("measure", F.col("value").cast("double").alias("value")).collect()]
-
     # Group by group, so that what a group reads can go before the next and few plans are held at once. Each gives a few rows.
-    plain = made(
-        QQ.table_scorecard(spark, folder, held),
-        marker_citations(spark, folder, held),
-        one(QQ.structural_invariants(spark, folder, held), "structural_violations", F.sum("value")),
-        Q.unpivot(alignment),
+    rows = Q.table_rows(QQ.table_cells(spark, folder, held), *Q.alignment_fields())
+    each = {"aligned_rows": F.lit(1), "rated": F.col("rated"), "malformed": F.when(F.col("bad"), 1).otherwise(0), "outliers": F.when(F.col("cells") > 10, 1).otherwise(0)}
+    plain = _made(
+        Q.scored(rows),
+        Q.unpivot(Q.aligned(rows).agg(*[F.sum(v).alias(name) for name, v in each.items()])),
+        Q.node_measures(held["nodes"].withColumn("cited", _cited()), *_marker_counts()),
         one(SO.target_coverage(spark, folder, held), "target_problems", F.count("*")),
-        QQ.list_semantics(spark, folder, held),
-        QQ.table_semantics(spark, folder, held),
     )
-    plain += made(gold.measures(gold_evaluation(spark, folder, held)).where(F.col("measure").isin(*_GOLD_MEASURES)))
+    amiss = [m for m, _ in plain if m in ("missing_parent", "dangling_parent") or m.startswith("invalid_") and m.endswith("_parent")]
+    plain = [(m, v) for m, v in plain if m not in amiss] + [("structural_violations", sum(v for m, v in plain if m in amiss))]
+    plain += _made(gold.measures(gold_evaluation(spark, folder, held)).where(F.col("measure").isin(*_GOLD_MEASURES)))
     scratch.drop(held["nodes"])
-    plain += made(
-        one(QQ.duplicate_chunks(spark, folder), "duplicate_chunks", F.count("*")),
-        one(QQ.freshness_by_part(spark, folder).where("stale"), "stale_parts", F.count("*")),
-        QQ.printed_page_metrics(spark, folder, held),
+    chunks = QQ._chunks(spark, folder, held)
+    noise = F.avg(F.when(F.col("text").isNotNull(), X.is_licence_noise(F.col("text")).cast("double"))).alias("noise_ratio")
+    plain += _made(
+        Q.unpivot(chunks.agg(Q.count_if(F.col("copies") > 1).alias("duplicate_chunks"), noise, *Q.clause_sizes(chunks), *QQ.range_counts())),
+        Q.clause_neighbours(chunks),
+        QQ.page_labels(spark, folder, chunks),
+        one(QQ.freshness_by_part(spark, folder, held).where("stale"), "stale_parts", F.count("*")),
         Q.unpivot(replay),
-        QQ.clause_split(spark, folder, held),
-        one(QQ._chunks(spark, folder, held).where("text is not null"), "noise_ratio", F.avg(X.is_licence_noise(F.col("text")).cast("double"))),
         Q.unpivot(parity),
         SE.embedding_coverage(spark, folder, held).where("measure in ('eligible', 'embedded', 'stale')"),
     )
     for name in ("chunks", "first_chunks"):
         scratch.drop(held[name])
-    plain += made(_rankings(spark, folder))
-    values = dict(plain)
-    above = [(r, values[a], values[b]) for r, (a, b) in RATIOS.items()]
-    plain += [(r, a / b if a is not None and b is not None and b > 0 else None) for r, a, b in above]
-    return _measured(spark, plain).select("measure", F.round("value", 6).alias("value"))
+    return plain
 
 
 def _case(name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -16,8 +16,8 @@ from tessera.sources.tables import key_of, read
 NODE_FIELDS = ["parent_node_id", "node_type", "doc_id", "list_depth", "list_marker_style", "item_index", "table_node_id", "row_idx", "col_idx", "is_header", "row_span", "col_span"]
 N = f"n AS MATERIALIZED (SELECT *, {key_sql('parent_node_id')} AS p FROM {current_sql('nodes', 'node_id')})"
 
-def structural_invariants(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
-    return Q.structural_invariants(cur(spark, folder, "nodes", NODE_FIELDS, held))
+def structural_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.structural_invariants(cur(spark, folder, "nodes", NODE_FIELDS))
 
 
 _WRONG = "".join(f" UNION ALL SELECT 'invalid_{t}_parent', count(*)::DOUBLE FROM j WHERE node_type = '{t}' AND pk IS NOT NULL AND pt NOT IN ({', '.join(repr(a) for a in allowed)})" for t, allowed in Q.ALLOWED_PARENTS.items())
@@ -26,10 +26,15 @@ SELECT 'missing_parent' AS measure, count(*)::DOUBLE AS value FROM n WHERE node_
 UNION ALL SELECT 'dangling_parent', count(*)::DOUBLE FROM j WHERE pk IS NULL{_WRONG}"""
 
 
-def table_scorecard(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Counts of sparse, overloaded, marked and described rows of all tables, and of their markers."""
+def table_cells(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(table_id, row_idx, col_idx, text) of the cells of all tables that are in a row; no text is an empty one."""
     n = cur(spark, folder, "nodes", ["node_type", "table_node_id", "row_idx", "col_idx", "text"], held).where("node_type = 'table_cell' and row_idx is not null")
-    return Q.table_scorecard(n.select(key_of("table_node_id").alias("table_id"), "row_idx", "col_idx", F.coalesce("text", F.lit("")).alias("text")).where("table_id is not null"))
+    return n.select(key_of("table_node_id").alias("table_id"), "row_idx", "col_idx", F.coalesce("text", F.lit("")).alias("text")).where("table_id is not null")
+
+
+def table_scorecard(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of sparse, overloaded, marked and described rows of all tables, and of their markers."""
+    return Q.table_scorecard(table_cells(spark, folder))
 
 
 SCORECARD_SQL = rf"""WITH c AS MATERIALIZED (SELECT {key_sql('table_node_id')} AS t, row_idx AS r, col_idx AS i, coalesce(text, '') AS x, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda w: lower(regexp_replace(w, '[).:;]+$', ''))), lambda w: regexp_matches(w, '^[0-9]+[a-z]?$')) AS tk
@@ -42,8 +47,8 @@ UNION ALL SELECT 'marker_rows', count(*)::DOUBLE FROM r WHERE marked UNION ALL S
 UNION ALL SELECT 'markers_seen', coalesce(sum(n), 0)::DOUBLE FROM m UNION ALL SELECT 'markers_expected', coalesce(sum(wanted), 0)::DOUBLE FROM m"""
 
 
-def list_semantics(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
-    return Q.list_semantics(cur(spark, folder, "nodes", NODE_FIELDS, held))
+def list_semantics(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.list_semantics(cur(spark, folder, "nodes", NODE_FIELDS))
 
 
 LIST_SQL = f"""WITH {N}, i AS (SELECT * FROM n WHERE node_type = 'list_item')
@@ -52,8 +57,8 @@ UNION ALL SELECT 'complete', count(*)::DOUBLE FROM i WHERE list_depth IS NOT NUL
 UNION ALL SELECT 'depth_violations', count(*)::DOUBLE FROM i JOIN n x ON x.k = i.p WHERE coalesce(i.list_depth, 1) > 1 AND (x.node_type <> 'list_item' OR x.list_depth IS NULL OR x.list_depth >= i.list_depth)"""
 
 
-def table_semantics(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
-    return Q.table_semantics(cur(spark, folder, "nodes", NODE_FIELDS, held))
+def table_semantics(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.table_semantics(cur(spark, folder, "nodes", NODE_FIELDS))
 
 
 TABLE_SQL = f"""WITH {N}, c AS (SELECT * FROM n WHERE node_type = 'table_cell'), r AS (SELECT x.k, count(c.k) AS cells FROM n x LEFT JOIN c ON c.p = x.k WHERE x.node_type = 'table_row' GROUP BY 1)
@@ -73,7 +78,7 @@ DUPLICATE_SQL = f"SELECT {key_sql('chunk_id')} AS key, count(*) AS copies FROM c
 
 
 def _chunks(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
-    counted = ["words"] if held and "words" in held["chunks"].columns else []
+    counted = [c for c in ("words", "copies") if held and c in held["chunks"].columns]
     return cur(spark, folder, "chunks", ["doc_id", "type", "ref", "heading", "chunk_seq", "text", "page_pdf_start", "page_pdf_end", "page_printed_start", "page_printed_end", *counted], held).withColumn("doc_id", F.btrim("doc_id"))
 
 
@@ -96,9 +101,9 @@ SELECT doc_id, ref, chunk_id, chunk_seq, coalesce(list_max(list_filter(range(1,
 FROM w WHERE chunk_seq = prev_seq + 1 AND size >= 250 AND prev_size >= 250"""
 
 
-def clause_split(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+def clause_split(spark: SparkSession, folder: str) -> DataFrame:
     """Measures of how long clauses were cut."""
-    return Q.clause_split(_chunks(spark, folder, held))
+    return Q.clause_split(_chunks(spark, folder))
 
 
 CLAUSE_SQL = rf"""WITH {C}, s AS (SELECT len(list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '')) AS n FROM c WHERE type = 'clause' AND text IS NOT NULL), o AS ({OVERLAP_SQL}), g AS ({GAPS_SQL})
@@ -125,8 +130,28 @@ def judged_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
 NEAREST_SQL = f"WITH {CORPUS_SQL} SELECT s.chunk_id AS seed, c.chunk_id, row_number() OVER (PARTITION BY s.chunk_id ORDER BY c.chunk_id <> s.chunk_id, abs(coalesce(c.page_pdf_start, s.page_pdf_start, 0) - coalesce(s.page_pdf_start, 0)), c.chunk_id) AS place FROM c s JOIN c ON c.doc_id = s.doc_id WHERE s.type = 'table' QUALIFY place <= 256"
 
 
-def printed_page_metrics(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+def _ranged() -> Column:
+    return F.col("page_pdf_start").isNotNull() & (F.col("page_pdf_end") >= F.col("page_pdf_start"))
+
+
+def _mapped() -> Column:
+    return (F.btrim(F.coalesce("page_printed_start", F.lit(""))) != "") | (F.btrim(F.coalesce("page_printed_end", F.lit(""))) != "")
+
+
+def range_counts() -> list[Column]:
+    """Of chunks with a range of pages: how many, those with a printed page, and those whose printed pages run backwards."""
+    low, high = F.expr("try_cast(page_printed_start as bigint)"), F.expr("try_cast(page_printed_end as bigint)")
+    return [Q.count_if(_ranged()).alias("chunks"), Q.count_if(_ranged() & _mapped()).alias("mapped_chunks"), Q.count_if(_ranged() & (low > high)).alias("invalid_ranges")]
+
+
+def printed_page_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Page labels and how chunks map to them; a chunk is mappable if a page with a label found lies in its range."""
+    c = _chunks(spark, folder)
+    return Q.unpivot(c.agg(*range_counts())).unionByName(page_labels(spark, folder, c))
+
+
+def page_labels(spark: SparkSession, folder: str, chunks: DataFrame) -> DataFrame:
+    """The measures of ``printed_page_metrics`` that look at pages."""
     pages = read(spark, folder, "page_provenance").select(F.btrim("doc_id").alias("doc_id"), "page_pdf", "printed_page_label", "printed_page_status", "backend").distinct()
     status = pages.agg(
         F.count("*").alias("pages"),
@@ -135,14 +160,10 @@ def printed_page_metrics(spark: SparkSession, folder: str, held: dict[str, DataF
         Q.count_if((F.col("printed_page_status") == "detected") & ~F.coalesce(X.is_printed_label(F.btrim("printed_page_label")), F.lit(False))).alias("invalid_labels"),
         Q.count_if(~F.col("backend").isin("text_layer", "ocr")).alias("unknown_backends"),
     )
-    c = _chunks(spark, folder, held).where("page_pdf_start is not null and page_pdf_end >= page_pdf_start")
     labelled = pages.where("printed_page_status = 'detected'").select("doc_id", F.col("page_pdf").alias("page")).distinct()
-    spread = c.select("chunk_id", "doc_id", F.explode(F.sequence("page_pdf_start", "page_pdf_end")).alias("page"))
-    mappable = spread.join(labelled, ["doc_id", "page"], "left_semi").select("chunk_id").distinct()
-    mapped = c.withColumn("mapped", (F.btrim(F.coalesce("page_printed_start", F.lit(""))) != "") | (F.btrim(F.coalesce("page_printed_end", F.lit(""))) != ""))
-    low, high = F.expr("try_cast(page_printed_start as bigint)"), F.expr("try_cast(page_printed_end as bigint)")
-    ranges = mapped.join(mappable.withColumn("can", F.lit(True)), "chunk_id", "left").agg(F.count("*").alias("chunks"), Q.count_if(F.col("mapped")).alias("mapped_chunks"), Q.count_if(F.col("can")).alias("mappable_chunks"), Q.count_if(F.col("can") & F.col("mapped")).alias("mapped_mappable"), Q.count_if(low > high).alias("invalid_ranges"))
-    return Q.unpivot(status).unionByName(Q.unpivot(ranges))
+    spread = chunks.where(_ranged()).select("chunk_id", _mapped().alias("mapped"), "doc_id", F.explode(F.sequence("page_pdf_start", "page_pdf_end")).alias("page"))
+    mappable = spread.join(labelled, ["doc_id", "page"], "left_semi").select("chunk_id", "mapped").distinct()
+    return Q.unpivot(status).unionByName(Q.unpivot(mappable.agg(F.count("*").alias("mappable_chunks"), Q.count_if(F.col("mapped")).alias("mapped_mappable"))))
 
 
 PRINTED_SQL = rf"""WITH {C}, p AS MATERIALIZED (SELECT DISTINCT trim(doc_id) AS doc_id, page_pdf, printed_page_label, printed_page_status, backend FROM page_provenance),
@@ -167,9 +188,9 @@ def label_ranges(spark: SparkSession, folder: str) -> DataFrame:
 LABELS_SQL = f"WITH {C}, l AS (SELECT trim(doc_id) AS doc_id, page_pdf AS page, printed_page_label AS label FROM page_provenance WHERE printed_page_label IS NOT NULL), s AS (SELECT chunk_id, page, label FROM c JOIN l ON l.doc_id = c.doc_id AND page BETWEEN page_pdf_start AND page_pdf_end) SELECT chunk_id, arg_min(label, (page, label)) AS first_label, arg_max(label, (page, label)) AS last_label FROM s GROUP BY 1"
 
 
-def freshness_by_part(spark: SparkSession, folder: str) -> DataFrame:
+def freshness_by_part(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """The latest document of each part, and how many days it lies behind the latest of all; parts more than a year behind are stale."""
-    d = cur(spark, folder, "docs", ["part"]).where("part is not null")
+    d = cur(spark, folder, "docs", ["part"], held).where("part is not null")
     per = d.groupBy("part").agg(F.max(F.struct("ingested_at", "doc_id")).alias("m"), F.count("*").alias("docs"))
     latest = per.agg(F.max("m.ingested_at").alias("latest"))  # one row
     return per.crossJoin(F.broadcast(latest)).select("part", F.col("m.doc_id").alias("doc_id"), "docs", (F.unix_timestamp("latest") - F.unix_timestamp("m.ingested_at") > 365 * 86400).alias("stale"))

@@ -13,13 +13,14 @@ from tessera.operators import quality as Q
 from tessera.operators.ancestry import previews
 from tessera.operators import retrieval as R
 from tessera.plans import search_queries as SE
+from tessera.plans.quality_queries import table_cells
 from tessera.plans.search_queries import BM25_SQL, CORPUS_SQL, EXACT_SQL, LEXICAL_SQL, SEMANTIC_SQL, corpus, with_sql
 from tessera.plans.structure import current_sql, key_sql
 from tessera.plans.text_queries import WS, cur
 from tessera.sources import embeddings as E
 from tessera.sources.scratch import Scratch
 from tessera.sources.shared import shared
-from tessera.sources.tables import current_rows, key_of, read
+from tessera.sources.tables import current_rows, read
 
 
 def parsed_nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,17 +63,9 @@ h AS (SELECT doc_id, want, kind + CASE WHEN ref = want THEN 0 ELSE 2 END AS tier
 )
 
 
-def table_alignment(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+def table_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Per table: marker rows, those with a rating, with a malformed description, and with more than ten cells."""
-    n = cur(spark, folder, "nodes", ["node_type", "table_node_id", "row_idx", "col_idx", "text"], held).where("node_type = 'table_cell' and row_idx is not null")
-    cells = n.select(key_of("table_node_id").alias("table_id"), "row_idx", "col_idx", F.coalesce("text", F.lit("")).alias("t")).where("table_id is not null")
-    first = F.max(F.when(F.col("col_idx") == 1, F.col("t")))
-    rated = F.max(F.when((F.col("col_idx") > 1) & F.exists(F.split("t", X.SPACE), lambda w: X.is_rating(w)), 1).otherwise(0))
-    rows = cells.groupBy("table_id", "row_idx").agg(F.count("*").alias("cells"), first.alias("first"), rated.alias("rated"))
-    marker = F.regexp_extract(F.col("first"), r"^\s*([0-9]+[A-Za-z]?)(?:[.)]?\s|[.)]?$)", 1)
-    words = F.btrim(F.regexp_replace(F.col("first"), r"^\s*[0-9]+[A-Za-z]?[.)]?", ""))
-    bad = (F.length(F.regexp_replace(words, "[^A-Za-z]", "")) <= 1) & (X.word_count(words) <= 1)
-    marked = rows.where(marker != "").withColumn("bad", bad)
+    marked = Q.aligned(table_cells(spark, folder).groupBy("table_id", "row_idx").agg(*Q.alignment_fields()))
     return marked.groupBy("table_id").agg(F.count("*").alias("marker_rows"), F.sum("rated").cast("long").alias("rated"), Q.count_if(F.col("bad")).alias("malformed"), Q.count_if(F.col("cells") > 10).alias("outliers"))
 
 

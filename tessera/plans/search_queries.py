@@ -29,7 +29,7 @@ def corpus(spark: SparkSession, folder: str, table: str = "chunks", held: dict[s
         known = read(spark, folder, table).columns
         rows = cur(spark, folder, table, [c for c in (CHUNK_FIELDS if table == "chunks" else NODE_FIELDS) if c in known], held)
         rows = rows.drop("ingested_at").withColumn("doc_id", F.btrim("doc_id"))
-        return scratch.keep(rows.join(cur(spark, folder, "docs", ["part", "year"]).drop("ingested_at"), "doc_id"), table)
+        return scratch.keep(rows.join(cur(spark, folder, "docs", ["part", "year"], held).drop("ingested_at"), "doc_id"), table)
 
     return shared(spark, folder, f"corpus-{table}", [table, "docs"], build)
 

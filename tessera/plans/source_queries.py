@@ -64,7 +64,7 @@ UPSERT_SQL = f"SELECT k AS doc_id, filename, CASE WHEN year = 2024 THEN upper(ti
 def target_coverage(spark: SparkSession, folder: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """Documents named by nodes or known as documents but not both."""
     nodes = cur(spark, folder, "nodes", ["doc_id", "node_type"], held).where("node_type = 'document'").select(F.btrim("doc_id").alias("target_id")).where("target_id != ''")
-    return files.target_coverage(cur(spark, folder, "docs", []).select(F.col("doc_id").alias("target_id")), nodes)
+    return files.target_coverage(cur(spark, folder, "docs", [], held).select(F.col("doc_id").alias("target_id")), nodes)
 
 
 COVERAGE_SQL = f"WITH t AS (SELECT k AS target_id FROM {current_sql('docs', 'doc_id')}), f AS (SELECT trim(doc_id) AS target_id, count(*) AS n FROM {current_sql('nodes', 'node_id')} WHERE node_type = 'document' AND trim(doc_id) <> '' GROUP BY 1) SELECT coalesce(t.target_id, f.target_id) AS target_id, CASE WHEN n IS NULL THEN 'missing' WHEN t.target_id IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem FROM t FULL JOIN f ON t.target_id = f.target_id WHERE n IS NULL OR t.target_id IS NULL OR n > 1"

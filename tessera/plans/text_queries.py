@@ -13,12 +13,12 @@ SERIES = "RDS"
 WS = r"[\s\p{Z}]+"
 
 
-def cur(spark: SparkSession, folder: str, table: str, columns: list[str], held: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The current rows of a table. ``held`` has those that a caller made once for several queries, by the table's name."""
+def cur(spark: SparkSession, folder: str, table: str, columns: list[str], held: dict[str, DataFrame] | None = None, copies: str | None = None) -> DataFrame:
+    """The current rows of a table, with ``copies`` the number of rows of each under that name. ``held`` has those that a caller made once for several queries, by the table's name."""
     key = {"nodes": "node_id", "chunks": "chunk_id", "docs": "doc_id"}[table]
     if held and table in held:
         return held[table].select(key, *columns, "ingested_at")
-    return current_rows(read(spark, folder, table), key, columns)
+    return current_rows(read(spark, folder, table), key, columns, *(["ingested_at", None, copies] if copies else []))
 
 
 def text_identifiers(spark: SparkSession, folder: str) -> DataFrame:
