@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,16 +163,11 @@ def _measured(spark: SparkSession, rows: list[tuple[str, float | None]]) -> Data
 
 def gate_measures(spark: SparkSession, folder: str) -> DataFrame:
     """(measure, value): all measures of the gates that the tables give, to six digits; quotients with nothing below are null. Each
-    group of measures gives a few rows, which the driver has. What the rankings are judged by is made beside the other
-    groups, whose many small steps leave cores free."""
+    group of measures gives a few rows, which the driver has."""
     scratch = Scratch(spark, "measures")
     held = _held(spark, folder, scratch)
     SE.corpus(spark, folder, held=held)  # the rankings use it too
-    with ThreadPoolExecutor(1) as beside:
-        judged = beside.submit(inheritable_thread_target(spark)(EV.judged), spark, folder)
-        plain = _plain_measures(spark, folder, held, scratch)
-        judged.result()
-    plain += _made(_rankings(spark, folder))
+    plain = _plain_measures(spark, folder, held, scratch) + _made(_rankings(spark, folder))
     values = dict(plain)
     above = [(r, values[a], values[b]) for r, (a, b) in RATIOS.items()]
     plain += [(r, a / b if a is not None and b is not None and b > 0 else None) for r, a, b in above]
